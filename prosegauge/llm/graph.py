@@ -28,6 +28,6 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = hooks[0]
     for hook in hooks[1:]:  # a root that later rounds do not know has kept its label
-        later = hook.withColumnsRenamed({"node": "root", "root": "further"})
+        later = hook.select(F.col("node").alias("root"), F.col("root").alias("further"))
         out = save(out.join(later, "root", "left").select("node", F.coalesce("further", "root").alias("root")), "labels")
     return out
