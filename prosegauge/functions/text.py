@@ -37,7 +37,7 @@ def text_or_empty(c: Column) -> Column:
 def half_up(c: Column, places: int = 0) -> Column:
     """Rounded half away from zero, through ``floor(x * 10^places + 0.5)``."""
     scale = float(10**places)
-    return F.signum(c) * F.floor(F.abs(c) * scale + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.signum(c) * F.floor(F.abs(c) * scale + F.lit(0.5)).cast("double") / F.lit(scale) + F.lit(0.0)  # no negative zero
 
 
 def ratio(a: Column, b: Column) -> Column:

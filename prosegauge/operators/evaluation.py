@@ -32,9 +32,12 @@ def syllable_histogram(gold: DataFrame) -> DataFrame:
 
 def boundary_offsets(units: Column) -> Column:
     """Where each sentence but the last ends, in characters other than white space."""
-    lengths = F.transform(units, lambda s: F.length(t.replace(s, f"[{t.SPACE}]+")))
-    sums = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, b: a + b))
-    return F.when(F.size(units) > 1, F.slice(sums, 1, F.greatest(F.size(units) - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    def sums(lengths: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out"))
+        return F.aggregate(F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0))), zero, step, lambda acc: acc["out"])
+
+    return t.let(F.transform(units, lambda s: F.length(t.replace(s, f"[{t.SPACE}]+"))), sums)
 
 
 def sentence_eval(gold: DataFrame) -> DataFrame:

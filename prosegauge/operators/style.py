@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,18 +77,18 @@ def is_nominalisation(low: Column) -> Column:
     return (F.length(low) > 5) & t.matches(low, NOMINAL) & ~t.one_of(low, lx.NOT_NOMINALISATIONS)
 
 
-def is_hedge(low: Column) -> Column:
-    return t.one_of(low, lx.HEDGES)
+def is_hedge(low: Column, hedges: Sequence[str] = tuple(lx.HEDGES)) -> Column:
+    return t.one_of(low, list(hedges))
 
 
 def is_adverb(low: Column) -> Column:
     return (F.length(low) > 4) & F.endswith(low, F.lit("ly"))
 
 
-def word_class_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def word_class_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hedges: Sequence[str] = tuple(lx.HEDGES)) -> DataFrame:
     """doc_id, words, and count and percent of nominalisations, hedges and adverbs."""
     each = word_table(df, id_col, text_col).groupBy("doc_id", F.lower("word").alias("w")).agg(F.count("*").alias("n"))
-    kinds = {"nominalisations": is_nominalisation, "hedges": is_hedge, "adverbs": is_adverb}
+    kinds = {"nominalisations": is_nominalisation, "hedges": lambda c: is_hedge(c, hedges), "adverbs": is_adverb}
     found = each.groupBy("doc_id").agg(F.sum("n").alias("words"), *[F.sum(F.when(f(F.col("w")), F.col("n")).otherwise(0)).alias(k) for k, f in kinds.items()])
     out = _every(df, found, id_col, text_col, ["words", *kinds])
     return out.select("doc_id", "words", *[c for k in kinds for c in (F.col(k), _percent(F.col(k), F.col("words")).alias(f"{k}_percent"))])
