@@ -81,8 +81,9 @@ def types(ws: Column) -> Column:
 
 
 def graphemes(text: Column) -> Column:
-    """User-perceived characters; plain ASCII lines without CR need no segmentation."""
-    return F.when(matches(text, r"^[\x00-\x0C\x0E-\x7F]*\z"), F.length(text)).otherwise(F.regexp_count(text, F.lit(r"\X")))
+    """User-perceived characters.  Without CR, combining marks, joiners and the like every character is one: that holds
+    for all characters below U+0300 and for general punctuation and currency signs."""
+    return F.when(matches(text, r"^[\x00-\x0C\x0E-\x{02FF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}]*\z"), F.length(text)).otherwise(F.regexp_count(text, F.lit(r"\X")))
 
 
 def letters(text: Column) -> Column:

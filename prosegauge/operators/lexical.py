@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.lexicons import MATTR_WINDOW, MTLD_THRESHOLD
-from .segment import base, token_table
+from .segment import base, token_table, tokens_of
 
 
 def frequencies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,6 +20,12 @@ def frequencies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return counts.withColumn("rank", F.row_number().over(order))
 
 
+def ranked_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, count, rank: as ``frequencies``, for those who need no words and so no order among ties."""
+    counts = token_table(df, id_col, text_col).groupBy("doc_id", "token").agg(F.count("*").alias("count"))
+    return counts.select("doc_id", "count", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("count"))).alias("rank"))
+
+
 def top_words(df: DataFrame, k: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return frequencies(df, id_col, text_col).filter(F.col("rank") <= k)
 
@@ -82,7 +88,8 @@ def mtld(df: DataFrame, threshold: float = MTLD_THRESHOLD, id_col: str = "doc_id
     def passes(lists: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(mtld_pass(x, threshold), mtld_pass(x[::-1], threshold)) for x in lists], columns=["forward", "backward"], dtype="float64")
 
-    rows = base(df, id_col, text_col).select("doc_id", passes(t.tokens(t.words(F.col("text")))).alias("p"))
+    rows = base(df, id_col, text_col)
+    rows = rows.select("doc_id", passes(tokens_of(rows)).alias("p"))
     whole = lambda c: F.when(~F.isnan(c), c)
     f, b = whole(F.col("p.forward")), whole(F.col("p.backward"))
     both = f.isNotNull() & b.isNotNull()
@@ -101,7 +108,7 @@ def linear_fit(df: DataFrame, x: Column, y: Column, keys: list[str]) -> DataFram
 
 def zipf_points(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rank, x, y: the logarithms of rank and count."""
-    return frequencies(df, id_col, text_col).select("doc_id", "rank", F.log10("rank").alias("x"), F.log10("count").alias("y"))
+    return ranked_counts(df, id_col, text_col).select("doc_id", "rank", F.log10("rank").alias("x"), F.log10("count").alias("y"))
 
 
 def zipf(freq: DataFrame, max_rank: int = 0, min_count: int = 2, least: int = 5) -> DataFrame:

@@ -124,7 +124,7 @@ def term_pattern(term: str, mode: str) -> str:
 
 def searched(df: DataFrame, mode: str, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """doc_id and text, the text that ``mode`` looks at."""
-    rows = base(df, id_col, text_col)
+    rows = base(df, id_col, text_col).select("doc_id", "text")
     if mode != "normalized":
         return rows
     rows, names = stages(rows, "text", **({"symbols": "inner", "collapse": False} | options))
@@ -138,56 +138,76 @@ def count_matches(df: DataFrame, terms: Sequence[str], mode: str, id_col: str =
     return searched(df, mode, id_col, text_col).select("doc_id", F.inline(F.array(*pairs)))
 
 
-def screen(df: DataFrame, terms: Sequence[str] = tuple(lx.DEMO_TERMS), mode: str = "substring", id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """doc_id, term, matched, index, whole_word, context: one row per match, indexes from 0 in the text searched.
+def places_column(low: Column, terms: Sequence[str], mode: str) -> Column:
+    """All matches in a lower-cased text, sorted by place: index, order (of the term), length and whole_word.
 
     Matches are located by arithmetic over the pieces between them: of the k-th match, all pieces up to it and all
-    matches before it come first.
+    matches before it come first.  What stands beside a match is told from the pieces, too.
     """
-    rows = searched(df, mode, id_col, text_col, **options).withColumn("_low", F.lower("text"))
-    found = []
-    for order, term in enumerate(x for x in terms if x):
+    kind = "array<struct<index:int,order:int,length:int,whole_word:boolean>>"
+
+    def of_term(order: int, term: str) -> Column:
         pattern = term_pattern(term, mode)
-        hits, parts = F.regexp_extract_all("_low", F.lit(pattern), F.lit(0)), F.split("_low", pattern, -1)
-        found.append(F.struct(F.lit(order).alias("order"), F.lit(term).alias("term"), hits.alias("hits"), parts.alias("parts")))
-    if not found:
-        return rows.select("doc_id", F.lit("").alias("term"), F.lit("").alias("matched"), F.lit(0).alias("index"), F.lit(False).alias("whole_word"), F.lit("").alias("context"), F.lit(0).alias("order")).limit(0)
 
-    def places(s: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<index:int,length:int>>").alias("out"))
+        def places(p: Column) -> Column:
+            parts, hits = p["parts"], p["hits"]
+            n = F.size(hits)
+            rows = F.zip_with(
+                F.zip_with(F.slice(parts, 1, n), hits, lambda a, h: F.struct(a.alias("before"), h.alias("hit"))),
+                F.zip_with(F.slice(parts, 2, F.greatest(n, F.lit(1))), F.slice(hits, 2, F.greatest(n, F.lit(1))), lambda a, h: F.when(a == "", h).otherwise(a)),
+                lambda x, y: F.struct(x["before"].alias("before"), x["hit"].alias("hit"), y.alias("after")),
+            )
+            zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast(kind).alias("out"))
+
+            def step(acc: Column, m: Column) -> Column:
+                start, length = acc["at"] + F.length(m["before"]), F.length(m["hit"])
+                beside = t.matches(F.when(m["before"] == "", acc["last"]).otherwise(m["before"]), _LETTER + r"\z") | t.matches(F.coalesce(m["after"], F.lit("")), "^" + _LETTER)
+                place = F.struct(start.cast("int").alias("index"), F.lit(order).alias("order"), length.cast("int").alias("length"), (~beside).alias("whole_word"))
+                return F.struct((start + length).cast("int").alias("at"), m["hit"].alias("last"), F.array_append(acc["out"], place).alias("out"))
+
+            return F.aggregate(rows, zero, step, lambda acc: acc["out"])
+
+        return t.let(F.struct(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)).alias("hits"), F.split(low, pattern, -1).alias("parts")), places)
+
+    some = [x for x in terms if x]
+    return F.array_sort(F.concat(*[of_term(i, x) for i, x in enumerate(some)])) if some else F.array().cast(kind)
 
-        def step(acc: Column, pair: Column) -> Column:
-            start = acc["at"] + F.length(pair["part"])
-            place = F.struct(start.cast("int").alias("index"), F.length(pair["hit"]).cast("int").alias("length"))
-            return F.struct((start + F.length(pair["hit"])).cast("int").alias("at"), F.array_append(acc["out"], place).alias("out"))
 
-        pairs = F.zip_with(F.slice(s["parts"], 1, F.size(s["hits"])), s["hits"], lambda p, h: F.struct(p.alias("part"), h.alias("hit")))
-        return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+def context_of(text: Column, place: Column) -> Column:
+    """The match with 24 characters on either side."""
+    start = F.greatest(F.lit(0), place["index"] - 24)
+    return F.substr(text, start + 1, place["index"] + place["length"] + 24 - start)
 
-    terms_ = rows.select("doc_id", "text", "_low", F.explode(F.array(*found)).alias("s")).filter(F.size("s.hits") > 0)
-    each = terms_.select("doc_id", "text", "_low", F.col("s.term").alias("term"), F.col("s.order").alias("order"), F.inline(places(F.col("s"))))
-    i, n = F.col("index"), F.col("length")
-    inside = lambda c: t.matches(c, _LETTER)
-    before = F.when(i > 0, F.substr(F.col("_low"), i, F.lit(1))).otherwise(F.lit(" "))
-    whole = ~inside(before) & ~inside(F.substr(F.col("_low"), i + n + 1, F.lit(1)))
-    start = F.greatest(F.lit(0), i - 24)
-    context = F.substr(F.col("text"), start + 1, i + n + 24 - start)
-    return each.select("doc_id", "term", F.substr(F.col("text"), i + 1, n).alias("matched"), "index", whole.alias("whole_word"), context.alias("context"), "order")
+
+def screen(df: DataFrame, terms: Sequence[str] = tuple(lx.DEMO_TERMS), mode: str = "substring", id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """doc_id, term, matched, index, whole_word, context: one row per match, indexes from 0 in the text searched."""
+    rows = searched(df, mode, id_col, text_col, **options).withColumn("_low", F.lower("text"))
+    rows = rows.select("doc_id", "text", F.explode(places_column(F.col("_low"), terms, mode)).alias("m"))
+    m, some = F.col("m"), [x for x in terms if x] or [""]
+    term = F.get(F.array(*[F.lit(x) for x in some]), m["order"])
+    return rows.select("doc_id", term.alias("term"), F.substr(F.col("text"), m["index"] + 1, m["length"]).alias("matched"), m["index"].alias("index"), m["whole_word"].alias("whole_word"), context_of(F.col("text"), m).alias("context"), m["order"].alias("order"))
+
+
+def modes_columns(df: DataFrame, terms: Sequence[str] = tuple(lx.DEMO_TERMS), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and a struct for each mode: total, whole, collateral and the contexts of the first ten matches inside
+    other words.  Row by row, without a shuffle."""
+    rows, names = stages(base(df, id_col, text_col).select("doc_id", "text"), "text", symbols="inner", collapse=False)
+    rows = rows.select("doc_id", "text", F.lower("text").alias("_low"), F.col(names[-1][1]).alias("_norm")).withColumn("_normlow", F.lower("_norm"))
+    seen = {"substring": ("text", "_low"), "word": ("text", "_low"), "normalized": ("_norm", "_normlow")}
+    rows = rows.select("doc_id", *[F.struct(F.col(a).alias("text"), places_column(F.col(b), terms, mode).alias("m")).alias(mode) for mode, (a, b) in seen.items()])
+
+    def summary(found: Column) -> Column:
+        m, text = found["m"], found["text"]
+        return t.let(F.filter(m, lambda x: ~x["whole_word"]), lambda inside: F.struct(F.size(m).cast("long").alias("total"), (F.size(m) - F.size(inside)).cast("long").alias("whole"), F.size(inside).cast("long").alias("collateral"), F.transform(F.slice(inside, 1, 10), lambda x: t.trimmed(context_of(text, x))).alias("examples")))
+
+    return rows.select("doc_id", *[summary(F.col(mode)).alias(mode) for mode in MODES])
 
 
 def compare_modes(df: DataFrame, terms: Sequence[str] = tuple(lx.DEMO_TERMS), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mode, total, whole, collateral and the contexts of the first ten matches inside other words."""
-    out = None
-    for mode in MODES:
-        rows = screen(df, terms, mode, id_col, text_col)
-        inside = F.when(~F.col("whole_word"), F.struct("index", "order", t.trimmed(F.col("context")).alias("context")))
-        found = rows.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if("whole_word").alias("whole"), F.count_if(~F.col("whole_word")).alias("collateral"), F.transform(F.slice(F.array_sort(F.collect_list(inside)), 1, 10), lambda s: s["context"]).alias("examples"))
-        ids = base(df, id_col, text_col).select("doc_id")
-        found = found.withColumnRenamed("doc_id", "_id")
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-        rows = ids.join(found, ids.doc_id.eqNullSafe(found["_id"]), "left").select("doc_id", F.lit(mode).alias("mode"), zero("total"), zero("whole"), zero("collateral"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """doc_id, mode, total, whole, collateral and examples: a row per document and mode."""
+    rows = modes_columns(df, terms, id_col, text_col)
+    named = [F.struct(F.lit(mode).alias("mode"), *[F.col(f"{mode}.{c}").alias(c) for c in ("total", "whole", "collateral", "examples")]) for mode in MODES]
+    return rows.select("doc_id", F.inline(F.array(*named)))
 
 
 def parsed_terms(typed: Column) -> Column:

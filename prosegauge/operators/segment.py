@@ -10,9 +10,33 @@ from ..functions.lexicons import ALOUD_WPM, READING_WPM
 from ..functions.sentences import sentences
 
 
+#: Columns of a frame that ``prepared`` has segmented; operators that find them do not segment again.
+WORDS, TOKENS, SENTENCES = "_words", "_tokens", "_sentences"
+
+
 def base(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and text, null texts empty."""
-    return df.select(F.col(id_col).alias("doc_id"), t.text_or_empty(F.col(text_col)).alias("text"))
+    """doc_id and text, null texts empty; and the arrays of a prepared frame."""
+    known = [c for c in (WORDS, TOKENS, SENTENCES) if c in df.columns]
+    return df.select(F.col(id_col).alias("doc_id"), t.text_or_empty(F.col(text_col)).alias("text"), *known)
+
+
+def words_of(df: DataFrame) -> Column:
+    return F.col(WORDS) if WORDS in df.columns else t.words(F.col("text"))
+
+
+def tokens_of(df: DataFrame) -> Column:
+    return F.col(TOKENS) if TOKENS in df.columns else t.tokens(words_of(df))
+
+
+def sentences_of(df: DataFrame) -> Column:
+    return F.col(SENTENCES) if SENTENCES in df.columns else sentences(F.col("text"))
+
+
+def prepared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and the arrays of words, tokens and sentences that several operators start from."""
+    rows = base(df, id_col, text_col).select("doc_id", "text")
+    rows = rows.withColumns({WORDS: t.words(F.col("text")), SENTENCES: sentences(F.col("text"))})
+    return rows.withColumn(TOKENS, t.tokens(F.col(WORDS)))
 
 
 def segment(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,23 +56,26 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row of counts per document."""
     rows = base(df, id_col, text_col)
     text = F.col("text")
-    rows = rows.withColumns({"_w": t.words(text), "characters": t.graphemes(text)})
+    rows = rows.withColumns({"_w": words_of(rows), "characters": t.graphemes(text), "_t": F.array_distinct(tokens_of(rows))})
     return rows.select(
         "doc_id", "characters", (F.col("characters") - t.spaces(text)).alias("characters_no_spaces"), t.letters(text).alias("letters"), F.size("_w").alias("words"), F.size(t.numerals(F.col("_w"))).alias("numerals"),
-        F.size(sentences(text)).alias("sentences"), F.size(t.paragraphs(text)).alias("paragraphs"), F.size(t.types(F.col("_w"))).alias("types"), minutes(F.size("_w"), READING_WPM).alias("reading_minutes"), minutes(F.size("_w"), ALOUD_WPM).alias("aloud_minutes"),
+        F.size(sentences_of(rows)).alias("sentences"), F.size(t.paragraphs(text)).alias("paragraphs"), F.size("_t").alias("types"), minutes(F.size("_w"), READING_WPM).alias("reading_minutes"), minutes(F.size("_w"), ALOUD_WPM).alias("aloud_minutes"),
     )
 
 
 def sentence_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sent_idx (from 0), sentence."""
-    return base(df, id_col, text_col).select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sent_idx", "sentence"))
+    rows = base(df, id_col, text_col)
+    return rows.select("doc_id", F.posexplode(sentences_of(rows)).alias("sent_idx", "sentence"))
 
 
 def word_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, pos (from 0), word."""
-    return base(df, id_col, text_col).select("doc_id", F.posexplode(t.words(F.col("text"))).alias("pos", "word"))
+    rows = base(df, id_col, text_col)
+    return rows.select("doc_id", F.posexplode(words_of(rows)).alias("pos", "word"))
 
 
 def token_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, pos (from 0), token: the normal forms that are not empty."""
-    return base(df, id_col, text_col).select("doc_id", F.posexplode(t.tokens(t.words(F.col("text")))).alias("pos", "token"))
+    rows = base(df, id_col, text_col)
+    return rows.select("doc_id", F.posexplode(tokens_of(rows)).alias("pos", "token"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as t
-from .segment import base, sentence_table, word_table
+from .segment import base, sentence_table, sentences_of, word_table, words_of
 
 NOMINAL = r"(?:tion|sion|ment|ance|ence|ity|ness|ancy|ency|ism|ure|al)s?\z"
 TOP = 12
@@ -51,22 +51,11 @@ def passive_hits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def passive(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sentences with a candidate, total, share_of_sentences, and the first eight such sentences."""
-    rows = sentence_table(df, id_col, text_col).withColumn("n", F.size(passive_of_words(t.words(F.col("sentence")))))
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n") == 0, "sent_idx"))
-    rows = rows.withColumn("_i", first)
-    shown = F.transform(F.array_sort(F.collect_list(F.when((F.col("n") > 0) & (F.col("_i") <= 8), F.struct("sent_idx", "sentence")))), lambda s: s["sentence"])
-    found = rows.groupBy("doc_id").agg(F.count_if(F.col("n") > 0).alias("sentences"), F.sum("n").alias("total"), F.count("*").alias("_all"), shown.alias("examples"))
-    out = _every(df, found, id_col, text_col, ["sentences", "total"])
-    share = F.coalesce(t.half_up(t.ratio(F.col("sentences"), F.col("_all")) * 100, 1), F.lit(0.0))
-    return out.select("doc_id", "sentences", "total", share.alias("share_of_sentences"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
-
-
-def _every(df: DataFrame, found: DataFrame, id_col: str, text_col: str, zeros: list[str]) -> DataFrame:
-    """``found`` for every document, with 0 in ``zeros`` where there is nothing."""
-    ids = base(df, id_col, text_col).select("doc_id")
-    found = found.withColumnRenamed("doc_id", "_id")
-    out = ids.join(found, ids.doc_id.eqNullSafe(found["_id"]), "left").drop("_id")
-    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zeros})
+    rows = base(df, id_col, text_col)
+    rows = rows.withColumn("_s", sentences_of(rows))
+    rows = rows.select("doc_id", F.size("_s").alias("_all"), F.filter(F.transform("_s", lambda s: F.struct(s.alias("s"), F.size(passive_of_words(t.words(s))).alias("n"))), lambda x: x["n"] > 0).alias("_p"))
+    total = F.aggregate("_p", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return rows.select("doc_id", F.size("_p").cast("long").alias("sentences"), total.alias("total"), _percent(F.size("_p"), F.col("_all")).alias("share_of_sentences"), F.transform(F.slice("_p", 1, 8), lambda x: x["s"]).alias("examples"))
 
 
 def _percent(a: Column, b: Column) -> Column:
@@ -87,11 +76,11 @@ def is_adverb(low: Column) -> Column:
 
 def word_class_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hedges: Sequence[str] = tuple(lx.HEDGES)) -> DataFrame:
     """doc_id, words, and count and percent of nominalisations, hedges and adverbs."""
-    each = word_table(df, id_col, text_col).groupBy("doc_id", F.lower("word").alias("w")).agg(F.count("*").alias("n"))
+    rows = base(df, id_col, text_col)
+    rows = rows.select("doc_id", F.transform(words_of(rows), F.lower).alias("_w"))
     kinds = {"nominalisations": is_nominalisation, "hedges": lambda c: is_hedge(c, hedges), "adverbs": is_adverb}
-    found = each.groupBy("doc_id").agg(F.sum("n").alias("words"), *[F.sum(F.when(f(F.col("w")), F.col("n")).otherwise(0)).alias(k) for k, f in kinds.items()])
-    out = _every(df, found, id_col, text_col, ["words", *kinds])
-    return out.select("doc_id", "words", *[c for k in kinds for c in (F.col(k), _percent(F.col(k), F.col("words")).alias(f"{k}_percent"))])
+    rows = rows.select("doc_id", F.size("_w").cast("long").alias("words"), *[F.size(F.filter("_w", f)).cast("long").alias(k) for k, f in kinds.items()])
+    return rows.select("doc_id", "words", *[c for k in kinds for c in (F.col(k), _percent(F.col(k), F.col("words")).alias(f"{k}_percent"))])
 
 
 def top_of_class(df: DataFrame, kind: str, k: int = TOP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,21 +102,19 @@ def rhythm(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Sentences without words have no length; ``longest_index`` counts among the lengths, and ``longest_sentence`` is the
     sentence at that index among all of them, which is another one if a wordless sentence comes before.
     """
-    rows = sentence_lengths(df, id_col, text_col)
-    worded = F.col("length") > 0
-    before = F.sum(worded.cast("int")).over(Window.partitionBy("doc_id").orderBy("sent_idx"))
-    rows = rows.withColumn("_i", F.when(worded, before - 1))
-    n = F.when(worded, F.col("length"))
-    found = rows.groupBy("doc_id").agg(
-        F.count(n).alias("count"), F.avg(n).alias("_mean"), F.median(n).alias("median"), F.stddev_pop(n).alias("_sd"), F.min(n).alias("min"), F.max(n).alias("max"),
-        F.min_by(F.col("_i"), F.when(worded, F.struct((-F.col("length")).alias("l"), F.col("_i").alias("i")))).alias("longest_index"),
-    )
-    named = sentence_table(df, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("sent_idx").alias("_s"), F.col("sentence").alias("longest_sentence"))
-    out = _every(df, found, id_col, text_col, ["count"])
-    out = out.join(named, out.doc_id.eqNullSafe(named["_id"]) & (F.col("longest_index") == F.col("_s")), "left")
+    rows = base(df, id_col, text_col)
+    rows = rows.withColumn("_s", sentences_of(rows))
+    rows = rows.withColumn("_l", F.filter(F.transform("_s", lambda s: F.size(t.words(s))), lambda n: n > 0))
+    rows = rows.withColumns({"count": F.size("_l").cast("long"), "_o": F.array_sort("_l")})
+    n, total = F.col("count"), lambda f: F.aggregate("_l", F.lit(0.0), lambda a, x: a + f(x.cast("double")))
+    rows = rows.withColumn("_mean", t.ratio(total(lambda x: x), n))
+    rows = rows.withColumn("_sd", F.sqrt(t.ratio(total(lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))), n)))
+    middle = lambda i: F.get("_o", i.cast("int")).cast("double")
+    rows = rows.withColumns({"max": F.array_max("_l"), "min": F.array_min("_l"), "median": (middle(F.floor((n - 1) / 2)) + middle(F.floor(n / 2))) / 2})
+    rows = rows.withColumn("longest_index", F.array_position("_l", F.col("max")) - 1)
     sd = F.col("_sd")
-    note = F.when(F.col("count") == 0, None).when(F.col("count") < 4, "few sentences").when(sd < 4, "uniform").when(sd > 14, "varied").otherwise("normal")
-    return out.select("doc_id", "count", t.half_up(F.col("_mean"), 1).alias("mean"), "median", t.half_up(sd, 1).alias("sd"), "min", "max", "longest_index", "longest_sentence", note.alias("note"))
+    note = F.when(n == 0, None).when(n < 4, "few sentences").when(sd < 4, "uniform").when(sd > 14, "varied").otherwise("normal")
+    return rows.select("doc_id", "count", t.half_up(F.col("_mean"), 1).alias("mean"), "median", t.half_up(sd, 1).alias("sd"), "min", "max", "longest_index", F.get("_s", F.col("longest_index").cast("int")).alias("longest_sentence"), note.alias("note"))
 
 
 def rhythm_histogram(df: DataFrame, bars: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

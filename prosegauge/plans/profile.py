@@ -11,6 +11,7 @@ from ..functions.lexicons import DEMO_TERMS, MATTR_WINDOW
 from ..operators import lexical as lex
 from ..operators import readability as read
 from ..operators import screening, segment, style
+from ..storage import save
 
 
 def _section(df: DataFrame, name: str) -> DataFrame:
@@ -24,20 +25,22 @@ def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
 def profile(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, screening_terms: Sequence[str] = tuple(DEMO_TERMS), mattr_window: int = MATTR_WINDOW, screened: bool = True) -> DataFrame:
     """doc_id, empty, counts, readability, lexical, zipf, heaps, style and (if ``screened``) screening.
 
-    Ids must be distinct; rows with one id would be measured as one document by the parts that group by it.
+    Words, tokens and sentences are worked out once and written to the shared folder; each section reads the columns it
+    needs.  Ids must be distinct; rows with one id would be measured as one document by the parts that group by it.
     """
-    a = (id_col, text_col)
-    counts = segment.counts(df, *a)
+    rows = save(segment.prepared(df, id_col, text_col), "segments")
+    counts = segment.counts(rows)
     out = counts.select("doc_id", (F.col("words") == 0).alias("empty"), F.struct(*[c for c in counts.columns if c != "doc_id"]).alias("counts"))
-    out = _joined(out, _section(_joined(_joined(read.metrics(df, *a), _section(read.basis(df, *a), "basis")), _section(read.consensus(df, *a), "consensus")), "readability"))
-    lexical = _joined(_joined(lex.diversity(df, *a), _section(lex.mattr(df, mattr_window, *a), "mattr")), _section(lex.mtld(df, id_col=id_col, text_col=text_col), "mtld"))
+    inputs = read.inputs(rows)
+    basis = inputs.withColumns(read.basis_columns())
+    reading = basis.select("doc_id", read.metrics_column().alias("metrics"), F.struct(*[c for c in basis.columns if c != "doc_id"]).alias("basis"), read.consensus_column().alias("consensus"))
+    out = _joined(out, _section(reading, "readability"))
+    lexical = _joined(_joined(lex.diversity(rows), _section(lex.mattr(rows, mattr_window), "mattr")), _section(lex.mtld(rows), "mtld"))
     out = _joined(out, _section(lexical, "lexical"))
-    out = _joined(out, _section(lex.zipf(lex.frequencies(df, *a)), "zipf"))
-    out = _joined(out, _section(lex.heaps(df, id_col=id_col, text_col=text_col), "heaps"))
-    styles = _joined(_joined(style.word_class_counts(df, *a).drop("words"), _section(style.passive(df, *a), "passive")), _section(style.rhythm(df, *a), "rhythm"))
+    out = _joined(out, _section(lex.zipf(lex.ranked_counts(rows)), "zipf"))
+    out = _joined(out, _section(lex.heaps(rows), "heaps"))
+    styles = _joined(_joined(style.word_class_counts(rows).drop("words"), _section(style.passive(rows), "passive")), _section(style.rhythm(rows), "rhythm"))
     out = _joined(out, _section(styles, "style"))
     if screened:
-        modes = screening.compare_modes(df, screening_terms, *a)
-        one = lambda m: F.max(F.when(F.col("mode") == m, F.struct("total", "whole", "collateral", "examples"))).alias(m)
-        out = _joined(out, _section(modes.groupBy("doc_id").agg(*[one(m) for m in screening.MODES]), "screening"))
+        out = _joined(out, _section(screening.modes_columns(rows, screening_terms), "screening"))
     return out

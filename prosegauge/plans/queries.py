@@ -14,6 +14,7 @@ from ..operators import citations, evaluation, screening, segment, style
 from ..operators import lexical as lex
 from ..operators import readability as read
 from ..sources.report import report_text
+from ..storage import save
 from .oracle import METRIC_IDS, TERMS
 from .profile import profile
 
@@ -49,6 +50,12 @@ def over_docs(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: longs(f(docs(spark, sf_dir)))
 
 
+def present(df: DataFrame, where: Column, columns: dict[str, Column]) -> DataFrame:
+    """doc_id and ``columns`` of the rows that ``where`` holds for.  A filter would be pushed below the projections and
+    work out their expressions a second time; a generator is not."""
+    return df.select("doc_id", F.inline(F.when(where, F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))))
+
+
 def spiced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` with signs, look-alikes and invisible characters put in."""
     text = t.text_or_empty(F.col("text"))
@@ -83,15 +90,15 @@ def register() -> None:
     for name in ("syllables_total", "polysyllables", "monosyllables", "complex_words"):
         over_docs(name, lambda d, n=name: read.inputs(d).select("doc_id", F.col("syllables" if n == "syllables_total" else n).alias(n)))
     for name, metric in METRIC_IDS.items():
-        over_docs(name, lambda d, n=name, m=metric: read.inputs(d).filter(read.usable()).select("doc_id", t.half_up(read.scores()[m], 1).alias(n)))
+        over_docs(name, lambda d, n=name, m=metric: present(read.inputs(d), read.usable(), {n: t.half_up(read.scores()[m], 1)}))
     over_docs("readability", read.long_scores)
     over_docs("readability_basis", read.basis)
     over_docs("readability_terms", lambda d: read.metrics(d).select("doc_id", F.explode("metrics").alias("m")).select("doc_id", F.col("m.id").alias("metric"), "m.substituted", F.explode("m.terms").alias("x")).select("doc_id", "metric", "substituted", "x.label", "x.value", "x.detail"))
-    usable = lambda f: lambda d: read.inputs(d).filter(read.usable()).select("doc_id", *f())
-    over_docs("grade_text", usable(lambda: [read.grade_text(read.scores()["flesch-kincaid-grade"]).alias("grade_text")]))
-    over_docs("ease_text", usable(lambda: [read.ease_text(read.scores()["flesch-reading-ease"]).alias("ease_text")]))
-    over_docs("warnings", usable(lambda: [read.warning("gunning-fog").alias("numeral_warning"), read.warning("smog").alias("smog_warning"), read.warning("automated-readability-index").alias("short_warning")]))
-    over_docs("grade_consensus", lambda d: read.consensus(d).filter("low is not null"))
+    usable = lambda f: lambda d: present(read.inputs(d), read.usable(), f())
+    over_docs("grade_text", usable(lambda: {"grade_text": read.grade_text(read.scores()["flesch-kincaid-grade"])}))
+    over_docs("ease_text", usable(lambda: {"ease_text": read.ease_text(read.scores()["flesch-reading-ease"])}))
+    over_docs("warnings", usable(lambda: {"numeral_warning": read.warning("gunning-fog"), "smog_warning": read.warning("smog"), "short_warning": read.warning("automated-readability-index")}))
+    over_docs("grade_consensus", lambda d: read.inputs(d).select("doc_id", F.inline(F.array_compact(F.array(read.consensus_column())))))
     # diversity, frequencies, laws
     some = lambda *columns: lambda d: lex.diversity(d).filter("tokens > 0").select("doc_id", *columns)
     over_docs("lexical_profile", some("tokens", "types", "hapax", "dis_legomena", "ttr", "herdan_c", "hapax_ratio"))
@@ -102,8 +109,8 @@ def register() -> None:
     over_docs("frequencies", lambda d: lex.frequencies(d).select("doc_id", "word", "count"))
     over_docs("top_words", lambda d: lex.top_words(d).select("doc_id", "count", "rank"))
     over_docs("mattr", lambda d: lex.mattr(d).filter("windows > 0"))
-    over_docs("mtld", lambda d: lex.mtld(d).filter("value is not null"))
-    over_docs("zipf", lambda d: lex.zipf(lex.frequencies(d)).drop("intercept"))
+    over_docs("mtld", lambda d: present(lex.mtld(d), F.col("value").isNotNull(), {c: F.col(c) for c in ("forward", "backward", "value")}))
+    over_docs("zipf", lambda d: lex.zipf(lex.ranked_counts(d)).drop("intercept"))
     over_docs("zipf_points", lambda d: lex.zipf_points(d).select("doc_id", "rank", t.half_up(F.col("x"), 6).alias("x"), t.half_up(F.col("y"), 6).alias("y")))
     over_docs("heaps_curve", lex.heaps_curve)
     over_docs("heaps", lambda d: lex.heaps(d).drop("k"))
@@ -115,9 +122,14 @@ def register() -> None:
     over_docs("adverbs", classes("adverbs"))
     over_docs("hedges", lambda d: style.word_class_counts(d, hedges=[*lx.HEDGES, "the", "of"]).select("doc_id", "hedges", "hedges_percent"))
     over_docs("top_nominalisations", lambda d: style.top_of_class(d, "nominalisations").select("doc_id", "count", "rank"))
-    over_docs("rhythm", lambda d: style.rhythm(d).filter("count > 0"))
+    over_docs("rhythm", lambda d: present(style.rhythm(d), F.col("count") > 0, {c: F.col(c) for c in ("count", "mean", "median", "sd", "min", "max", "longest_index", "longest_sentence", "note")}))
     over_docs("rhythm_histogram", style.rhythm_histogram)
-    over_docs("style_profile", lambda d: style.word_class_counts(d).join(style.passive(d).drop("examples"), "doc_id").join(style.rhythm(d).withColumnRenamed("count", "worded_sentences"), "doc_id"))
+    over_docs("style_profile", style_profile)
+
+
+def style_profile(df: DataFrame) -> DataFrame:
+    rows = save(segment.prepared(df), "segments")
+    return style.word_class_counts(rows).join(style.passive(rows).drop("examples"), "doc_id").join(style.rhythm(rows).withColumnRenamed("count", "worded_sentences"), "doc_id")
 
 
 def spiced_stage(name: str, f: Callable[[Column], Column]) -> None:
