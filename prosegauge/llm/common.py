@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import save, shared_dir  # noqa: F401
+
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of text that one step of a vectorised scan handles; bounds a worker's arrays.
 SLICE_BYTES = 4 << 20
 
@@ -19,24 +21,18 @@ SLICE_BYTES = 4 << 20
 CELLS = 4096
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a new local one only where that is unset (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="prosegauge-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs neither recompute it nor depend on one executor."""
-    path = f"{shared_dir(df.sparkSession)}/prosegauge/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct ``_row``, out of the way of an operator's own names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def row_columns(names: Sequence[str]) -> list[Column]:
+    """Columns of ``_row`` by name."""
+    return [F.col("_row").getField(c).alias(c) for c in names]
 
 
 def null_key(c: Column) -> Column:
@@ -47,18 +43,20 @@ def null_key(c: Column) -> Column:
 def ranked(df: DataFrame, keys: Sequence[str], h: Column, ties: Sequence[Column], name: str, counted: DataFrame | None = None) -> DataFrame:
     """Add ``name``: the row's place (from 0, gapless) among the rows of its key, in the order of hash ``h``.
 
-    A key's rows are dealt to ``CELLS`` ranges of the hash.  Cells are counted first (with partial sums), a window
-    over at most ``CELLS`` counts gives where each cell begins, and rows are ranked within a cell only, so a key that
-    holds a third of all rows is still spread over many tasks.  Keys must not be null.  ``counted``: a narrower
+    A key's rows are dealt to ``CELLS`` ranges of the hash.  Cells are counted first (with partial sums), windows over
+    64 blocks of 64 counts give where each cell begins, and rows are ranked within a cell only, so a key that holds a
+    third of all rows is still spread over many tasks.  Keys must not be null.  ``counted``: a narrower
     frame with the same keys and ``_h``, for the counting pass.
     """
     keys = list(keys)
     cell = lambda c: F.shiftrightunsigned(c, 52)
-    rows = df.withColumn("_h", h).withColumn("_cell", cell(F.col("_h")))
-    few = (rows if counted is None else counted.withColumn("_cell", cell(F.col("_h")))).select(*keys, "_cell")
-    counts = few.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rows = df.withColumn("_h", h).withColumn("_cell", cell(F.col("_h")).cast("int"))
+    few = (rows if counted is None else counted.withColumn("_cell", cell(F.col("_h")).cast("int"))).select(*keys, "_cell")
+    block = F.col("_cell").bitwiseAND(F.lit(-64)).alias("_block")  # 64 blocks of 64 cells
+    counts = save(few.groupBy(*keys, "_cell").agg(F.count("*").alias("_n")).select("*", block), "cells")
+    before = lambda by, order: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.groupBy(*keys, "_block").agg(F.sum("_n").alias("_n")).select(*keys, "_block", before(keys, "_block").alias("_base"))
+    starts = counts.withColumn("_start", before([*keys, "_block"], "_cell")).join(blocks, [*keys, "_block"]).select(*keys, "_cell", (F.col("_base") + F.col("_start")).alias("_start"))
     within = Window.partitionBy(*keys, "_cell").orderBy("_h", *ties)
     out = rows.join(starts, [*keys, "_cell"]).withColumn(name, F.col("_start") + F.row_number().over(within) - 1)
     return out.drop("_h", "_cell", "_start")
@@ -89,6 +87,12 @@ def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         a = b
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Batches to Python workers are bounded in bytes, not only in rows: ten thousand long texts are too much at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+    return df
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text_at: int = 1) -> DataFrame:
     """``mapInArrow`` with ``fn`` applied to bounded slices of each batch; string columns are 64-bit offset safe per slice."""
 
@@ -100,7 +104,22 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                     if out is not None and out.num_rows:
                         yield out
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
+
+
+def filter_slices(df: DataFrame, text: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``df`` for whose texts ``keep`` says so, in bounded slices."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for part in text_slices(batch, at):
+                    out = part.filter(pa.array(keep(texts_of(part.column(at)))))
+                    if out.num_rows:
+                        yield out
+
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def texts_of(column: pa.Array) -> pa.Array:

@@ -20,12 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, map_slices, sums_between, texts_of
+from .common import filter_slices, joined_bytes, map_slices, sums_between, text_slices, texts_of
 from .toxicity import sample_ids
 
 SAMPLE, BINS, PAIR_BINS, PAIRS = 20_000, 32, 8, 6
@@ -183,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     rows = docs.select(F.col(doc_id).cast("long").alias("_i"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(ids, "_i").select("_y", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in itertools.chain.from_iterable(text_slices(x, 1) for x in batches if x.num_rows):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(features(b.column(1)).tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     found = rows.mapInArrow(run, "y int, x array<double>").toPandas()  # at most two samples of rows
@@ -206,9 +205,4 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str = "d
 def passing(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` without the rows that the model rejects."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("boolean")
-    def keep(texts: pd.Series) -> pd.Series:
-        return pd.Series(held.value.score(features(texts_of(pa.array(texts, pa.string())))) >= threshold)
-
-    return docs.filter(keep(F.col(text)))
+    return filter_slices(docs, text, lambda texts: held.value.score(features(texts)) >= threshold)

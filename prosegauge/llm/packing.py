@@ -25,6 +25,7 @@ import bisect
 import itertools
 import random
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,16 +39,16 @@ from pyspark.sql import functions as F
 from .common import map_slices, ranked, save, texts_of
 
 #: Chunks whose ids a worker remembers; beyond that it forgets all.
-CACHE = 400_000
+CACHE = 200_000
 #: Set between chunks that are encoded together; a token of its own.
 MARK = "\x1f"
 Pattern = tuple[int, ...]
 Packing = dict[Pattern, int]
 
-_tokenizers: dict[str, tuple[object, dict[str, list[int]]]] = {}
+_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
 
 
-def _tokenizer(path: str) -> tuple[object, dict[str, list[int]]]:
+def _tokenizer(path: str) -> tuple[object, dict[str, bytes]]:
     if path not in _tokenizers:
         import os
 
@@ -58,22 +59,27 @@ def _tokenizer(path: str) -> tuple[object, dict[str, list[int]]]:
     return _tokenizers[path]
 
 
-def _encode(chunks: list[str], tokenizer: object) -> Iterator[list[int]]:
-    """Ids of each chunk.  A run of a-z is one word to the tokenizer's splitter and goes straight to its model; other
-    chunks are encoded a hundred at a time with a mark between them."""
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def _encode(chunks: list[str], tokenizer: object) -> Iterator[bytes]:
+    """Ids of each chunk, four bytes each.  A run of a-z is one word to the tokenizer's splitter and goes straight to its
+    model; other chunks are encoded a hundred at a time with a mark between them."""
     model, mark = tokenizer.model, tokenizer.encode(MARK, add_special_tokens=False).ids
     other = [c for c in chunks if not (c.isascii() and c.isalpha() and c.islower())]
     plain = iter([c for c in other if MARK not in c])
     groups = list(iter(lambda: list(itertools.islice(plain, 100)), []))
-    found: dict[str, list[int]] = {c: tokenizer.encode(c, add_special_tokens=False).ids for c in other if MARK in c}
-    for group, e in zip(groups, tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, np.int64)
-        ends = np.flatnonzero(ids == mark[0])
-        if len(mark) != 1 or len(ends) != len(group) - 1:
-            found.update(zip(group, [x.ids for x in tokenizer.encode_batch(group, add_special_tokens=False)], strict=True))
-        else:
-            found.update(zip(group, [x[k > 0 :].tolist() for k, x in enumerate(np.split(ids, ends))], strict=True))
-    return (found[c] if c in found else [t.id for t in model.tokenize(c)] for c in chunks)
+    found: dict[str, bytes] = {c: _packed(tokenizer.encode(c, add_special_tokens=False).ids) for c in other if MARK in c}
+    for part in itertools.batched(groups, 100):
+        for group, e in zip(part, tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in part], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == mark[0])
+            if len(mark) != 1 or len(ends) != len(group) - 1:
+                found.update(zip(group, [_packed(x.ids) for x in tokenizer.encode_batch(group, add_special_tokens=False)], strict=True))
+            else:
+                found.update(zip(group, [x[k > 0 :].tobytes() for k, x in enumerate(np.split(ids, ends))], strict=True))
+    return (found[c] if c in found else _packed([t.id for t in model.tokenize(c)]) for c in chunks)
 
 
 def encode_slice(texts: pa.Array, path: str, separator: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,15 +100,15 @@ def encode_slice(texts: pa.Array, path: str, separator: int) -> tuple[np.ndarray
         cache.clear()
         missing = known
     cache.update(zip(missing, _encode(missing, tokenizer), strict=True))
-    ids = [cache[c] for c in known] + [[separator]]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(lengths.sum()))
-    starts = np.cumsum(lengths) - lengths
+    ids = [cache[c] for c in known] + [_packed([separator])]
+    lengths = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    starts = np.cumsum(lengths, dtype=np.int32) - lengths
     offsets = chunks.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
-    index = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets[1:], len(known))
+    index = np.insert(coded.indices.to_numpy(zero_copy_only=False), offsets[1:], len(known))
     each = lengths[index]
-    upto = np.concatenate([[0], np.cumsum(each)])
+    upto = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
     where = np.repeat(starts[index] - upto[:-1], each) + np.arange(upto[-1])
     return flat[where], upto[offsets + np.arange(len(offsets))]
 

@@ -19,18 +19,18 @@ not matter.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, save, texts_of
+from .common import filter_slices, map_slices, save, text_slices, texts_of
 
 #: Bounds of the fit: labelled texts of each class, and terms of the lexicon.
 SAMPLE, TERMS = 20_000, 400
@@ -239,7 +239,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """``texts`` (_y, _text) to word, toxic, clean: distinct texts of each label that hold the word; the null word counts all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in itertools.chain.from_iterable(text_slices(x, 1) for x in batches if x.num_rows):
             y = b.column(0).to_numpy()
             known, index, ends = tokens(b.column(1))
             words = pa.array([folded(bare(w)) for w in known.to_pylist()], pa.string())
@@ -271,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     machine = intersect(lexicon, fuzzy_from)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in itertools.chain.from_iterable(text_slices(x, 1) for x in batches if x.num_rows):
             x, _ = features(b.column(1), machine, weights)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -298,9 +298,4 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str = "d
 def passing(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows that the model rejects."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("boolean")
-    def keep(texts: pd.Series) -> pd.Series:
-        return pd.Series(held.value.score(texts_of(pa.array(texts, pa.string())))[0] < threshold)
-
-    return docs.filter(keep(F.col(text)))
+    return filter_slices(docs, text, lambda texts: held.value.score(texts)[0] < threshold)
