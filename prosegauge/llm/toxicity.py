@@ -1,7 +1,8 @@
 """Toxicity scores from Levenshtein automata that are intersected with a lexicon trie.
 
-The lexicon is learnt from labelled texts: words whose share among toxic texts is far above their share among others,
-counted over all training labels.  The trie of its terms is intersected with the Levenshtein automaton of each term:
+The lexicon is learnt from labelled texts: words whose share among toxic texts is far above their share among others.
+Where many words of one beginning are, the beginning itself is the term, and any ending matches; so inflected forms that
+training has not seen are found.  The trie of the terms is intersected with the Levenshtein automaton of each term:
 a state is a set of (trie node, edits so far), made deterministic once, so that any word is read in one pass, whatever
 the number of terms.  Terms of ``fuzzy_from`` letters and more match with one edit, after look-alike signs (0 for o, $
 for s, ...) are folded.  All distinct words of a slice of documents are read at once, one character a step.
@@ -36,6 +37,8 @@ from .common import filter_slices, map_slices, save, text_slices, texts_of
 SAMPLE, TERMS = 20_000, 400
 #: A term occurs in this share of toxic texts and this many of them at least, and this often as likely as elsewhere.
 LEAST_SHARE, LEAST_TEXTS, LEAST_RATIO = 0.02, 3, 20.0
+#: A beginning is a term if it has so many words in toxic texts and this many times the texts of any one of them.
+STEM_WORDS, STEM_GAIN, STEM_LETTERS = 5, 1.5, range(3, 9)
 #: Words either side that a match is judged by.
 WINDOW = 8
 
@@ -65,21 +68,23 @@ def folded(word: str) -> str:
 @dataclass
 class Automaton:
     """``step[state, letter]`` for letters 1.. of ``alphabet`` (0: any other); state 0 is dead, 1 the start.
-    ``term[state]`` and ``edits[state]``: what a word that ends there matches best, or -1."""
+    ``term[state]`` and ``edits[state]``: what a word that ends there matches best, or -1; ``stem[state]``: the same for
+    a word that goes on."""
 
     alphabet: dict[str, int]
     step: np.ndarray
     term: np.ndarray
     edits: np.ndarray
+    stem: np.ndarray
     longest: int
 
     def read(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Term (-1: none) and edits of each word."""
         term, edits = np.full(len(words), -1, np.int32), np.zeros(len(words), np.int32)
-        some = np.array([i for i, w in enumerate(words) if 0 < len(w) <= self.longest], np.int64)
+        some = np.array([i for i, w in enumerate(words) if w], np.int64)
         if not len(some):
             return term, edits
-        points = np.array([words[i] for i in some.tolist()], f"U{self.longest}").view(np.uint32).reshape(len(some), -1)
+        points = np.array([words[i][: self.longest] for i in some.tolist()], f"U{self.longest}").view(np.uint32).reshape(len(some), -1)
         known = np.zeros(int(points.max()) + 1, np.int32)
         for c, k in self.alphabet.items():
             if ord(c) < len(known):
@@ -90,17 +95,21 @@ class Automaton:
         for i in range(self.longest):
             on = np.flatnonzero((length > i) & (state > 0))
             state[on] = self.step[state[on], letters[on, i]]
-        term[some], edits[some] = self.term[state], self.edits[state]
+        cut = np.array([len(words[i]) > self.longest for i in some.tolist()])
+        term[some], edits[some] = np.where(cut, self.stem[state], self.term[state]), np.where(cut, 0, self.edits[state])
         return term, edits
 
 
-def intersect(terms: Sequence[str], fuzzy_from: int = 5) -> Automaton:
-    """The automaton of all words within the edits that each term allows: one from ``fuzzy_from`` letters on, else none."""
+def intersect(terms: Sequence[str], fuzzy_from: int = 5, stems: Sequence[str] = ()) -> Automaton:
+    """The automaton of all words within the edits that each term allows (one from ``fuzzy_from`` letters on, else none),
+    and of all words that begin with one of ``stems``, which are numbered after the terms."""
+    allows = [int(len(x) >= fuzzy_from) for x in terms] + [0] * len(stems)
+    terms, n_words = [*terms, *stems], len(terms)
     children: list[dict[str, int]] = [{}]
     ends: list[int] = [-1]
     reach = [0]  # the most edits that a term below the node allows
     for t, term in enumerate(terms):
-        node, allowed = 0, int(len(term) >= fuzzy_from)
+        node, allowed = 0, allows[t]
         reach[0] = max(reach[0], allowed)
         for c in term:
             if c not in children[node]:
@@ -110,7 +119,8 @@ def intersect(terms: Sequence[str], fuzzy_from: int = 5) -> Automaton:
                 reach.append(0)
             node = children[node][c]
             reach[node] = max(reach[node], allowed)
-        ends[node] = t
+        if ends[node] < 0:
+            ends[node] = t
     alphabet = {c: i for i, c in enumerate(sorted({c for t in terms for c in t}), 1)}
 
     def closed(found: dict[int, int]) -> frozenset[tuple[int, int]]:
@@ -128,6 +138,8 @@ def intersect(terms: Sequence[str], fuzzy_from: int = 5) -> Automaton:
         found: dict[int, int] = {}
         for node, e in state:
             steps = [(node, e + 1)] if e < reach[node] else []  # an extra letter
+            if ends[node] >= n_words:
+                steps.append((node, e))  # any ending
             for x, child in children[node].items():
                 if x == c:
                     steps.append((child, e))
@@ -151,12 +163,13 @@ def intersect(terms: Sequence[str], fuzzy_from: int = 5) -> Automaton:
                 queue.append(to)
             row.append(number[to])
         rows.append(row)
-    term, edits = np.full(len(number), -1, np.int32), np.zeros(len(number), np.int32)
+    term, edits, stem = np.full(len(number), -1, np.int32), np.zeros(len(number), np.int32), np.full(len(number), -1, np.int32)
     for state, i in number.items():
-        best = min(((e, ends[n]) for n, e in state if ends[n] >= 0 and e <= int(len(terms[ends[n]]) >= fuzzy_from)), default=None)
-        if best:
-            edits[i], term[i] = best
-    return Automaton(alphabet, np.array(rows, np.int32), term, edits, max(map(len, terms), default=0) + 1)
+        found = sorted((e, ends[n]) for n, e in state if ends[n] >= 0 and e <= allows[ends[n]])
+        if found:
+            edits[i], term[i] = found[0]
+        stem[i] = next((t for _, t in found if t >= n_words), -1)
+    return Automaton(alphabet, np.array(rows, np.int32), term, edits, stem, max(map(len, terms), default=0) + 1)
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -175,10 +188,10 @@ def quoted(words: Sequence[str], at: int, window: int = WINDOW) -> bool:
     return (opened and closed) or any(bare(w) in REPORTING for w in (*left[:-1], *right[1:]))
 
 
-FEATURES = ("matches", "misspelt", "quoted", "share", "weight")
+FEATURES = ("matches", "misspelt", "quoted", "share", "weight", "stems")
 
 
-def features(texts: pa.Array, machine: Automaton, weights: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, int, bool]]]]:
+def features(texts: pa.Array, machine: Automaton, weights: np.ndarray, n_words: int) -> tuple[np.ndarray, list[list[tuple[int, int, int, bool]]]]:
     """(n, features) and each text's matches: word, term, edits, quoted."""
     known, index, ends = tokens(texts)
     words = [folded(bare(w)) for w in known.to_pylist()]
@@ -194,11 +207,11 @@ def features(texts: pa.Array, machine: Automaton, weights: np.ndarray) -> tuple[
         t, e = int(term[index[i]]), int(edits[index[i]])
         found[d].append((i - int(ends[d]), t, e, said))
         weight = weights[t] * (0.5 if e else 1.0)
-        out[d, 2 if said else 1 if e else 0] += 1
+        out[d, 2 if said else 5 if t >= n_words else 1 if e else 0] += 1
         out[d, 4] += weight * (0.25 if said else 1.0)
     n = np.diff(ends)
-    out[:, 3] = np.sqrt((out[:, 0] + out[:, 1]) / np.maximum(n, 1))
-    out[:, [0, 1, 2, 4]] = np.log1p(out[:, [0, 1, 2, 4]])
+    out[:, 3] = np.sqrt((out[:, 0] + out[:, 1] + out[:, 5]) / np.maximum(n, 1))
+    out[:, [0, 1, 2, 4, 5]] = np.log1p(out[:, [0, 1, 2, 4, 5]])
     return out, found
 
 
@@ -219,12 +232,13 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30
 @dataclass
 class Model:
     terms: list[str]
+    n_words: int
     weights: np.ndarray
     machine: Automaton
     logit: np.ndarray
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int, int, bool]]]]:
-        x, found = features(texts, self.machine, self.weights)
+        x, found = features(texts, self.machine, self.weights, self.n_words)
         return 1 / (1 + np.exp(-np.clip(x @ self.logit[:-1] + self.logit[-1], -30, 30))), found
 
 
@@ -236,22 +250,50 @@ def sample_ids(labels: DataFrame, label: str, *, held_out: Column, sample: int)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """``texts`` (_y, _text) to word, toxic, clean: distinct texts of each label that hold the word; the null word counts all."""
+    """``texts`` (_y, _text) to word, stem, toxic, clean: texts of each label that hold the word, or a word with that
+    beginning (stem); the null word counts all texts."""
+
+    def counted(doc: np.ndarray, words: pa.Array, y: np.ndarray, stem: bool) -> pa.Table:
+        t = pa.table({"doc": doc, "word": words}).group_by(["doc", "word"]).aggregate([])
+        toxic = y[t["doc"].to_numpy()]
+        t = pa.table({"word": t["word"], "toxic": pa.array(toxic, pa.int64()), "clean": pa.array(1 - toxic, pa.int64())}).filter(pc.not_equal(t["word"], ""))
+        t = t.group_by("word").aggregate([("toxic", "sum"), ("clean", "sum")])
+        return pa.table({"word": t["word"], "stem": pa.array(np.full(t.num_rows, stem)), "toxic": t["toxic_sum"], "clean": t["clean_sum"]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in itertools.chain.from_iterable(text_slices(x, 1) for x in batches if x.num_rows):
             y = b.column(0).to_numpy()
             known, index, ends = tokens(b.column(1))
-            words = pa.array([folded(bare(w)) for w in known.to_pylist()], pa.string())
+            each = pa.array([folded(bare(w)) for w in known.to_pylist()], pa.string()).take(pa.array(index))
             doc = np.repeat(np.arange(b.num_rows), np.diff(ends))
-            t = pa.table({"doc": doc, "word": words.take(pa.array(index))}).group_by(["doc", "word"]).aggregate([])
-            toxic = y[t["doc"].to_numpy()]
-            t = pa.table({"word": t["word"], "toxic": pa.array(toxic, pa.int64()), "clean": pa.array(1 - toxic, pa.int64())}).filter(pc.not_equal(t["word"], ""))
-            t = t.group_by("word").aggregate([("toxic", "sum"), ("clean", "sum")])
-            whole = pa.table({"word": pa.nulls(1, pa.string()), "toxic": pa.array([int(y.sum())], pa.int64()), "clean": pa.array([int((1 - y).sum())], pa.int64())})
-            yield from pa.concat_tables([pa.table({"word": t["word"], "toxic": t["toxic_sum"], "clean": t["clean_sum"]}), whole]).combine_chunks().to_batches(max_chunksize=50_000)
+            parts = [counted(doc, each, y, False)]
+            length = pc.utf8_length(each).to_numpy()
+            for k in STEM_LETTERS:
+                long = length >= k
+                parts.append(counted(doc[long], pc.utf8_slice_codeunits(each.filter(pa.array(long)), 0, k), y, True))
+            parts.append(pa.table({"word": pa.nulls(1, pa.string()), "stem": pa.array([False]), "toxic": pa.array([int(y.sum())], pa.int64()), "clean": pa.array([int((1 - y).sum())], pa.int64())}))
+            yield from pa.concat_tables(parts).combine_chunks().to_batches(max_chunksize=50_000)
+
+    return texts.select("_y", "_text").mapInArrow(run, "word string, stem boolean, toxic long, clean long").groupBy("word", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
-    return texts.select("_y", "_text").mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+def learn_lexicon(counts: DataFrame, n1: int, n0: int, terms: int) -> tuple[list[str], list[str], np.ndarray]:
+    """Words, stems and the weights of both, from ``word_counts`` of n1 toxic and n0 other texts."""
+    ratio = (F.col("toxic") / n1) / ((F.col("clean") + 0.5) / n0)
+    enough = (F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * n1)) & (ratio >= LEAST_RATIO)
+    likely = counts.filter(enough).withColumn("ratio", ratio)
+    words = counts.filter(F.col("word").isNotNull() & ~F.col("stem") & (F.col("toxic") > 0))
+    begun = words.filter(F.length("word") >= STEM_LETTERS[0]).select("toxic", F.explode(F.transform(F.sequence(F.lit(STEM_LETTERS[0]), F.least(F.length("word"), F.lit(STEM_LETTERS[-1]))), lambda k: F.substr(F.col("word"), F.lit(1), k))).alias("word"))
+    spread = begun.groupBy("word").agg(F.count("*").alias("words"), F.max("toxic").alias("most"))
+    stems = likely.filter("stem").join(spread, "word").filter((F.col("words") >= STEM_WORDS) & (F.col("toxic") >= STEM_GAIN * F.col("most")))
+    chosen: dict[str, float] = {}
+    for r in stems.orderBy(F.length("word"), "word").limit(10 * terms).collect():
+        if not any(r["word"].startswith(x) for x in chosen):
+            chosen[r["word"]] = r["ratio"]
+    whole = likely.filter(~F.col("stem") & F.col("word").isNotNull() & (F.length("word") >= 3) & (F.length("word") <= 40)).orderBy(F.desc("ratio"), "word").limit(terms).collect()
+    kept = {r["word"]: r["ratio"] for r in whole if not any(r["word"].startswith(x) for x in chosen)}
+    ratios = np.array([*kept.values(), *chosen.values()], float)
+    return list(kept), list(chosen), np.log(ratios) / np.log(LEAST_RATIO)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, terms: int = TERMS, fuzzy_from: int = 5) -> Model:
@@ -263,21 +305,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     whole = counts.filter("word is null").first()
     n1, n0 = (whole["toxic"], whole["clean"]) if whole else (0, 0)
     if not n1 or not n0:
-        return Model([], np.zeros(0), intersect([]), np.zeros(len(FEATURES) + 1) - np.eye(len(FEATURES) + 1)[-1] * 30)
-    ratio = (F.col("toxic") / n1) / ((F.col("clean") + 0.5) / n0)
-    least = max(LEAST_TEXTS, LEAST_SHARE * n1)
-    chosen = counts.filter(F.col("word").isNotNull() & (F.length("word") >= 3) & (F.length("word") <= 40) & (F.col("toxic") >= least) & (ratio >= LEAST_RATIO)).select("word", ratio.alias("ratio")).orderBy(F.desc("ratio"), "word").limit(terms).collect()
-    lexicon, weights = [r["word"] for r in chosen], np.log(np.array([r["ratio"] for r in chosen], float)) / np.log(LEAST_RATIO)
-    machine = intersect(lexicon, fuzzy_from)
+        return Model([], 0, np.zeros(0), intersect([]), np.zeros(len(FEATURES) + 1) - np.eye(len(FEATURES) + 1)[-1] * 30)
+    words, stems, weights = learn_lexicon(counts, n1, n0, terms)
+    machine = intersect(words, fuzzy_from, stems)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in itertools.chain.from_iterable(text_slices(x, 1) for x in batches if x.num_rows):
-            x, _ = features(b.column(1), machine, weights)
+            x, _ = features(b.column(1), machine, weights, len(words))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     fitted = rows.select("_y", "_text").mapInArrow(run, "y int, x array<double>").toPandas()  # at most two samples of rows
     x, y = np.array(fitted["x"].tolist()).reshape(-1, len(FEATURES)), fitted["y"].to_numpy(float)
-    return Model(lexicon, weights, machine, logistic(x, y))
+    return Model([*words, *(f"{x}-" for x in stems)], len(words), weights, machine, logistic(x, y))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.7) -> DataFrame:
