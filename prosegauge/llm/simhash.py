@@ -16,11 +16,12 @@ pairs.  Keys with over ``key_rows`` fingerprints are not verified: their fingerp
 pigeonhole is applied again to the other bits, until groups are small (distinct fingerprints must part in the end).
 Copies have one fingerprint and are one row from the start.
 
-``near_duplicates`` finds near copies of whole texts at a similarity of five-word shingles.  Its candidates come from
-256-bit fingerprints of the words (a set), with 16 partitions of 16 bits; a candidate is a link if 512-bit
-fingerprints of the five-word shingles estimate a Jaccard similarity of 0.8 or more.  Partitions find all pairs of
-fingerprints up to 15 differing bits, and in expectation over 99 % of pairs at a similarity of 0.8, which differ in
-some 20 bits; see the README.
+``near_duplicates`` finds near copies of whole texts: Jaccard similarity 0.8 or more of their sets of five-word
+shingles.  Its candidates come from 256-bit fingerprints of the words (a set), with 16 partitions of 16 bits: all pairs
+up to 15 differing bits, and of pairs at a similarity of 0.8, which differ in some 20 bits, over 99 % (see the README).
+A candidate whose 512-bit fingerprints of the shingles are not too far apart is checked exactly, once, under the first
+key that the pair shares; only texts with candidates send their shingles there, and what leaves a key is again a
+spanning forest.
 
 Nulls and edge cases: a null text is an empty one; texts without words have fingerprint zero and link like any other;
 texts with fewer words than a shingle have one shingle; repeated rows share fingerprint and class; null ids count as
@@ -32,7 +33,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -41,12 +42,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, save, texts_of
+from .common import map_slices, row_columns, save, texts_of, whole_row
 from .graph import components
 
 BLOCK = 8
 #: Fingerprints that are verified against each other at most; larger groups are parted further.
 KEY_ROWS = 2000
+#: Rows (of three longs) up to which a table is broadcast rather than shuffled: 24 MB.
+BROADCAST_ROWS = 1_000_000
 #: What a probe row costs, in verified candidates.
 ROW_COST = 40.0
 
@@ -264,48 +267,131 @@ def _probe(df: DataFrame, sigs: Sequence[tuple[int, np.ndarray]], whole: bool =
     return df.select("node", "fp").mapInArrow(run, "key long, sig int" + ", node long, fp binary" * whole)
 
 
-def _verify(rows: DataFrame, link: Link, width: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of each key's links.  A task streams its keys in order, one group at a time."""
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by their first column, cut so that no key is in two of them."""
+    rest: pa.RecordBatch | None = None
+    for b in batches:
+        b = b if rest is None else pa.concat_batches([rest, b])
+        keys = b.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        rest = b.slice(cut)
+        if cut:
+            yield _compact(b, 0, cut)
+    if rest is not None and rest.num_rows:
+        yield _compact(rest, 0, rest.num_rows)
+
+
+def _compact(b: pa.RecordBatch, start: int, stop: int) -> pa.RecordBatch:
+    return b.take(pa.array(np.arange(start, stop)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.RecordBatch | None = None
 
-        def edges(b: pa.RecordBatch) -> pa.RecordBatch | None:
+def linked(link: Link, width: int) -> Callable[[DataFrame], DataFrame]:
+    """Edges (a, b) of a spanning forest of each key's links.  A task streams its keys in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_keys(batches):
             nodes = b.column(1).to_numpy()
             label = forest(b.column(0).to_numpy(), _fp_array(b.column(2), width), link)
             x = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[label[x]])], names=["a", "b"]) if len(x) else None
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[label[x]])], names=["a", "b"])
 
-        for b in batches:
-            b = b if rest is None else pa.concat_batches([rest, b])
-            keys = b.column(0).to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            rest = b.slice(cut)
-            if cut and (out := edges(b.slice(0, cut).take(pa.array(np.arange(cut))))):
-                yield out
-        if rest is not None and (out := edges(rest.take(pa.array(np.arange(rest.num_rows))))):
-            yield out
+    return lambda rows: rows.select("key", "node", "fp").mapInArrow(run, "a long, b long")
+
+
+def candidates(link: Link, width: int, masks: Sequence[np.ndarray]) -> Callable[[DataFrame], DataFrame]:
+    """Rows key, node that have a candidate in their key: a pair that links and shares no earlier one of the ``masks``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_keys(batches):
+            group, sig, fps = b.column(0).to_numpy(), b.column(3).to_numpy(), _fp_array(b.column(2), width)
+            ends, active = np.searchsorted(group, group, "right"), np.zeros(len(group), bool)
+            rows, step = np.arange(len(group)), 1
+            while len(rows := rows[rows + step < ends[rows]]):
+                for a in range(0, len(rows), 1 << 16):
+                    x = rows[a : a + (1 << 16)]
+                    x = x[link(fps[x], fps[x + step])]
+                    differ = fps[x, : link.words] ^ fps[x + step, : link.words]
+                    first = np.ones(len(x), bool)
+                    for i, mask in enumerate(masks):
+                        first &= (sig[x] <= i) | (sig[x] >= len(masks)) | ((differ & mask) != 0).any(1)
+                    active[x[first]] = active[x[first] + step] = True
+                step += 1
+            if active.any():
+                yield pa.RecordBatch.from_arrays([pa.array(group[active]), b.column(1).filter(pa.array(active))], names=["key", "node"])
+
+    return lambda rows: rows.select("key", "node", "fp", "sig").mapInArrow(run, "key long, node long")
+
+
+def similar(sets: Sequence[np.ndarray], similarity: float, cells: int = 1 << 24) -> np.ndarray:
+    """For each set the first one of its component, where sets of at least this Jaccard similarity are joined."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.float32)
+    _, code, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes.astype(np.int64))
+    shared = seen[code] > 1
+    code, row = np.unique(code[shared], return_inverse=True)[1], row[shared]
+    width = max(1, cells // n)
+    common = np.zeros((n, n), np.float32)
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    for a in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        some = slice(*np.searchsorted(code, [a, a + width]))
+        table = np.zeros((n, min(width, int(code[-1]) + 1 - a)), np.float32)
+        table[row[some], code[some] - a] = 1
+        common += table @ table.T
+    total = sizes[:, None] + sizes[None, :] - common
+    near = (common >= np.float32(similarity) * total - 1e-3) & (total > 0)
+    # counts are whole numbers: settle what float32 may have rounded
+    near &= common.astype(np.float64) >= similarity * total.astype(np.float64) - 1e-9
+    label = np.arange(n)
+    while True:
+        new = np.where(near, label[None, :], n).min(1, initial=n)
+        new = np.minimum(label, new)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
-    return rows.sortWithinPartitions("key", "node").select("key", "node", "fp").mapInArrow(run, "a long, b long")
 
+def exact_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """``rows`` (key, node, items: sorted 32-bit hashes) to edges (a, b) of a spanning forest of each key's links."""
 
-def links(fps: DataFrame, partitions: Sequence[tuple[Sequence[int], int]], link: Link, width: int, *, key_rows: int = KEY_ROWS) -> DataFrame:
-    """Edges (a, b) that connect the nodes of ``fps`` (node, fp; distinct) as all links among them do."""
-    words, radius = link.words, sum(t + 1 for _, t in partitions) - 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_keys(batches):
+            keys, nodes = b.column(0).to_numpy(), b.column(1).to_numpy()
+            sets = [np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()]
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            out: list[tuple[int, int]] = []
+            for i, j in itertools.pairwise(cuts):
+                label = similar(sets[i:j], similarity) if j - i > 1 else np.zeros(1, np.int64)
+                out += [(nodes[i + x], nodes[i + label[x]]) for x in np.flatnonzero(label != np.arange(j - i)).tolist()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("key", "node", "items").repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+
+
+def by_key(fps: DataFrame, partitions: Sequence[tuple[Sequence[int], int]], words: int, verify: Callable[[DataFrame], DataFrame], *, key_rows: int = KEY_ROWS) -> DataFrame:
+    """What ``verify`` makes of the rows key, sig, node, fp of ``fps`` (node, fp; distinct), dealt by key.
+
+    Keys with over ``key_rows`` rows are parted by further bits first.
+    """
+    radius = sum(t + 1 for _, t in partitions) - 1
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sigs = dict(enumerate(signatures(partitions)))  # the bits that the rows of a signature's keys share
     masks = [(i, mask_of(bits, words)) for i, bits in sigs.items()]
     rows, keys = _probe(fps, masks), _probe(fps, masks, whole=False)
-    edges: list[DataFrame] = []
+    made: list[DataFrame] = []
     while True:
         open_sigs = [i for i, bits in sigs.items() if len(bits) < 64 * words - BLOCK]
         large = keys.groupBy("key").agg(F.count("*").alias("_n"), F.min("sig").alias("sig")).filter(F.col("_n") > key_rows)
         hot = save(large.filter(F.col("sig").isin(open_sigs)).select("key", "sig"), "hot")
         found = sorted(r[0] for r in hot.select("sig").distinct().collect())  # no more than there are signatures
         cold = rows.join(hot.select("key"), "key", "left_anti") if found else rows
-        edges.append(save(_verify(cold.repartition(tasks, "key"), link, width), "links"))
+        made.append(save(verify(cold.repartition(tasks, "key").sortWithinPartitions("key", "node")), "verified"))
         if not found:
-            return _union_all(edges)
+            return _union_all(made)
         # the rows of a hot key share its bits; the pigeonhole on the others parts them
         again = save(rows.join(hot.select("key"), "key", "left_semi").withColumnRenamed("key", "_from"), "again")
         parts = []
@@ -378,6 +464,12 @@ def expected_bits(similarity: float, bits: int) -> int:
     return round(math.acos(_cosine(similarity)) / math.pi * bits)
 
 
+def most_bits(similarity: float, bits: int, deviations: float = 4.0) -> int:
+    """Differing bits that fingerprints of two sets of this similarity hardly ever exceed."""
+    p = math.acos(_cosine(similarity)) / math.pi
+    return round(p * bits + deviations * math.sqrt(p * (1 - p) * bits))
+
+
 # --- operators -----------------------------------------------------------------------------------------------------
 
 
@@ -399,7 +491,7 @@ def simhash_components(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     pairs, ones, n = statistics(nodes, 1)
     blocks = group_bits(pairs, ones, n)
     partitions = plan(blocks, block_histograms(nodes, blocks, 1), radius, n, range(1, 2 * radius + 3))
-    roots = components(links(nodes, partitions, Link(1, radius), 1, key_rows=key_rows))
+    roots = components(by_key(nodes, partitions, 1, linked(Link(1, radius), 1), key_rows=key_rows))
     known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -437,13 +529,31 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     pairs, ones, n = statistics(least, words)
     blocks = group_bits(pairs, ones, n)
     partitions = [(list(itertools.chain(*blocks[i : i + 2])), 0) for i in range(0, len(blocks), 2)]
-    link = Link(words, expected_bits(0.5, 64 * words), expected_bits(similarity, 64 * second))
-    roots = components(links(least.select("node", "fp"), partitions, link, words + second, key_rows=key_rows))
+    link = Link(words, expected_bits(0.5, 64 * words), most_bits(similarity, 64 * second))
+    masks = [mask_of(bits, words) for bits, _ in partitions]
+    active = by_key(least.select("node", "fp"), partitions, words, candidates(link, words + second, masks), key_rows=key_rows)
+    texts = save(active.select("node").distinct().join(least.select("node", F.col("least.i").alias("_i"), F.col("least.h").alias("_h")), "node"), "texts")
+    items = save(_items(docs, texts, text, doc_id, shingle), "items")
+    roots = components(exact_links(active.join(items, "node"), similarity))
     known = least.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = known.join(known.groupBy("root").agg(F.min("least").alias("class")), "root").select("node", "class")
     return rows.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", F.col("class.i").alias("class_id"), F.col("class.h").alias("class_hash"))
 
 
+def _items(docs: DataFrame, texts: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
+    """node and items, the sorted 32-bit hashes of a text's shingles, for each of ``texts`` (node, _i, _h)."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(np.array([xxhash.xxh32_intdigest(x) for x in shingles(t.encode(), shingle)], "<u4")).tobytes() for t in part.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "items"])
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("_i"), F.xxhash64(body).alias("_h"), body.alias("_text"))
+    small = texts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = rows.join(F.broadcast(texts) if small else texts.hint("shuffle_hash"), ["_i", "_h"]).select("node", "_text")
+    return map_slices(found, run, "node long, items binary").dropDuplicates(["node"])
+
+
 def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options: object) -> DataFrame:
     """``docs`` with one row of each class: that with the least doc_id (of rows equal in id and text one)."""
     found = near_duplicates(docs, text=text, doc_id=doc_id, **options)
@@ -451,6 +561,6 @@ def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     kept = save(found.filter((F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))).select(F.col("class_id").alias("_i"), F.col("class_hash").alias("_h")), "kept")
     once = kept.groupBy("_i", "_h").agg(F.count("*").alias("_n"))
     repeated = not once.filter("_n > 1").isEmpty()
-    rows = docs.withColumn("_i", own).withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = docs.select(whole_row(docs), own.alias("_i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"))
     out = rows.join(once.select("_i", "_h").hint("shuffle_hash"), ["_i", "_h"], "left_semi")
-    return (out.dropDuplicates(["_i", "_h"]) if repeated else out).select(*docs.columns)
+    return (out.dropDuplicates(["_i", "_h"]) if repeated else out).select(*row_columns(docs.columns))
