@@ -6,9 +6,9 @@ until every leaf is one shard and so holds the target bytes.  Equal texts form o
 their bytes exceed ``atom_share`` of a shard; such hot groups are split into single rows.  At most
 shards / atom_share groups can be so large, which bounds what is broadcast.
 
-Quantiles are distributed: a level costs one aggregate for ranges and one histogram of 2^20 cells per node (a
-coordinate's first 10 bits are the value's place in the node, the last 10 a hash that parts equal values), and only
-one row per node reaches the driver.
+Quantiles are distributed: a level costs one aggregate for ranges and two histograms of 1024 sums per node, first over
+the value's place in the node, then, within the place of the cut, over a hash that parts equal values.  Only those sums
+reach the driver.
 
 Nulls and ties: a null text has no bytes (size is the fixed overhead) and forms a group with other nulls; null
 metadata counts as 0; equal rows have equal coordinates and stay together.  An empty table gives an empty result;
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ranked, save
@@ -32,40 +32,63 @@ def prefix_number(c: Column) -> Column:
     return F.coalesce(F.conv(F.rpad(F.hex(F.substring(c.cast("string"), 1, 5)), 10, "0").substr(1, 10), 16, 10).cast("double"), F.lit(0.0))
 
 
-def _coordinate(node: dict, dims: Sequence[str]) -> Column:
-    """The cell (0 to 2^20 - 1) of an atom along its node's dimension; node: columns _dim, _lo, _hi."""
-    value = F.element_at(F.array(*[F.col(d) for d in dims]), node["dim"] + 1)
-    span = node["hi"] - node["lo"]
-    place = F.when(span > 0, F.least(F.floor((value - node["lo"]) / span * (1 << BITS)), F.lit((1 << BITS) - 1))).otherwise(0).cast("long")
-    return place * (1 << BITS) + F.pmod(F.xxhash64("_a", "_b", node["dim"], node["id"]), F.lit(1 << BITS))
+def _places(dims: Sequence[str]) -> tuple[Column, Column]:
+    """Where an atom lies along its node's dimension: the value's place and, for equal values, a hash (0 to 2^BITS - 1)."""
+    value = F.element_at(F.array(*[F.col(d) for d in dims]), F.col("_dim") + 1)
+    span = F.col("_hi") - F.col("_lo")
+    place = F.when(span > 0, F.least(F.floor((value - F.col("_lo")) / span * (1 << BITS)), F.lit((1 << BITS) - 1))).otherwise(0)
+    return place.cast("int"), F.pmod(F.xxhash64("_a", "_b", "_dim", "shard"), F.lit(1 << BITS)).cast("int")
+
+
+def _cut(weights: dict[int, int], goal: float) -> tuple[int, float]:
+    """The cell in which the running sum passes ``goal``, and the sum before it."""
+    before = 0.0
+    for cell in sorted(weights):
+        if before + weights[cell] >= goal:
+            return cell, before
+        before += weights[cell]
+    last = max(weights)
+    return last, before - weights[last]
 
 
 def split_tree(atoms: DataFrame, dims: Sequence[str], shards: int) -> DataFrame:
     """``atoms`` (_a, _b, _bytes and ``dims``) with ``shard``."""
     spark = atoms.sparkSession
-    whole = atoms.agg(*[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]).first()
+    ends = [f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]
+    whole = atoms.agg(*ends).first()
     spans = [(whole[f"max_{d}"] or 0) - (whole[f"min_{d}"] or 0) for d in dims]
     rows = atoms.withColumn("shard", F.lit(0))
     open_nodes = {0: shards}  # first shard of a node: its number of shards
     while any(k > 1 for k in open_nodes.values()):
-        ranges = rows.groupBy("shard").agg(F.sum("_bytes").alias("bytes"), *[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]).collect()
-        nodes = []
-        for r in ranges:
-            if open_nodes.get(r["shard"], 1) > 1:
+        nodes = []  # at most as many as there are shards
+        for r in rows.groupBy("shard").agg(F.sum("_bytes").alias("bytes"), *ends).collect():
+            k = open_nodes[r["shard"]]
+            if k > 1:
                 wide = [(r[f"max_{d}"] - r[f"min_{d}"]) / s if s else 0.0 for d, s in zip(dims, spans, strict=True)]
-                i = max(range(len(dims)), key=lambda i: wide[i])
-                k = open_nodes[r["shard"]]
+                i = max(range(len(dims)), key=wide.__getitem__)
                 nodes.append((r["shard"], i, float(r[f"min_{dims[i]}"]), float(r[f"max_{dims[i]}"]), r["bytes"] * ((k + 1) // 2) / k, (k + 1) // 2))
         if not nodes:
             break
         known = spark.createDataFrame(nodes, "shard int, _dim int, _lo double, _hi double, _goal double, _left int")
-        cell = _coordinate({"id": F.col("shard"), "dim": F.col("_dim"), "lo": F.col("_lo"), "hi": F.col("_hi")}, dims)
-        placed = rows.join(F.broadcast(known), "shard", "left").withColumn("_cell", F.when(F.col("_dim").isNotNull(), cell))
-        cells = placed.filter("_cell is not null").groupBy("shard", "_cell", "_goal").agg(F.sum("_bytes").alias("_w"))
-        so_far = cells.withColumn("_upto", F.sum("_w").over(Window.partitionBy("shard").orderBy("_cell")))
-        cuts = so_far.groupBy("shard").agg(F.min_by("_cell", F.abs(F.col("_upto") - F.col("_goal"))).alias("_cut")).collect()
-        cut = spark.createDataFrame([tuple(r) for r in cuts], "shard int, _cut long")
-        right = F.col("_cell") > F.col("_cut")
+        place, tie = _places(dims)
+        placed = rows.join(F.broadcast(known), "shard", "left").withColumns({"_place": F.when(F.col("_dim").isNotNull(), place), "_tie": tie})
+        coarse: dict[int, dict[int, int]] = {n[0]: {} for n in nodes}  # 2^BITS sums of a node at most
+        for s, cell, w in placed.filter("_place is not null").groupBy("shard", "_place").agg(F.sum("_bytes")).collect():
+            coarse[s][cell] = w
+        cells = {n[0]: _cut(coarse[n[0]], n[4]) for n in nodes}
+        at = spark.createDataFrame([(s, cell) for s, (cell, _) in cells.items()], "shard int, _at int")
+        placed = placed.join(F.broadcast(at), "shard", "left")
+        fine: dict[int, dict[int, int]] = {n[0]: {} for n in nodes}
+        for s, cell, w in placed.filter("_place = _at").groupBy("shard", "_tie").agg(F.sum("_bytes")).collect():
+            fine[s][cell] = w
+        cuts = []
+        for n in nodes:
+            _, before = cells[n[0]]
+            cell, upto = _cut(fine[n[0]], n[4] - before)
+            over, under = before + upto + fine[n[0]][cell] - n[4], n[4] - before - upto
+            cuts.append((n[0], cell if over <= under else cell - 1))
+        cut = spark.createDataFrame(cuts, "shard int, _tie_at int")
+        right = (F.col("_place") > F.col("_at")) | ((F.col("_place") == F.col("_at")) & (F.col("_tie") > F.col("_tie_at")))
         rows = placed.join(F.broadcast(cut), "shard", "left").withColumn("shard", F.when(right, F.col("shard") + F.col("_left")).otherwise(F.col("shard"))).select(*atoms.columns, "shard")
         open_nodes = {s: n for first, k in open_nodes.items() for s, n in ([(first, k)] if k == 1 else [(first, (k + 1) // 2), (first + (k + 1) // 2, k // 2)])}
     return rows
