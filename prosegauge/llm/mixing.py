@@ -3,7 +3,7 @@
 Every document's size is its exact number of words.  A source's target is its share of the whole budget, at most
 ``max_repeat`` times the source.  Whole passes over a source come first; for the words that remain, documents are
 counted by exact size, most of the budget is taken in proportion to those counts, and a bounded-knapsack dynamic
-program over sizes meets the rest exactly if any choice of documents can.  Which documents of a size are taken is
+program over sizes comes as near to the rest as any choice of documents can.  Which documents of a size are taken is
 decided by a seeded hash of the document's id.
 
 At scale: the largest frame that one task sees is a source's size histogram.  Sizes are distinct positive integers,
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_index, null_key, ranked, save
+from .common import global_index, null_key, ranked, row_columns, save, whole_row
 
 #: Capacity of the dynamic program in words; what lies beyond is first taken greedily.
 DP_CAPACITY = 1 << 16
@@ -35,20 +35,22 @@ def words_column(text: Column) -> Column:
 
 
 def knapsack(sizes: Sequence[int], counts: Sequence[int], budget: int) -> tuple[list[int], int]:
-    """How many of each size to take so that their sum is the largest that is at most ``budget``; and that sum.
+    """How many of each size to take so that their sum is as near to ``budget`` as any is (the lesser of two as near);
+    and that sum.
 
     Bounded knapsack: a sum notes the item that reached it first, with the fewest copies, so that a walk back from
-    any sum uses each item within its count.  O(budget) memory.
+    any sum uses each item within its count.  Sums beyond twice the budget are further off than nothing at all.
     """
-    via = np.full(budget + 1, -1, np.int32)
-    reached = np.zeros(budget + 1, bool)
+    most = 2 * budget
+    via = np.full(most + 1, -1, np.int32)
+    reached = np.zeros(most + 1, bool)
     reached[0] = True
-    items = sorted((i for i in range(len(sizes)) if 0 < sizes[i] <= budget and counts[i] > 0), key=lambda i: -sizes[i])
+    items = sorted((i for i in range(len(sizes)) if 0 < sizes[i] <= most and counts[i] > 0), key=lambda i: -sizes[i])
     for i in items:
         if reached[budget]:
             break
         last, size = reached, sizes[i]
-        for _ in range(min(counts[i], budget // size)):
+        for _ in range(min(counts[i], most // size)):
             new = np.zeros_like(reached)
             new[size:] = last[:-size]
             new &= ~reached
@@ -57,7 +59,8 @@ def knapsack(sizes: Sequence[int], counts: Sequence[int], budget: int) -> tuple[
             via[new] = i
             reached = reached | new
             last = new
-    best = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    best = int(sums[np.argmin(np.abs(sums - budget))])
     taken, at = [0] * len(sizes), best
     while at:
         taken[via[at]] += 1
@@ -125,13 +128,8 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id:
 
     ``copies`` (0 to ``max_repeat``) says how often the mix takes the document, ``taken`` how many words that are.
     """
-    own = ["size", "source_size", "target", "copies", "taken"]
-    order = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    rows = docs.select(*[c for c in docs.columns if c not in own], null_key(F.col(source)).alias("_source"), F.col(source).isNull().alias("_none"), words_column(F.col(text)).alias("_size"), order.alias("_order"))
-    return _mixed(rows, weights, share, max_repeat)
-
-
-def _mixed(rows: DataFrame, weights: Sequence[float], share: float, max_repeat: int) -> DataFrame:
+    body, of = F.col(text), F.col(source)
+    rows = docs.select(whole_row(docs), null_key(of).alias("_source"), of.isNull().alias("_none"), words_column(body).alias("_size"), F.xxhash64(F.lit(seed), F.col(doc_id), body).alias("_order"))
     narrow = save(rows.select("_source", "_none", "_size", F.col("_order").alias("_h")), "sizes")
     counts = narrow.groupBy("_source", "_none", "_size").agg(F.count("*").alias("_n"))
     totals = counts.groupBy("_source", "_none").agg(F.sum(F.col("_size") * F.col("_n")).alias("_words"))
@@ -140,11 +138,12 @@ def _mixed(rows: DataFrame, weights: Sequence[float], share: float, max_repeat:
     plan = save(planned.groupBy("_source").applyInPandas(_plan(max_repeat), "_source string, _size long, source_size long, target double, _passes long, _extra long"), "plan")
     out = ranked(rows, ["_source", "_size"], F.col("_order"), [], "_rank", narrow).join(plan, ["_source", "_size"])
     copies = F.col("_passes") + (F.col("_rank") < F.col("_extra")).cast("long")
-    out = out.withColumn("size", F.col("_size")).withColumn("copies", copies.cast("int")).withColumn("taken", copies * F.col("_size"))
-    return out.drop("_source", "_none", "_size", "_order", "_rank", "_passes", "_extra")
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    return out.select(*row_columns(kept), F.col("_size").alias("size"), "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("_size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options: object) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    out = mix(docs, **options)
-    return out.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    wrapped = docs.select(F.col(text).alias("text"), F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), whole_row(docs))
+    out = mix(wrapped, **options).filter("copies > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*row_columns(docs.columns))
