@@ -18,7 +18,7 @@ OPENERS = "\"'‘“(\\[«"
 CHUNK = rf"(?s).*?(?:[.!?…]+[{CLOSERS}]*(?=[{SPACE}]|\z)|\z)"
 TAIL = rf"([.!?…]+)([{CLOSERS}]*)\z"
 #: A noncharacter, which no text for interchange holds.
-MARK = "￿"
+MARK = "\uffff"
 
 
 def _part(c: Column, pattern: str, group: int = 1) -> Column:

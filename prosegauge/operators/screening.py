@@ -250,7 +250,7 @@ def evasion_columns(term: Column) -> Column:
         mapped = lambda table: F.translate(low, "".join(table), "".join(table.values()))
         designed = [
             ("leetspeak", mapped(lx.LEET_FOR)), ("Cyrillic homoglyphs", mapped(lx.HOMOGLYPH_FOR)), ("internal spacing", F.array_join(chars, " ")), ("punctuation infix", F.array_join(chars, ".")),
-            ("zero-width joiner", F.array_join(chars, "​")), ("repeated letters", with_second(lambda c: F.repeat(c, 3))), ("diacritics", mapped(lx.ACCENT_FOR)),
+            ("zero-width joiner", F.array_join(chars, "\u200b")), ("repeated letters", with_second(lambda c: F.repeat(c, 3))), ("diacritics", mapped(lx.ACCENT_FOR)),
         ]
         independent = [("adjacent swap", swapped), ("inserted letter", with_second(lambda c: F.concat(c, filler))), ("unlisted homoglyphs", mapped(lx.UNLISTED_LOOKALIKES))]
         return F.array(*[F.struct(F.lit(n).alias("technique"), c.alias("text"), F.lit(f).alias("family")) for f, some in (("designed-for", designed), ("independent", independent)) for n, c in some])

@@ -11,7 +11,7 @@ from ..functions import lexicons as lx
 SPACE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WORD = r"\p{L}[\p{L}\p{N}]*(?:[''’\-][\p{L}\p{N}]+)*|\p{N}+(?:[.,]\p{N}+)*"
 CLOSERS, OPENERS = r"""["''’”)\]}»]""", r"""["''‘“(\[«]"""
-MARK = "￿"
+MARK = "\uffff"
 
 
 def among(c: str, words: list[str]) -> str:

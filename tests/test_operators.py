@@ -153,7 +153,7 @@ def test_more_is_found_after_normalising(spark):
 
 @pytest.mark.parametrize(
     ("text", "whole", "screened"),
-    [("you are h e l l today", "you are hell today", "you are hell today"), ("the h.e.l.l.", "the hell.", "the hell."), ("plan b or c will work.", "plan b or c will work.", "plan b or c will work."), ("hell!", "helli", "hell!"), ("hellll", "hel", "hellll"), ("асс", "acc", "acc"), ("h​e​l​l​o", "hello", "hello"), ("h3ll0 w0rld", "hello world", "hello world"), ("heeeellllo", "helo", "heeeellllo")],
+    [("you are h e l l today", "you are hell today", "you are hell today"), ("the h.e.l.l.", "the hell.", "the hell."), ("plan b or c will work.", "plan b or c will work.", "plan b or c will work."), ("hell!", "helli", "hell!"), ("hellll", "hel", "hellll"), ("асс", "acc", "acc"), ("h\u200be\u200bl\u200bl\u200bo", "hello", "hello"), ("h3ll0 w0rld", "hello world", "hello world"), ("heeeellllo", "helo", "heeeellllo")],
 )
 def test_normal_form(spark, text, whole, screened):
     assert screening.normalize(docs(spark, text)).first()["output"] == whole
