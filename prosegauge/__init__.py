@@ -1 +1,23 @@
 """Text metrics over columns of documents, as Spark DataFrame operations."""
+
+from importlib import import_module
+
+#: Public names by module.  They are imported when asked for: Python workers import the package and need none of them.
+_PUBLIC = {
+    "functions.lexicons": "ALOUD_WPM DEMO_TERMS READING_WPM",
+    "operators.citations": "cite citations format_citations",
+    "operators.lexical": "diversity frequencies heaps heaps_curve linear_fit mattr mtld top_words zipf zipf_points",
+    "operators.readability": "basis consensus inputs long_scores metrics",
+    "operators.screening": "compare_modes evasion_report evasions highlight normalize screen",
+    "operators.segment": "counts segment sentence_table token_table word_table",
+    "operators.style": "passive passive_hits rhythm rhythm_histogram top_of_class word_class_counts",
+    "plans.profile": "profile",
+}
+_MODULE_OF = {name: module for module, names in _PUBLIC.items() for name in names.split()}
+__all__ = sorted(_MODULE_OF)
+
+
+def __getattr__(name: str) -> object:
+    if name not in _MODULE_OF:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(f"{__name__}.{_MODULE_OF[name]}"), name)

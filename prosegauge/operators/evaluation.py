@@ -30,6 +30,11 @@ def syllable_histogram(gold: DataFrame) -> DataFrame:
     return syllable_errors(gold).groupBy("gold", "error").agg(F.count("*").alias("words"))
 
 
+def worst_syllables(gold: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` words with the largest errors."""
+    return syllable_errors(gold).orderBy(F.desc(F.abs("error")), "word").limit(k)
+
+
 def boundary_offsets(units: Column) -> Column:
     """Where each sentence but the last ends, in characters other than white space."""
     def sums(lengths: Column) -> Column:

@@ -43,7 +43,7 @@ def diversity(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def mattr(df: DataFrame, window: int = MATTR_WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, value, windows, window: the mean type-token ratio of all windows of so many tokens.
+    """doc_id, value, windows, window, note: the mean type-token ratio of all windows of so many tokens.
 
     A token counts in the windows in which it is the last of its type, so one look at its type's next place settles
     how many there are.  A text no longer than the window has its plain ratio.
@@ -60,7 +60,9 @@ def mattr(df: DataFrame, window: int = MATTR_WINDOW, id_col: str = "doc_id", tex
     ids = base(df, id_col, text_col).select("doc_id")
     value = F.when(short, t.ratio(F.col("v"), size)).otherwise(t.ratio(F.col("s"), F.lit(window) * (size - window + 1)))
     out = found.select(F.col("doc_id").alias("_id"), t.half_up(value, 3).alias("value"), F.when(short, F.lit(1)).otherwise(size - window + 1).cast("long").alias("windows"), F.when(short, size).otherwise(F.lit(window)).cast("long").alias("window"))
-    return ids.join(out, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "value", F.coalesce("windows", F.lit(0)).alias("windows"), F.coalesce("window", F.lit(window)).alias("window"))
+    out = ids.join(out, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    note = F.when(F.col("value").isNull(), "no words").when((F.col("windows") == 1) & (F.col("window") <= window), "the plain ratio of a text no longer than the window")
+    return out.select("doc_id", "value", F.coalesce("windows", F.lit(0)).alias("windows"), F.coalesce("window", F.lit(window)).alias("window"), note.alias("note"))
 
 
 def mtld_pass(tokens: Sequence[str], threshold: float = MTLD_THRESHOLD) -> float | None:
@@ -77,7 +79,7 @@ def mtld_pass(tokens: Sequence[str], threshold: float = MTLD_THRESHOLD) -> float
 
 
 def mtld(df: DataFrame, threshold: float = MTLD_THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, forward, backward, value: rounded where both passes have a factor, else value is null and the other two
+    """doc_id, forward, backward, value, note: rounded where both passes have a factor, else value is null and the other two
     are as they are.
 
     The resets make a pass sequential; as a fold of array expressions it costs some 25 microseconds a token, so it runs
@@ -89,12 +91,13 @@ def mtld(df: DataFrame, threshold: float = MTLD_THRESHOLD, id_col: str = "doc_id
         return pd.DataFrame([(mtld_pass(x, threshold), mtld_pass(x[::-1], threshold)) for x in lists], columns=["forward", "backward"], dtype="float64")
 
     rows = base(df, id_col, text_col)
-    rows = rows.select("doc_id", passes(tokens_of(rows)).alias("p"))
+    rows = rows.withColumn("_t", tokens_of(rows)).select("doc_id", passes(F.col("_t")).alias("p"), F.size("_t").alias("n"))
     whole = lambda c: F.when(~F.isnan(c), c)
     f, b = whole(F.col("p.forward")), whole(F.col("p.backward"))
     both = f.isNotNull() & b.isNotNull()
     shown = lambda c: F.when(both, t.half_up(c, 1)).otherwise(c)
-    return rows.select("doc_id", shown(f).alias("forward"), shown(b).alias("backward"), F.when(both, t.half_up((f + b) / 2, 1)).alias("value"))
+    note = F.when(F.col("n") == 0, "no words").when(~both, "no factor was completed").when(F.col("n") < 100, "unreliable under 100 words")
+    return rows.select("doc_id", shown(f).alias("forward"), shown(b).alias("backward"), F.when(both, t.half_up((f + b) / 2, 1)).alias("value"), note.alias("note"))
 
 
 def linear_fit(df: DataFrame, x: Column, y: Column, keys: list[str]) -> DataFrame:
@@ -112,7 +115,7 @@ def zipf_points(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def zipf(freq: DataFrame, max_rank: int = 0, min_count: int = 2, least: int = 5) -> DataFrame:
-    """``freq`` (doc_id, count, rank) to alpha, intercept, r2, fitted, fit_max_rank, fit_min_count.
+    """``freq`` (doc_id, count, rank) to alpha, intercept, r2, fitted, fit_max_rank, fit_min_count, note.
 
     The fit leaves out words that occur less than ``min_count`` times if ``least`` others are there, then all but the
     first ``max_rank``.  The frame may come from ``frequencies`` or hold any ranked series, also of fractions.
@@ -126,7 +129,8 @@ def zipf(freq: DataFrame, max_rank: int = 0, min_count: int = 2, least: int = 5)
     fit = linear_fit(used, F.log10("rank"), F.log10("count"), ["doc_id"]).withColumnRenamed("doc_id", "_id")
     enough = F.col("n") >= least
     shown = lambda c, p: F.when(enough, t.half_up(c, p))
-    return facts.join(fit, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", shown(-F.col("slope"), 3).alias("alpha"), shown(F.col("intercept"), 4).alias("intercept"), shown(F.col("r2"), 3).alias("r2"), F.col("n").alias("fitted"), "fit_max_rank", "fit_min_count")
+    note = F.when(~enough, "too few words").when(F.col("r2") < 0.7, "poor fit").when((F.col("slope") > -0.7) | (F.col("slope") < -1.5), "outside 0.7 to 1.5").otherwise("within 0.7 to 1.5")
+    return facts.join(fit, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", shown(-F.col("slope"), 3).alias("alpha"), shown(F.col("intercept"), 4).alias("intercept"), shown(F.col("r2"), 3).alias("r2"), F.col("n").alias("fitted"), "fit_max_rank", "fit_min_count", note.alias("note"))
 
 
 def heaps_curve(df: DataFrame, samples: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,8 +144,9 @@ def heaps_curve(df: DataFrame, samples: int = 200, id_col: str = "doc_id", text_
 
 
 def heaps(df: DataFrame, samples: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, points, beta, k, r2 of v = k * n^beta over the curve from n = 10 on; null under five points."""
+    """doc_id, points, beta, k, r2, note of v = k * n^beta over the curve from n = 10 on; null under five points."""
     curve = heaps_curve(df, samples, id_col, text_col).filter(F.col("n") >= 10)
     fit = linear_fit(curve, F.log10("n"), F.log10("v"), ["doc_id"])
     shown = lambda c: F.when(F.col("n") >= 5, t.half_up(c, 3))
-    return fit.select("doc_id", F.col("n").alias("points"), shown(F.col("slope")).alias("beta"), shown(F.pow(F.lit(10.0), F.col("intercept"))).alias("k"), shown(F.col("r2")).alias("r2"))
+    note = F.when(F.col("n") < 5, "too few words").when(F.col("slope").between(0.35, 0.75), "usual for prose").otherwise("not usual for prose")
+    return fit.select("doc_id", F.col("n").alias("points"), shown(F.col("slope")).alias("beta"), shown(F.pow(F.lit(10.0), F.col("intercept"))).alias("k"), shown(F.col("r2")).alias("r2"), note.alias("note"))

@@ -200,7 +200,10 @@ def modes_columns(df: DataFrame, terms: Sequence[str] = tuple(lx.DEMO_TERMS), id
         m, text = found["m"], found["text"]
         return t.let(F.filter(m, lambda x: ~x["whole_word"]), lambda inside: F.struct(F.size(m).cast("long").alias("total"), (F.size(m) - F.size(inside)).cast("long").alias("whole"), F.size(inside).cast("long").alias("collateral"), F.transform(F.slice(inside, 1, 10), lambda x: t.trimmed(context_of(text, x))).alias("examples")))
 
-    return rows.select("doc_id", *[summary(F.col(mode)).alias(mode) for mode in MODES])
+    rows = rows.select("doc_id", *[summary(F.col(mode)).alias(mode) for mode in MODES])
+    number = lambda c: F.col(c).cast("string")
+    said = F.concat(number("substring.total"), F.lit(" as substrings, "), number("substring.collateral"), F.lit(" of them inside other words; "), number("word.total"), F.lit(" as words; "), number("normalized.total"), F.lit(" as words of the normal form"))
+    return rows.withColumn("summary", said)
 
 
 def compare_modes(df: DataFrame, terms: Sequence[str] = tuple(lx.DEMO_TERMS), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -108,12 +108,12 @@ def register() -> None:
     over_docs("dis_legomena", some("dis_legomena"))
     over_docs("frequencies", lambda d: lex.frequencies(d).select("doc_id", "word", "count"))
     over_docs("top_words", lambda d: lex.top_words(d).select("doc_id", "count", "rank"))
-    over_docs("mattr", lambda d: lex.mattr(d).filter("windows > 0"))
+    over_docs("mattr", lambda d: lex.mattr(d).filter("windows > 0").drop("note"))
     over_docs("mtld", lambda d: present(lex.mtld(d), F.col("value").isNotNull(), {c: F.col(c) for c in ("forward", "backward", "value")}))
-    over_docs("zipf", lambda d: lex.zipf(lex.ranked_counts(d)).drop("intercept"))
+    over_docs("zipf", lambda d: lex.zipf(lex.ranked_counts(d)).drop("intercept", "note"))
     over_docs("zipf_points", lambda d: lex.zipf_points(d).select("doc_id", "rank", t.half_up(F.col("x"), 6).alias("x"), t.half_up(F.col("y"), 6).alias("y")))
     over_docs("heaps_curve", lex.heaps_curve)
-    over_docs("heaps", lambda d: lex.heaps(d).drop("k"))
+    over_docs("heaps", lambda d: lex.heaps(d).drop("k", "note"))
     # style
     over_docs("passive_hits", style.passive_hits)
     over_docs("passive", lambda d: style.passive(d).drop("examples"))

@@ -240,3 +240,11 @@ def test_stream(spark, tmp_path):
     q = rows.writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("seen").count() == 4
+
+
+def test_public_names():
+    import prosegauge
+
+    assert all(callable(getattr(prosegauge, n)) or n.isupper() for n in prosegauge.__all__)
+    with pytest.raises(AttributeError):
+        prosegauge.nothing  # noqa: B018
