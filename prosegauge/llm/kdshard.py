@@ -32,12 +32,18 @@ def prefix_number(c: Column) -> Column:
     return F.coalesce(F.conv(F.rpad(F.hex(F.substring(c.cast("string"), 1, 5)), 10, "0").substr(1, 10), 16, 10).cast("double"), F.lit(0.0))
 
 
-def _places(dims: Sequence[str]) -> tuple[Column, Column]:
-    """Where an atom lies along its node's dimension: the value's place and, for equal values, a hash (0 to 2^BITS - 1)."""
+NODE = "shard int, _dim int, _lo double, _hi double, _left int, _at int, _tie_at int"
+
+
+def _placed(rows: DataFrame, nodes: list[tuple], dims: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``nodes`` (as NODE has them; null for atoms of closed nodes) and with where an atom
+    lies along its node's dimension: the value's place and, for equal values, a hash (0 to 2^BITS - 1)."""
+    known = F.broadcast(rows.sparkSession.createDataFrame(nodes, NODE))  # a row for each open node
     value = F.element_at(F.array(*[F.col(d) for d in dims]), F.col("_dim") + 1)
     span = F.col("_hi") - F.col("_lo")
-    place = F.when(span > 0, F.least(F.floor((value - F.col("_lo")) / span * (1 << BITS)), F.lit((1 << BITS) - 1))).otherwise(0)
-    return place.cast("int"), F.pmod(F.xxhash64("_a", "_b", "_dim", "shard"), F.lit(1 << BITS)).cast("int")
+    place = F.when(span > 0, F.least(F.floor((value - F.col("_lo")) / span * (1 << BITS)), F.lit((1 << BITS) - 1))).when(span <= 0, 0)
+    tie = F.pmod(F.xxhash64("_a", "_b", "_dim", "shard"), F.lit(1 << BITS))
+    return rows.join(known, "shard", "left").withColumns({"_place": place.cast("int"), "_tie": tie.cast("int")})
 
 
 def _cut(weights: dict[int, int], goal: float) -> tuple[int, float]:
@@ -53,43 +59,43 @@ def _cut(weights: dict[int, int], goal: float) -> tuple[int, float]:
 
 def split_tree(atoms: DataFrame, dims: Sequence[str], shards: int) -> DataFrame:
     """``atoms`` (_a, _b, _bytes and ``dims``) with ``shard``."""
-    spark = atoms.sparkSession
     ends = [f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]
     whole = atoms.agg(*ends).first()
     spans = [(whole[f"max_{d}"] or 0) - (whole[f"min_{d}"] or 0) for d in dims]
     rows = atoms.withColumn("shard", F.lit(0))
     open_nodes = {0: shards}  # first shard of a node: its number of shards
     while any(k > 1 for k in open_nodes.values()):
-        nodes = []  # at most as many as there are shards
+        nodes: dict[int, tuple] = {}  # at most as many as there are shards
+        goal: dict[int, float] = {}
         for r in rows.groupBy("shard").agg(F.sum("_bytes").alias("bytes"), *ends).collect():
             k = open_nodes[r["shard"]]
             if k > 1:
                 wide = [(r[f"max_{d}"] - r[f"min_{d}"]) / s if s else 0.0 for d, s in zip(dims, spans, strict=True)]
                 i = max(range(len(dims)), key=wide.__getitem__)
-                nodes.append((r["shard"], i, float(r[f"min_{dims[i]}"]), float(r[f"max_{dims[i]}"]), r["bytes"] * ((k + 1) // 2) / k, (k + 1) // 2))
+                nodes[r["shard"]] = (r["shard"], i, float(r[f"min_{dims[i]}"]), float(r[f"max_{dims[i]}"]), (k + 1) // 2)
+                goal[r["shard"]] = r["bytes"] * ((k + 1) // 2) / k
         if not nodes:
             break
-        known = spark.createDataFrame(nodes, "shard int, _dim int, _lo double, _hi double, _goal double, _left int")
-        place, tie = _places(dims)
-        placed = rows.join(F.broadcast(known), "shard", "left").withColumns({"_place": F.when(F.col("_dim").isNotNull(), place), "_tie": tie})
-        coarse: dict[int, dict[int, int]] = {n[0]: {} for n in nodes}  # 2^BITS sums of a node at most
-        for s, cell, w in placed.filter("_place is not null").groupBy("shard", "_place").agg(F.sum("_bytes")).collect():
-            coarse[s][cell] = w
-        cells = {n[0]: _cut(coarse[n[0]], n[4]) for n in nodes}
-        at = spark.createDataFrame([(s, cell) for s, (cell, _) in cells.items()], "shard int, _at int")
-        placed = placed.join(F.broadcast(at), "shard", "left")
-        fine: dict[int, dict[int, int]] = {n[0]: {} for n in nodes}
-        for s, cell, w in placed.filter("_place = _at").groupBy("shard", "_tie").agg(F.sum("_bytes")).collect():
-            fine[s][cell] = w
-        cuts = []
-        for n in nodes:
-            _, before = cells[n[0]]
-            cell, upto = _cut(fine[n[0]], n[4] - before)
-            over, under = before + upto + fine[n[0]][cell] - n[4], n[4] - before - upto
-            cuts.append((n[0], cell if over <= under else cell - 1))
-        cut = spark.createDataFrame(cuts, "shard int, _tie_at int")
+
+        def sums(cell: str, where: str, at: dict[int, int], rows: DataFrame = rows, nodes: dict[int, tuple] = nodes) -> dict[int, dict[int, int]]:
+            """Bytes by cell of each node: 2^BITS sums of a node at most."""
+            out: dict[int, dict[int, int]] = {n: {} for n in nodes}
+            placed = _placed(rows, [(*v, at.get(n), None) for n, v in nodes.items()], dims)
+            for n, c, w in placed.filter(where).groupBy("shard", cell).agg(F.sum("_bytes")).collect():
+                out[n][c] = w
+            return out
+
+        coarse = sums("_place", "_place is not null", {})
+        cut = {n: _cut(coarse[n], goal[n]) for n in nodes}
+        fine = sums("_tie", "_place = _at", {n: cell for n, (cell, _) in cut.items()})
+        full = []
+        for n, v in nodes.items():
+            here, before = cut[n]
+            cell, upto = _cut(fine[n], goal[n] - before)
+            over, under = before + upto + fine[n][cell] - goal[n], goal[n] - before - upto
+            full.append((*v, here, cell if over <= under else cell - 1))
         right = (F.col("_place") > F.col("_at")) | ((F.col("_place") == F.col("_at")) & (F.col("_tie") > F.col("_tie_at")))
-        rows = placed.join(F.broadcast(cut), "shard", "left").withColumn("shard", F.when(right, F.col("shard") + F.col("_left")).otherwise(F.col("shard"))).select(*atoms.columns, "shard")
+        rows = _placed(rows, full, dims).select(*atoms.columns, F.when(right, F.col("shard") + F.col("_left")).otherwise(F.col("shard")).alias("shard"))
         open_nodes = {s: n for first, k in open_nodes.items() for s, n in ([(first, k)] if k == 1 else [(first, (k + 1) // 2), (first + (k + 1) // 2, k // 2)])}
     return rows
 
