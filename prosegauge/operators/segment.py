@@ -16,7 +16,8 @@ WORDS, TOKENS, SENTENCES = "_words", "_tokens", "_sentences"
 
 def base(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id and text, null texts empty; and the arrays of a prepared frame."""
-    known = [c for c in (WORDS, TOKENS, SENTENCES) if c in df.columns]
+    kinds = dict(df.dtypes)
+    known = [WORDS, TOKENS, SENTENCES] if all(kinds.get(c) == "array<string>" for c in (WORDS, TOKENS, SENTENCES)) else []
     return df.select(F.col(id_col).alias("doc_id"), t.text_or_empty(F.col(text_col)).alias("text"), *known)
 
 
