@@ -202,7 +202,7 @@ class Tree:
         return self.logs[row, self.column[columns[0]]]
 
 
-def build_tree(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int, chunk: int = 2048) -> Tree:
+def build_tree(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int, chunk: int = 512) -> Tree:
     """``levels[d]``: context (d bytes, the latest lowest), symbol and count of what depth d keeps, sorted by context.
 
     A node's children are the kept contexts that extend it and, if those leave counts over, one node for all others.
@@ -232,14 +232,14 @@ def build_tree(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: i
     # merged[d]: the contexts of depth d - 1 whose kept children leave counts over; rest[d]: those counts
     merged, rest = [np.zeros(0, np.int64)], [np.zeros((0, n_symbols), np.float32)]
     for d in range(1, depth + 1):
-        over = np.zeros((len(contexts[d - 1]), n_symbols), np.float64)
+        over = np.zeros((len(contexts[d - 1]), n_symbols))
         for a in range(0, len(over), chunk):
             over[a : a + chunk] = counts_of(d - 1, a, min(a + chunk, len(over)))[:, kinds.symbols]
         for a in range(0, len(contexts[d]), chunk):
             b = min(a + chunk, len(contexts[d]))
             np.subtract.at(over, parents[d][a:b], counts_of(d, a, b)[:, kinds.symbols])
         merged.append(np.flatnonzero((over > 0.5).any(1)))
-        rest.append(over[merged[d]].clip(0))
+        rest.append(over[merged[d]].clip(0).astype(np.float32))
     first = np.concatenate([[0], np.cumsum([len(contexts[d]) + len(merged[d]) for d in range(depth + 1)])])
     # weights, from the leaves up: `below` is the sum of the children's log probabilities
     stop: list[np.ndarray] = [np.zeros((0, width), np.float32)] * (depth + 1)
@@ -261,6 +261,7 @@ def build_tree(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: i
         for a in range(0, len(merged[d]), chunk):
             up[merged[d][a : a + chunk]] += kt_block(*kinds.counts(whole(rest[d][a : a + chunk])))
         below = up
+    del below, up
     # probabilities, from the root down: what is mixed so far, the weight that is left, and the mixture if it ends here
     child = np.zeros((int(first[depth]), n_symbols + 1), np.int32)
     logs = np.zeros((int(first[-1]), n_symbols + 1), np.float32)
