@@ -20,7 +20,7 @@ def among(c: str, words: list[str]) -> str:
 
 def half_up(x: str, places: int = 0) -> str:
     scale = f"{10**places}.0::DOUBLE"
-    return f"(sign({x}) * floor(abs({x}) * {scale} + 0.5) / {scale})"
+    return f"(sign({x}) * floor(abs({x}) * {scale} + 0.5) / {scale} + 0.0::DOUBLE)"  # no negative zero
 
 
 def div(a: str, b: str) -> str:
