@@ -17,14 +17,16 @@ pigeonhole is applied again to the other bits, until groups are small (distinct
 Copies have one fingerprint and are one row from the start.
 
 ``near_duplicates`` finds near copies of whole texts: Jaccard similarity 0.8 or more of their sets of five-word
-shingles.  Its candidates come from 256-bit fingerprints of the words (a set), with 16 partitions of 16 bits: all pairs
-up to 15 differing bits, and of pairs at a similarity of 0.8, which differ in some 20 bits, over 99 % (see the README).
-A candidate whose 512-bit fingerprints of the shingles are not too far apart is checked exactly, once, under the first
-key that the pair shares; only texts with candidates send their shingles there, and what leaves a key is again a
-spanning forest.
-
-Nulls and edge cases: a null text is an empty one; texts without words have fingerprint zero and link like any other;
-texts with fewer words than a shingle have one shingle; repeated rows share fingerprint and class; null ids count as
+shingles.  Its candidates come from an exact prefix-filter join.  Shingles have one order for the whole table (that of
+their 64-bit hashes); a pair at a similarity of t shares at least ceil(t * n) shingles of each of its sets, so it shares
+one of the first n - ceil(t * n) + 1 of each.  Every text sends these to their keys; no pair of that similarity is
+missed, whatever the edit.  Any order is right, so shingles with over ``HOT_ROWS`` texts under their key are put last
+and the texts that hold them get other keys.  Texts under a large key are first compared with the key's least text,
+which joins a cluster of copies at once; then all pairs that are not joined yet are counted over their keys, those that
+cannot reach t by their sizes and counts go, and each pair that is left is checked once on its shingles.
+
+Nulls and edge cases: a null text is an empty one; texts without words have fingerprint zero (in near_duplicates: no shingles) and link like
+any other; texts with fewer words than a shingle have one shingle; repeated rows share fingerprint and class; null ids count as
 larger than any id when a class's least id is taken.  An empty table gives an empty result.  Columns of ``docs``
 other than id and text do not matter.
 """
@@ -34,7 +36,6 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, row_columns, save, texts_of, whole_row
+from .common import map_slices, row_columns, save, small_batches, texts_of, whole_row
 from .graph import components
 
 BLOCK = 8
@@ -52,6 +53,12 @@ KEY_ROWS = 2000
 BROADCAST_ROWS = 1_000_000
 #: What a probe row costs, in verified candidates.
 ROW_COST = 40.0
+#: Texts under a shingle from which on the shingle is put last in the order of shingles.
+HOT_ROWS = 100
+#: Texts under a key from which on they are compared with the key's least text before they are paired.
+STAR_ROWS = 8
+#: Texts that one is checked against at once.
+CHECK_ROWS = 500
 
 
 def shingles(text: bytes, k: int) -> list[bytes]:
@@ -299,30 +306,6 @@ def linked(link: Link, width: int) -> Callable[[DataFrame], DataFrame]:
     return lambda rows: rows.select("key", "node", "fp").mapInArrow(run, "a long, b long")
 
 
-def candidates(link: Link, width: int, masks: Sequence[np.ndarray]) -> Callable[[DataFrame], DataFrame]:
-    """Rows key, node that have a candidate in their key: a pair that links and shares no earlier one of the ``masks``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in whole_keys(batches):
-            group, sig, fps = b.column(0).to_numpy(), b.column(3).to_numpy(), _fp_array(b.column(2), width)
-            ends, active = np.searchsorted(group, group, "right"), np.zeros(len(group), bool)
-            rows, step = np.arange(len(group)), 1
-            while len(rows := rows[rows + step < ends[rows]]):
-                for a in range(0, len(rows), 1 << 16):
-                    x = rows[a : a + (1 << 16)]
-                    x = x[link(fps[x], fps[x + step])]
-                    differ = fps[x, : link.words] ^ fps[x + step, : link.words]
-                    first = np.ones(len(x), bool)
-                    for i, mask in enumerate(masks):
-                        first &= (sig[x] <= i) | (sig[x] >= len(masks)) | ((differ & mask) != 0).any(1)
-                    active[x[first]] = active[x[first] + step] = True
-                step += 1
-            if active.any():
-                yield pa.RecordBatch.from_arrays([pa.array(group[active]), b.column(1).filter(pa.array(active))], names=["key", "node"])
-
-    return lambda rows: rows.select("key", "node", "fp", "sig").mapInArrow(run, "key long, node long")
-
-
 def similar(sets: Sequence[np.ndarray], similarity: float, cells: int = 1 << 24) -> np.ndarray:
     """For each set the first one of its component, where sets of at least this Jaccard similarity are joined."""
     n, sizes = len(sets), np.array([len(x) for x in sets], np.float32)
@@ -354,12 +337,12 @@ def similar(sets: Sequence[np.ndarray], similarity: float, cells: int = 1 << 24)
 
 
 def exact_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """``rows`` (key, node, items: sorted 32-bit hashes) to edges (a, b) of a spanning forest of each key's links."""
+    """``rows`` (key, node, items: sorted 64-bit hashes) to edges (a, b) of a spanning forest of each key's links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_keys(batches):
             keys, nodes = b.column(0).to_numpy(), b.column(1).to_numpy()
-            sets = [np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()]
+            sets = [np.frombuffer(x, "<u8") for x in b.column(2).to_pylist()]
             cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             out: list[tuple[int, int]] = []
             for i, j in itertools.pairwise(cuts):
@@ -372,6 +355,101 @@ def exact_links(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("key", "node", "items").repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's shingles, each once."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(text, k)], "<u8"))
+
+
+def least_common(similarity: float, n: int) -> int:
+    """Shingles of a set of n that a set of this similarity has as well, at least."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def prefix(items: np.ndarray, similarity: float, hot: np.ndarray) -> np.ndarray:
+    """The first of the sorted ``items``, those of ``hot`` last: sets of this similarity share one of these."""
+    if len(hot):
+        late = np.isin(items, hot)
+        items = np.concatenate([items[~late], items[late]])
+    return items[: len(items) - least_common(similarity, len(items)) + 1]
+
+
+def shared_keys(prefixes: DataFrame) -> DataFrame:
+    """``prefixes`` (node, size, prefix) to rows key, node, size for each shingle of a prefix that two nodes have."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 1024):
+                part = b.slice(a, 1024)
+                sets = [np.frombuffer(x, "<i8") for x in part.column(2).to_pylist()]
+                rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), part.column(0).take(rows), part.column(1).take(rows)], names=["key", "node", "size"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_keys(batches):
+            key = b.column(0).to_numpy()
+            same = key[1:] == key[:-1]
+            some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            if some.any():
+                yield b.filter(pa.array(some))
+
+    tasks = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = small_batches(prefixes).select("node", "size", "prefix").mapInArrow(spread, "key long, node long, size int")
+    return save(rows.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(shared, "key long, node long, size int"), "keys")
+
+
+def key_pairs(rows: DataFrame, similarity: float, star: bool) -> DataFrame:
+    """``rows`` (key, node, size, root) to pairs a < b of one key, of different roots and of sizes that allow the
+    similarity, with the larger size: all, or (``star``) those of the first node of a key with over ``STAR_ROWS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_keys(batches):
+            key, node, size, root = (b.column(i).to_numpy() for i in range(4))
+            starts, ends = np.searchsorted(key, key), np.searchsorted(key, key, "right")
+
+            def made(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for i in range(0, len(x), 1 << 16):
+                    p, q = x[i : i + (1 << 16)], y[i : i + (1 << 16)]
+                    more, less = np.maximum(size[p], size[q]), np.minimum(size[p], size[q])
+                    fit = (root[p] != root[q]) & (less >= similarity * more - 1e-9)
+                    if fit.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(node[p[fit]]), pa.array(node[q[fit]]), pa.array(less[fit]), pa.array(more[fit])], names=["a", "b", "less", "more"])
+
+            if star:
+                x = np.flatnonzero((ends - starts > STAR_ROWS) & (np.arange(len(key)) > starts))
+                yield from made(starts[x], x)
+                continue
+            x, step = np.arange(len(key)), 1
+            while len(x := x[x + step < ends[x]]):
+                yield from made(x, x + step)
+                step += 1
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("key", "node", "size", "root").repartition(tasks, "key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "a long, b long, less int, more int")
+
+
+def reachable(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b, each once, whose shared prefix shingles allow the similarity; ``pairs`` has a row for each of these.
+
+    What lies behind both prefixes is shared at most wholly: n shingles have ceil(t * n) - 1 behind their prefix.
+    """
+    rest = F.ceil(F.col("more") * similarity - 1e-9) - 1
+    needed = F.ceil((F.col("less") + F.col("more")) * (similarity / (1 + similarity)) - 1e-9)
+    return pairs.groupBy("a", "b", "less", "more").agg(F.count("*").alias("_n")).filter(F.col("_n") + rest >= needed).select("a", "b")
+
+
+def checked(pairs: DataFrame, similarity: float, items_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges among ``pairs`` (a, b) that have the similarity.  A text meets ``CHECK_ROWS`` others at a time or so."""
+    pairs = save(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(CHECK_ROWS)).alias("_parts"))
+    dealt = pairs.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_parts"))).alias("key"), "a", "b")
+    active = save(dealt.select("key", F.col("a").alias("node")).distinct().union(dealt.select("key", F.col("b").alias("node"))), "active")
+    return save(exact_links(active.join(items_of(active.select("node").distinct()), "node"), similarity), "links")
+
+
 def by_key(fps: DataFrame, partitions: Sequence[tuple[Sequence[int], int]], words: int, verify: Callable[[DataFrame], DataFrame], *, key_rows: int = KEY_ROWS) -> DataFrame:
     """What ``verify`` makes of the rows key, sig, node, fp of ``fps`` (node, fp; distinct), dealt by key.
 
@@ -453,23 +531,6 @@ def block_histograms(fps: DataFrame, blocks: Sequence[Sequence[int]], words: int
     return out.reshape(len(blocks), -1)
 
 
-@lru_cache(maxsize=8)
-def _cosine(similarity: float) -> float:
-    """The cosine of the indicator vectors of two sets of one size with this Jaccard similarity."""
-    return 2 * similarity / (1 + similarity)
-
-
-def expected_bits(similarity: float, bits: int) -> int:
-    """Differing bits of fingerprints of two sets of this Jaccard similarity, in expectation."""
-    return round(math.acos(_cosine(similarity)) / math.pi * bits)
-
-
-def most_bits(similarity: float, bits: int, deviations: float = 4.0) -> int:
-    """Differing bits that fingerprints of two sets of this similarity hardly ever exceed."""
-    p = math.acos(_cosine(similarity)) / math.pi
-    return round(p * bits + deviations * math.sqrt(p * (1 - p) * bits))
-
-
 # --- operators -----------------------------------------------------------------------------------------------------
 
 
@@ -508,43 +569,57 @@ def _long_nodes(least: DataFrame) -> DataFrame:
     return least.select("fp").mapInArrow(run, "node long, fp binary")
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, key_rows: int = KEY_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, key_rows: int = HOT_ROWS) -> DataFrame:
     """A row per document: doc_id, text_hash, and of its class of exact and near copies class_id (the least doc_id) and
     class_hash (the text_hash that goes with it)."""
-    words, second = 4, 8
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("_text"), F.xxhash64(body).alias("text_hash"))
 
+    def described(nodes: Sequence[int], sets: Sequence[np.ndarray], hot: np.ndarray) -> list[pa.Array]:
+        sizes = pa.array([len(x) for x in sets], pa.int32())
+        return [pa.array(nodes, pa.int64()), sizes, pa.array([prefix(x, similarity, hot).tobytes() for x in sets], pa.binary())]
+
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for t in part.column(1).to_pylist():
-            raw = t.encode()
-            out.append(fingerprint(list(set(raw.lower().split())), words).tobytes() + fingerprint(list(set(shingles(raw, shingle))), second).tobytes())
-        nodes = np.array([xxhash.xxh64_intdigest(x) for x in out], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes), pa.array(out, pa.binary())], names=["doc_id", "text_hash", "node", "fp"])
-
-    rows = save(map_slices(keyed, run, "doc_id long, text_hash long, node long, fp binary"), "fingerprints")
+        sets = [shingle_set(t.encode(), shingle) for t in part.column(1).to_pylist()]
+        nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), *described(nodes, sets, np.zeros(0, "<u8"))], names=["doc_id", "text_hash", "node", "size", "prefix"])
+
+    rows = save(map_slices(keyed, run, "doc_id long, text_hash long, node long, size int, prefix binary"), "sets")
     first = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), F.col("text_hash").alias("h"))
-    least = save(rows.groupBy("node").agg(F.min(first).alias("least"), F.first("fp").alias("fp")), "distinct")
-    pairs, ones, n = statistics(least, words)
-    blocks = group_bits(pairs, ones, n)
-    partitions = [(list(itertools.chain(*blocks[i : i + 2])), 0) for i in range(0, len(blocks), 2)]
-    link = Link(words, expected_bits(0.5, 64 * words), most_bits(similarity, 64 * second))
-    masks = [mask_of(bits, words) for bits, _ in partitions]
-    active = by_key(least.select("node", "fp"), partitions, words, candidates(link, words + second, masks), key_rows=key_rows)
-    texts = save(active.select("node").distinct().join(least.select("node", F.col("least.i").alias("_i"), F.col("least.h").alias("_h")), "node"), "texts")
-    items = save(_items(docs, texts, text, doc_id, shingle), "items")
-    roots = components(exact_links(active.join(items, "node"), similarity))
-    known = least.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = known.join(known.groupBy("root").agg(F.min("least").alias("class")), "root").select("node", "class")
+    known = save(rows.groupBy("node").agg(F.min(first).alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "distinct")
+    least = known.select("node", "least")
+
+    def items_of(nodes: DataFrame) -> DataFrame:
+        texts = save(nodes.join(least.select("node", F.col("least.i").alias("_i"), F.col("least.h").alias("_h")), "node"), "texts")
+        return save(_items(docs, texts, text, doc_id, shingle), "items")
+
+    keys = shared_keys(known)
+    # a hot key has over key_rows rows, so there are few
+    hot = np.sort(keys.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > key_rows).select("key").toArrow()["key"].to_numpy()).view("<u8")
+    if len(hot):
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sets = [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(described(b.column(0).to_pylist(), sets, hot), names=["node", "size", "prefix"])
+
+        moved = save(keys.join(keys.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > key_rows).select("key"), "key", "left_semi").select("node").distinct(), "moved")
+        others = known.join(moved, "node", "left_anti").select("node", "size", "prefix")
+        keys = shared_keys(others.union(small_batches(items_of(moved)).mapInArrow(again, "node long, size int, prefix binary")))
+    links = checked(key_pairs(keys.withColumn("root", F.col("node")), similarity, True).select("a", "b").distinct(), similarity, items_of)
+    roots = components(links)
+    placed = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = links.union(checked(reachable(key_pairs(placed, similarity, False), similarity), similarity, items_of))
+    joined = least.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = joined.join(joined.groupBy("root").agg(F.min("least").alias("class")), "root").select("node", "class")
     return rows.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", F.col("class.i").alias("class_id"), F.col("class.h").alias("class_hash"))
 
 
 def _items(docs: DataFrame, texts: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
-    """node and items, the sorted 32-bit hashes of a text's shingles, for each of ``texts`` (node, _i, _h)."""
+    """node and items, the sorted 64-bit hashes of a text's shingles, for each of ``texts`` (node, _i, _h)."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(np.array([xxhash.xxh32_intdigest(x) for x in shingles(t.encode(), shingle)], "<u4")).tobytes() for t in part.column(1).to_pylist()]
+        sets = [shingle_set(t.encode(), shingle).tobytes() for t in part.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "items"])
 
     body = F.coalesce(F.col(text), F.lit(""))

@@ -201,6 +201,26 @@ def test_near_duplicates(spark, table):
     assert found.class_id.tolist() == classes(len(rows), near)
 
 
+def test_near_duplicates_with_contiguous_edits(spark, table):
+    """Each text beside one copy whose end is cut off, or that has a passage behind, before or inside it."""
+    from prosegauge.llm.simhash import near_duplicates
+
+    rng = np.random.default_rng(11)
+    texts = [t for t in table.text if len(t.split()) > 60]
+    rows = []
+    for i, t in enumerate(texts):
+        words = t.split()
+        more = [f"put{rng.integers(1 << 30)}" for _ in range(int(len(words) * 0.2))]
+        at = int(rng.integers(0, len(words)))
+        copies = (words[: int(len(words) * 0.83)], words + more, more + words, words[:at] + more + words[at:])
+        rows += [t, " ".join(copies[i % 4])]
+    sets = [set(shingled(t, 5)) for t in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) > 100
+    found = near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).toPandas().sort_values("doc_id")
+    assert found.class_id.tolist() == classes(len(rows), near)
+
+
 def test_hot_keys_lose_nothing(spark):
     """Very many fingerprints that share most bits: keys are parted again and again, with the same components."""
     from pyspark.sql import functions as F
