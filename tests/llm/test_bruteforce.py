@@ -221,6 +221,24 @@ def test_near_duplicates_with_contiguous_edits(spark, table):
     assert found.class_id.tolist() == classes(len(rows), near)
 
 
+def test_near_duplicates_under_hot_keys(spark):
+    """Distinct texts that share a long passage, each beside a copy with its end cut off, and texts that lead one to
+    the next: nearly all shared shingles are under large keys."""
+    from prosegauge.llm.simhash import near_duplicates
+
+    rng = np.random.default_rng(12)
+    word = lambda: f"w{rng.integers(1 << 30)}"
+    passage, long, rows = [word() for _ in range(80)], [word() for _ in range(600)], []
+    for _ in range(150):
+        words = [*passage, *(word() for _ in range(120))]
+        rows += [" ".join(words), " ".join(words[: rng.integers(160, 185)])]
+    rows += [" ".join(long[a : a + 200]) for a in range(0, 400, 10)]
+    sets = [set(shingled(t, 5)) for t in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), key_rows=20).toPandas().sort_values("doc_id")
+    assert found.class_id.tolist() == classes(len(rows), near)
+
+
 def test_hot_keys_lose_nothing(spark):
     """Very many fingerprints that share most bits: keys are parted again and again, with the same components."""
     from pyspark.sql import functions as F
