@@ -1,9 +1,11 @@
 """Parts of the operators by themselves."""
 
 import collections
+import functools
 import itertools
 import math
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -95,60 +97,104 @@ def test_kt_block_equals_the_sequential_estimate():
         assert ctw.kt_block(np.array([bits.count(0) * 1.0]), np.array([bits.count(1) * 1.0]))[0] == pytest.approx(kt_sequence(bits))
 
 
-def grams(text, depth):
-    codes = ctw.gram_codes(ctw.contexts_of(pa.array([text], pa.large_string()), depth)[0])
-    levels = []
-    for d in range(depth + 1):
-        c = collections.Counter(((int(x) >> 8) & ((1 << 8 * d) - 1), int(x) & 255) for x in codes)
-        keys = sorted(c)
-        levels.append((np.array([k for k, _ in keys]), np.array([s for _, s in keys]), np.array([c[k] for k in keys])))
-    return levels
-
-
-def test_tree_probabilities_are_those_of_the_recursion():
-    """Each decision's mixture, from the definition, on a small text."""
-    depth, text = 2, "abracadabra abracadabra"
-    tree = ctw.build_tree(grams(text, depth), depth)
-    columns, _ = ctw.contexts_of(pa.array([text], pa.large_string()), depth)
-    data = [(tuple(int(columns[k][i]) for k in range(1, depth + 1)), int(columns[0][i])) for i in range(len(columns[0]))]
-
-    def counts(context, node):
-        out = [0, 0]
-        for c, x in data:
-            if c[: len(context)] == context:
-                path = [(256 + x) >> (8 - i) for i in range(9)]
-                if node in path[:8]:
-                    out[path[path.index(node) + 1] & 1] += 1
-        return out
+def recursion(train, depth):
+    """log10 probability of a gram (nearest byte first, symbol) by the definition of the mixture, over all ``train``."""
+    counts = collections.defaultdict(lambda: [0, 0])
+    followed = collections.defaultdict(set)
+    for context, x in train:
+        for d in range(depth + 1):
+            if d:
+                followed[context[: d - 1]].add(context[d - 1])
+            for k in range(8):
+                counts[context[:d], (256 | x) >> (8 - k)][x >> (7 - k) & 1] += 1
+
+    def block(context, node):
+        z, o = counts.get((context, node), (0, 0))
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
 
+    @functools.cache
     def weighted(context, node):
-        own = float(ctw.kt_block(*(np.array([x * 1.0]) for x in counts(context, node)))[0])
         if len(context) == depth:
-            return own
-        below = sum(weighted((*context, b), node) for b in {c[len(context)] for c, _ in data if c[: len(context)] == context})
-        return float(np.logaddexp(own, below)) - math.log(2)
+            return block(context, node)
+        below = sum(weighted((*context, b), node) for b in followed.get(context, ()))
+        return float(np.logaddexp(block(context, node), below)) - math.log(2)
 
     def one(context, node):
-        a = 0.0
-        left, end = 1.0, 0.5
+        settled, left, end = 0.0, 1.0, 0.5
         for d in range(depth + 1):
             c = context[:d]
-            z, o = counts(c, node)
+            z, o = counts.get((c, node), (0, 0))
             if z + o == 0:
                 break
             kt = (o + 0.5) / (z + o + 1)
-            end = a + left * kt
+            end = settled + left * kt
             if d < depth:
-                own = float(ctw.kt_block(np.array([z * 1.0]), np.array([o * 1.0]))[0])
-                beta = 0.5 * math.exp(own - weighted(c, node))
-                a, left = a + left * beta * kt, left * (1 - beta)
+                stop = 0.5 * math.exp(block(c, node) - weighted(c, node))
+                settled, left = settled + left * stop * kt, left * (1 - stop)
         return end
 
-    got = tree.score(columns)
-    for i, (context, x) in list(enumerate(data))[:8]:
-        path = [(256 + x) >> (8 - k) for k in range(9)]
-        want = sum(math.log10(one(context, n) if m & 1 else 1 - one(context, n)) for n, m in itertools.pairwise(path))
-        assert got[i] == pytest.approx(want, abs=1e-5)
+    @functools.cache
+    def log10(context, x):
+        out = 0.0
+        for k in range(8):
+            p = one(context, (256 | x) >> (8 - k))
+            out += math.log10(p if x >> (7 - k) & 1 else 1 - p)
+        return out
+
+    return log10
+
+
+def coded(text, depth):
+    """(preceding bytes, nearest first; byte) of each byte of a text's words and of its end."""
+    data = [255] * depth + list(b"".join(w + b" " for w in text.encode().lower().split())) + [255]
+    return [(tuple(data[i - depth : i][::-1]), data[i]) for i in range(depth, len(data))]
+
+
+CORPUS = ["abracadabra abracadabra", "the cat sat on the mat and the dog sat on the cat", "", "\u00e9t\u00e9 123 abra", "the the the", "a cat", "zz\x00 top abra cat", "sat on a mat", None, "the dog ate the mat"]
+
+
+@pytest.mark.parametrize(("depth", "split"), [(1, 1), (2, 2), (3, 1), (4, 2), (6, 2), (6, 3)])
+def test_tree_probabilities_are_those_of_the_recursion(spark, depth, split, monkeypatch):
+    """Each gram of trained and of other texts, from the definition; subtrees are cut after every few grams."""
+    known = [x for t in CORPUS[:5] for x in coded(t or "", depth)]
+    others = [x for t in CORPUS for x in coded(t or "", depth)]
+    log10, n, m = recursion(known, depth), collections.Counter(known), collections.Counter(others)
+
+    def number(gram):
+        return int.from_bytes(bytes(gram[0]), "big") << 8 | gram[1]
+
+    monkeypatch.setattr(ctw, "STEP", 7)
+    rows = spark.createDataFrame([(number(g), n[g], m[g]) for g in m], "gram long, n long, m long")
+    found = {r["gram"]: (r["m"], r["log10"]) for r in ctw.probabilities(rows, depth, split).collect()}
+    assert len(found) == len(m)
+    for g in m:
+        assert found[number(g)] == (m[g], pytest.approx(log10(*g), abs=1e-9))
+
+
+@pytest.mark.parametrize("frequent", [1 << 16, 5])
+def test_scores_are_those_of_the_whole_tree(spark, frequent):
+    """All contexts count, whether a gram is among the broadcast ones or joined."""
+    texts = [(i, CORPUS[i % len(CORPUS)]) for i in range(40)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    log10 = recursion([x for i, t in texts if not held(i) for x in coded(t or "", 6)], 6)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in ctw.score(docs, frequent_words=frequent, frequent_grams=frequent).collect()}
+    for i, t in texts:
+        grams = coded(t or "", 6)
+        assert found[i]["score"] == pytest.approx(sum(log10(*g) for g in grams), rel=1e-5)
+        assert found[i]["bits_per_byte"] == pytest.approx(-found[i]["score"] * math.log2(10) / len(grams))
+
+
+def test_no_context_is_left_out(spark):
+    """Over 32,768 contexts of a depth, each seen twice: the longest context decides, so none has been merged."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(9000)]
+    docs = spark.createDataFrame([(i, " ".join(words[a : a + 100])) for i, a in enumerate([*range(0, 9000, 100)] * 2)], "doc_id long, text string")
+    trained = sorted({int(g) for i, a in enumerate([*range(0, 9000, 100)] * 2) if zlib.crc32(str(i).encode()) % 7 != 2 for g in ctw.grams_of(pa.array([" ".join(words[a : a + 100])], pa.large_string()), 6)[0]})
+    assert len({g >> 8 for g in trained}) > 32_768
+    grams = ctw.count_grams(docs.select(ctw.held_out_column(docs.doc_id).alias("held_out"), docs.text.alias("_text")), 6)
+    assert sorted(r["gram"] for r in grams.filter("n > 0").collect()) == trained
+    assert ctw.probabilities(grams, 6).count() == grams.count()
 
 
 def test_coded_bytes():
