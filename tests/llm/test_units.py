@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from prosegauge.llm import ctw, gam, isomedia, licences, lzprint, mixing, simhash, toxicity
+from prosegauge.llm import ctw, gam, isomedia, kdshard, licences, lzprint, mixing, simhash, toxicity
 
 
 @given(st.lists(st.tuples(st.integers(1, 30), st.integers(0, 4)), max_size=6), st.integers(0, 120))
@@ -311,3 +311,51 @@ def test_features_of_slices_are_those_of_single_texts():
     texts = ["", "Abc def!! 12%%% x", "é è", "A" * 300, "a | b\nc"]
     whole = gam.features(pa.array(texts))
     assert np.allclose(whole, np.vstack([gam.features(pa.array([t])) for t in texts]))
+
+
+def sharded(spark, rows, **options):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = kdshard.shard(docs, **options).toPandas().sort_values("doc_id").reset_index(drop=True)
+    found["text"], found["source"] = [r[1] for r in rows], [r[3] for r in rows]
+    return found
+
+
+def test_shards_are_balanced_and_copies_stay_together(spark):
+    """Copies up to 0.4 of a shard, one group of a third of all rows, and long texts beside short ones."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    texts = [" ".join(word() for _ in range(int(rng.expovariate(1 / 60)) + 1)) for _ in range(2600)] + [" ".join(word() for _ in range(500)) for _ in range(20)]
+    for copies in (2, 3, 5, 9, 17, 30):
+        texts += [t for _ in range(6) for t in [" ".join(word() for _ in range(40))] for _ in range(copies)]
+    texts += ["one text that a third of all rows hold " * 3] * (len(texts) // 2)
+    found = sharded(spark, [(i, t, "en", f"s{i % 5}") for i, t in enumerate(texts)], shards=20)
+    sizes = found.groupby("shard")["size"].sum()
+    assert len(sizes) == 20 and sizes.max() / sizes.mean() < 1.01 and sizes.min() / sizes.mean() > 0.99
+    for text, g in found.groupby("text"):
+        if g["size"].sum() <= 0.5 * sizes.mean():
+            assert g["shard"].nunique() == 1, len(g)
+    assert found[found.text == texts[-1]]["shard"].nunique() >= 3  # it holds over two shards
+    for _, g in found.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
+@pytest.mark.parametrize("limit", [kdshard.BROADCAST_BYTES, 0])
+def test_shards_tell_values_apart_behind_their_beginning(spark, monkeypatch, limit):
+    """Two sources that differ after byte 5 only, with nothing else to cut by, whether ranks are broadcast or joined."""
+    monkeypatch.setattr(kdshard, "BROADCAST_BYTES", limit)
+    rows = [(i, f"{i:04d}", None, "https://one.example" if i % 2 else "https://two.example") for i in range(400)]
+    found = sharded(spark, rows, shards=2)
+    assert found.groupby("source")["shard"].nunique().tolist() == [1, 1] and found["shard"].nunique() == 2
+
+
+@given(st.lists(st.integers(1, 400), max_size=40), st.integers(0, 3000), st.integers(2, 9))
+@settings(max_examples=60, deadline=None)
+def test_large_atoms_of_a_node_leave_room_for_small_ones(sizes, small, shards):
+    atoms = [kdshard.Atom(i, i, n, [float(i)], i) for i, n in enumerate(sizes)]
+    total = sum(sizes) + small
+    node = kdshard.Node(0, shards, 0, 0.0, max(len(sizes) - 1.0, 0.0))
+    node.goal, node.small = total * node.left / shards, small
+    left = kdshard.divided(atoms, node, {0: small} if small else {}, total)
+    assert left == sum(x.size for x in atoms if x.shard == 0) and {x.shard for x in atoms} <= {0, node.left}
+    if small >= 2 * max(sizes, default=0):
+        assert node.goal - small - 1e-9 <= left <= node.goal + 1e-9
