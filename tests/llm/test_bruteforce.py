@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from prosegauge.llm import lzprint
+from prosegauge.llm import licences, lzprint
 from prosegauge.llm.queries import QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -169,7 +169,10 @@ def test_op8(table, results):
         row = r.loc[i]
         assert (row.n_words, row.n_base, row.base_labels) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
         assert places == [] or (row.first_word, row.last_word) == (min(places)[0], max(places)[0])
-        assert set(filter(None, row.base_labels.split(","))) <= set(row.labels.split(",")) and 0 <= row.score <= 1
+        own = {x for p, x in licences.NOTICES.items() if f" {p} " in f" {' '.join(words)} "} | {x for _, x in places}
+        assert own == set(filter(None, row.labels.split(","))) and "identifier:" not in low and "expression:" not in low
+        weak = own & licences.WEAK
+        assert row.required == ",".join(sorted(own - weak)) and row.score == pytest.approx(1 - 0.5 ** (len(own - weak) + 0.5 * len(weak)))
 
 
 def test_op9(table, results):

@@ -250,7 +250,7 @@ def test_quotation_counts_less():
         ("MIT", {"mit"}, {"mit"}, True),
         ("MIT OR GPL-3.0-only", {"mit", "gpl-3.0-only"}, set(), True),
         ("MIT AND GPL-3.0-only", {"mit", "gpl-3.0-only"}, {"mit", "gpl-3.0-only"}, False),
-        ("GPL-2.0 WITH Classpath-exception-2.0", {"gpl-2.0", "gpl-2.0 with classpath-exception-2.0"}, {"gpl-2.0", "gpl-2.0 with classpath-exception-2.0"}, False),
+        ("GPL-2.0 WITH Classpath-exception-2.0", {"gpl-2.0 with classpath-exception-2.0"}, {"gpl-2.0 with classpath-exception-2.0"}, False),
         ("MIT OR Apache-2.0 AND GPL-2.0", {"mit", "apache-2.0", "gpl-2.0"}, set(), True),
         ("(MIT OR Apache-2.0) AND GPL-2.0", {"mit", "apache-2.0", "gpl-2.0"}, {"gpl-2.0"}, False),
     ],
@@ -266,10 +266,47 @@ def test_malformed_expressions(bad):
 
 
 def test_tags_and_phrases():
-    n, k, first, last, own, labels, _, places = licences.scan("x SPDX-License-Identifier: (MIT or ISC) and BSD-2-Clause\nThen CC-BY 4.0; not ACC BY.")
-    assert (k, first, last, own) == (1, 12, 12, {"cc-by"}) and {"mit", "isc", "bsd-2-clause", "cc-by"} <= labels and places == [(12, "cc-by")]
-    assert n == 19
-    assert licences.scan("")[:4] == (0, 0, None, None)
+    s = licences.scan("x SPDX-License-Identifier: (MIT or ISC) and BSD-2-Clause\nThen CC-BY 4.0; not ACC BY.")
+    assert (s.n_base, s.first_word, s.last_word, s.base_labels) == (1, 12, 12, {"cc-by"}) and s.labels == {"mit", "isc", "bsd-2-clause", "cc-by", "cc-by-4.0"}
+    assert s.required == {"bsd-2-clause", "cc-by", "cc-by-4.0"} and s.permissive and s.n_words == 19 and set(s.places) == {(12, "cc-by"), (12, "cc-by-4.0")}
+    assert licences.scan("")[:4] == (0, 0, None, None) and licences.scan("").permissive is None
+    assert licences.scan("Released under GPL v3.").labels == {"gpl", "gpl-3.0", "notice"} and licences.scan("under the MIT License").labels == {"mit"}
+
+
+def test_operators_change_the_row():
+    rows = {x: licences.scan(f"License-Expression: {x}") for x in ("MIT", "GPL-3.0", "MIT OR GPL-3.0", "MIT AND GPL-3.0", "GPL-3.0 WITH Classpath", "MIT OR", "MIT MIT")}
+    seen = {x: (",".join(sorted(s.labels)), ",".join(sorted(s.required)), s.permissive, s.score) for x, s in rows.items()}
+    assert seen == {
+        "MIT": ("mit", "mit", True, 0.5),
+        "GPL-3.0": ("gpl-3.0", "gpl-3.0", False, 0.5),
+        "MIT OR GPL-3.0": ("gpl-3.0,mit", "", True, 0.5),
+        "MIT AND GPL-3.0": ("gpl-3.0,mit", "gpl-3.0,mit", False, 0.75),
+        "GPL-3.0 WITH Classpath": ("gpl-3.0 with classpath", "gpl-3.0 with classpath", False, 0.5),
+        "MIT OR": ("mit", "mit", True, 0.5),  # the expression ends where it stops making sense
+        "MIT MIT": ("mit", "mit", True, 0.5),
+    }
+    bad = licences.scan("License-Expression: (MIT OR ISC")
+    assert bad.labels == {"unparsed", "mit", "isc"} and bad.required == {"unparsed"} and bad.permissive is None
+    both = licences.scan("license-expression: MIT\nlicense-expression: GPL-2.0 or ISC\n")
+    assert both.required == {"mit"} and both.permissive and both.expressions == 2
+
+
+@given(st.recursive(st.sampled_from(["mit", "gpl-2.0", "isc", "apache-2.0", "agpl-3.0"]), lambda x: st.tuples(st.sampled_from(["and", "or"]), x, x), max_leaves=7))
+@settings(max_examples=80, deadline=None)
+def test_evaluation_is_that_of_all_choices(tree):
+    """Against the list of all ways to comply: each is the set of licences accepted."""
+
+    def choices(x):
+        if isinstance(x, str):
+            return [frozenset([x])]
+        a, b = choices(x[1]), choices(x[2])
+        return [p | q for p in a for q in b] if x[0] == "and" else a + b
+
+    def said(x):
+        return x if isinstance(x, str) else f"({said(x[1])} {x[0].upper()} {said(x[2])})"
+
+    ways = choices(tree)
+    assert licences.evaluate(said(tree)) == (set().union(*ways), set.intersection(*map(set, ways)), any(all(n.startswith(licences.PERMISSIVE) for n in w) for w in ways))
 
 
 def test_allocation_meets_the_pigeonhole():
