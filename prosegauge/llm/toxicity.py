@@ -1,15 +1,19 @@
 """Toxicity scores from Levenshtein automata that are intersected with a lexicon trie.
 
-The lexicon is learnt from labelled texts: words whose share among toxic texts is far above their share among others.
+The lexicon is learnt from labelled texts: words whose share among toxic texts is far above their share among others,
+by a ratio and by a test of significance that allows for the number of words tested (false discovery rate); how many
+toxic texts a term must be in does not depend on how many there are.
 Where many words of one beginning are, the beginning itself is the term, and any ending matches; so inflected forms that
-training has not seen are found.  The trie of the terms is intersected with the Levenshtein automaton of each term:
+training has not seen are found.  ``terms`` bounds the automaton; were more terms found, those of the best evidence would
+be taken.  The trie of the terms is intersected with the Levenshtein automaton of each term:
 a state is a set of (trie node, edits so far), made deterministic once, so that any word is read in one pass, whatever
 the number of terms.  Terms of ``fuzzy_from`` letters and more match with one edit, after look-alike signs (0 for o, $
 for s, ...) are folded.  All distinct words of a slice of documents are read at once, one character a step.
 
 Every match is weighed by its context window: matches between quotation marks, and those with a word of reporting
 nearby, count as quoted.  A logistic model over the weighed matches gives the score; it is fitted on at most ``sample``
-labelled texts of each class, chosen by a hash of the id.
+labelled texts of each class, chosen by a hash of the id, and where a class has more, its texts weigh as much as all of
+them would: so scores mean the same at every size.
 
 Labels, language, source and id are no inputs of a score.  A task needs the automaton (bounded by ``terms``) and one
 slice of texts; there is no shuffle of texts.  Nulls and edge cases: a null text is an empty one and scores like any
@@ -21,6 +25,7 @@ not matter.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -33,10 +38,12 @@ from pyspark.sql import functions as F
 
 from .common import filter_slices, map_slices, save, text_slices, texts_of
 
-#: Bounds of the fit: labelled texts of each class, and terms of the lexicon.
-SAMPLE, TERMS = 20_000, 400
-#: A term occurs in this share of toxic texts and this many of them at least, and this often as likely as elsewhere.
-LEAST_SHARE, LEAST_TEXTS, LEAST_RATIO = 0.02, 3, 20.0
+#: Bounds of the fit: labelled texts of each class, and terms of the lexicon (the size of the automaton).
+SAMPLE, TERMS = 20_000, 2_000
+#: A term occurs in this many toxic texts at least, and this often as likely as elsewhere.
+LEAST_TEXTS, LEAST_RATIO = 3, 20.0
+#: Share of terms found by chance that is allowed for.
+DISCOVERY = 0.05
 #: A beginning is a term if it has so many words in toxic texts and this many times the texts of any one of them.
 STEM_WORDS, STEM_GAIN, STEM_LETTERS = 5, 1.5, range(3, 9)
 #: Words either side that a match is judged by.
@@ -215,15 +222,16 @@ def features(texts: pa.Array, machine: Automaton, weights: np.ndarray, n_words:
     return out, found
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton steps with a ridge on the weights."""
+def logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Weights and, last, the intercept, by Newton steps with a ridge on the weights.  ``each``: what a row counts."""
+    each = each / each.mean()
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     ridge = np.diag([penalty] * x.shape[1] + [1e-6])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + ridge @ w
-        w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, g)
+        g = a.T @ (each * (p - y)) + ridge @ w
+        w -= np.linalg.solve(a.T @ (a * (each * p * (1 - p))[:, None]) + ridge, g)
         if np.abs(g).max() < 1e-6:
             break
     return w
@@ -243,10 +251,20 @@ class Model:
 
 
 def sample_ids(labels: DataFrame, label: str, *, held_out: Column, sample: int) -> DataFrame:
-    """Ids and labels of at most ``sample`` documents of each class, those with the least hashes: a bounded table."""
+    """_i, _y and _w: ids and labels of at most ``sample`` documents of each class, those with the least hashes (a
+    bounded table), and how many of its class each stands for."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy(F.col("doc_id").cast("long").alias("_i")).agg(F.max(label).cast("int").alias("_y"))
+    counts = dict(map(tuple, known.filter("_y in (0, 1)").groupBy("_y").agg(F.count("*")).collect()))
     order = F.xxhash64(F.lit(3), F.col("_i"))
-    return known.filter("_y = 1").orderBy(order, "_i").limit(sample).union(known.filter("_y = 0").orderBy(order, "_i").limit(sample))
+    chosen = [known.filter(F.col("_y") == y).orderBy(order, "_i").limit(sample).withColumn("_w", F.lit(max(1.0, counts.get(y, 0) / sample))) for y in (1, 0)]
+    return chosen[0].union(chosen[1])
+
+
+def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, *, held_out: Column, sample: int, text: str, doc_id: str) -> DataFrame:
+    """_y, _w and _text of the sample, one row an id: of several texts with one id the least."""
+    ids = F.broadcast(sample_ids(labels, label, held_out=held_out, sample=sample))
+    rows = docs.select(F.col(doc_id).cast("long").alias("_i"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(ids, "_i")
+    return rows.groupBy("_i", "_y", "_w").agg(F.min("_text").alias("_text")).select("_y", "_w", "_text")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -277,20 +295,39 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("_y", "_text").mapInArrow(run, "word string, stem boolean, toxic long, clean long").groupBy("word", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def least_evidence(rows: DataFrame, n_tests: int) -> float:
+    """The least evidence (minus the log of a bound on the p-value) at which so many of ``rows`` have it that at most
+    ``DISCOVERY`` of them are due to chance.  Read from a histogram, 16 cells to a unit."""
+    cells = sorted(map(tuple, rows.groupBy(F.least(F.floor(F.col("evidence") * 16), F.lit(16_000)).alias("cell")).agg(F.count("*")).collect()), reverse=True)
+    found, least = 0, float("inf")
+    for cell, n in cells:
+        found += n
+        if n_tests * math.exp(-cell / 16) <= DISCOVERY * found:
+            least = cell / 16
+    return least
+
+
 def learn_lexicon(counts: DataFrame, n1: int, n0: int, terms: int) -> tuple[list[str], list[str], np.ndarray]:
-    """Words, stems and the weights of both, from ``word_counts`` of n1 toxic and n0 other texts."""
-    ratio = (F.col("toxic") / n1) / ((F.col("clean") + 0.5) / n0)
-    enough = (F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * n1)) & (ratio >= LEAST_RATIO)
-    likely = counts.filter(enough).withColumn("ratio", ratio)
-    words = counts.filter(F.col("word").isNotNull() & ~F.col("stem") & (F.col("toxic") > 0))
+    """Words, stems and the weights of both, from ``word_counts`` of n1 toxic and n0 other texts.
+
+    A word's evidence is Chernoff's bound for that many of its texts to be toxic, were it as likely in both classes.
+    """
+    a, b, share = F.col("toxic"), F.col("clean"), n1 / (n1 + n0)
+    part = lambda k, p: F.when(k > 0, k * F.log(k / ((a + b) * p))).otherwise(0.0)
+    ratio = (a / n1) / ((b + 0.5) / n0)
+    tested = counts.filter(F.col("word").isNotNull() & (F.length("word") >= 3) & (F.length("word") <= 40) & (a + b >= LEAST_TEXTS))
+    tested = save(tested.select("word", "stem", "toxic", "clean", ratio.alias("ratio"), F.when(a > share * (a + b), part(a, share) + part(b, 1 - share)).otherwise(0.0).alias("evidence")), "tested")
+    words = counts.filter(F.col("word").isNotNull() & ~F.col("stem") & (a > 0))
     begun = words.filter(F.length("word") >= STEM_LETTERS[0]).select("toxic", F.explode(F.transform(F.sequence(F.lit(STEM_LETTERS[0]), F.least(F.length("word"), F.lit(STEM_LETTERS[-1]))), lambda k: F.substr(F.col("word"), F.lit(1), k))).alias("word"))
     spread = begun.groupBy("word").agg(F.count("*").alias("words"), F.max("toxic").alias("most"))
-    stems = likely.filter("stem").join(spread, "word").filter((F.col("words") >= STEM_WORDS) & (F.col("toxic") >= STEM_GAIN * F.col("most")))
+    least = {stem: least_evidence(tested.filter(F.col("stem") == stem), tested.filter(F.col("stem") == stem).count()) for stem in (False, True)}
+    likely = tested.filter((a >= LEAST_TEXTS) & (F.col("ratio") >= LEAST_RATIO) & (F.col("evidence") >= F.when(F.col("stem"), least[True]).otherwise(least[False])))
+    stems = likely.filter("stem").join(spread, "word").filter((F.col("words") >= STEM_WORDS) & (a >= STEM_GAIN * F.col("most")))
     chosen: dict[str, float] = {}
-    for r in stems.orderBy(F.length("word"), "word").limit(10 * terms).collect():
+    for r in stems.orderBy(F.desc("evidence"), "word").limit(terms).select("word", "ratio").orderBy(F.length("word"), "word").collect():
         if not any(r["word"].startswith(x) for x in chosen):
             chosen[r["word"]] = r["ratio"]
-    whole = likely.filter(~F.col("stem") & F.col("word").isNotNull() & (F.length("word") >= 3) & (F.length("word") <= 40)).orderBy(F.desc("ratio"), "word").limit(terms).collect()
+    whole = likely.filter("not stem").orderBy(F.desc("evidence"), "word").limit(terms).collect()
     kept = {r["word"]: r["ratio"] for r in whole if not any(r["word"].startswith(x) for x in chosen)}
     ratios = np.array([*kept.values(), *chosen.values()], float)
     return list(kept), list(chosen), np.log(ratios) / np.log(LEAST_RATIO)
@@ -298,9 +335,7 @@ def learn_lexicon(counts: DataFrame, n1: int, n0: int, terms: int) -> tuple[list
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, terms: int = TERMS, fuzzy_from: int = 5) -> Model:
     """Lexicon and logistic model from the labels that are not held out."""
-    held = held_out_column(F.col("doc_id"))
-    ids = F.broadcast(sample_ids(labels, label, held_out=held, sample=sample))
-    rows = save(docs.select(F.col(doc_id).cast("long").alias("_i"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(ids, "_i").select("_y", "_text"), "sample")
+    rows = save(sampled_texts(docs, labels, label, held_out=held_out_column(F.col("doc_id")), sample=sample, text=text, doc_id=doc_id), "sample")
     counts = save(word_counts(rows.dropDuplicates(["_text"])), "words")
     whole = counts.filter("word is null").first()
     n1, n0 = (whole["toxic"], whole["clean"]) if whole else (0, 0)
@@ -310,13 +345,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     machine = intersect(words, fuzzy_from, stems)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in itertools.chain.from_iterable(text_slices(x, 1) for x in batches if x.num_rows):
-            x, _ = features(b.column(1), machine, weights, len(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
-
-    fitted = rows.select("_y", "_text").mapInArrow(run, "y int, x array<double>").toPandas()  # at most two samples of rows
-    x, y = np.array(fitted["x"].tolist()).reshape(-1, len(FEATURES)), fitted["y"].to_numpy(float)
-    return Model([*words, *(f"{x}-" for x in stems)], len(words), weights, machine, logistic(x, y))
+        for b in itertools.chain.from_iterable(text_slices(x, 2) for x in batches if x.num_rows):
+            x, _ = features(b.column(2), machine, weights, len(words))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "w", "x"])
+
+    fitted = rows.select("_y", "_w", "_text").mapInArrow(run, "y int, w double, x array<double>").toPandas()  # at most two samples of rows
+    x, y, w = np.array(fitted["x"].tolist()).reshape(-1, len(FEATURES)), fitted["y"].to_numpy(float), fitted["w"].to_numpy(float)
+    order = np.lexsort((y, *x.T))  # the same fit in whatever order rows come
+    return Model([*words, *(f"{x}-" for x in stems)], len(words), weights, machine, logistic(x[order], y[order], w[order]))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.7) -> DataFrame:
