@@ -1,12 +1,14 @@
 """Quality classifier: a generalised additive model with pairwise interactions.
 
-Features of a text come from class counts over its bytes, for whole slices of documents at once.  Each feature is cut
+Features of a text come from class counts over its bytes, and from how its words and lines repeat, for whole slices
+of documents at once.  Each feature is cut
 into at most ``BINS`` bins; cyclic boosting goes round the features and adds, for each, a shallow tree on the
 gradient, so that a feature ends up with one lookup table over its bins.  The pairs whose coarse grids explain most of
 what is left are boosted in the same way as two-dimensional tables.  A score is the sum of table entries: vectorised
 additions by bin numbers, through a logistic function.
 
-The model is fitted on at most ``sample`` labelled texts of each class, chosen by a hash of the id.  Labels, language,
+The model is fitted on at most ``sample`` labelled texts of each class, chosen by a hash of the id; where a class has
+more, its texts weigh as much as all of them would, so scores mean the same at every size.  Labels, language,
 source and id are no inputs of a score.  Scoring is one pass without a shuffle.  Nulls and edge cases: a null text is
 an empty one, with all features 0; labels that are null are left out, of several for one id the largest counts;
 repeated rows are scored each; with training texts of one class only, or none, every score is the class share (0.5
@@ -21,16 +23,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import filter_slices, joined_bytes, map_slices, sums_between, text_slices, texts_of
-from .toxicity import sample_ids
+from .toxicity import sampled_texts
 
 SAMPLE, BINS, PAIR_BINS, PAIRS = 20_000, 32, 8, 6
 ROUNDS, RATE, LEAVES, LEAST_LEAF = 120, 0.1, 4, 5
 
-NAMES = ("log_bytes", "letters", "upper", "digits", "spaces", "lines", "stops", "bangs", "signs", "bars", "other", "non_ascii", "word_length", "sentence_length", "doubled", "after_sign", "capitals", "line_length")
+NAMES = ("log_bytes", "letters", "upper", "digits", "spaces", "lines", "stops", "bangs", "signs", "bars", "other", "non_ascii", "word_length", "sentence_length", "doubled", "after_sign", "capitals", "line_length", "types", "repeated_words", "top_word", "repeated_lines")
 
 
 def held_out_column(doc_id: Column, modulus: int = 5, remainder: int = 0) -> Column:
@@ -49,6 +52,35 @@ _SIGN, _BAR, _OTHER = _table("#$%&*@^~"), _table("|"), _table("()[]{}<>/\\=+_`\"
 _HIGH = np.repeat(np.array([0, 1], np.uint8), 128)
 
 
+def repetition(texts: pa.Array) -> list[np.ndarray]:
+    """Distinct words over the root of all words, the share of words that repeat the one before, the share of the most
+    frequent word, and the share of lines that occurred before."""
+
+    def coded(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the items that are not blank, the text of each, and how many each text has."""
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        some = pc.not_equal(pc.binary_length(pc.ascii_trim_whitespace(flat)), 0).to_numpy(zero_copy_only=False)
+        code = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False)[some].astype(np.int64)
+        return code, row[some], np.bincount(row[some], minlength=len(lists))
+
+    def groups(code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text and size of each group of equal items of a text."""
+        pairs, n = np.unique(row << 32 | code, return_counts=True)
+        return pairs >> 32, n
+
+    texts = pa.array(texts, pa.large_string())
+    code, row, words = coded(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
+    of, n = groups(code, row)
+    most = np.zeros(len(texts))
+    np.maximum.at(most, of, n)
+    again = (code[1:] == code[:-1]) & (row[1:] == row[:-1])
+    lines, at, many = coded(pc.split_pattern(texts, "\n"))
+    kinds = np.bincount(groups(lines, at)[0], minlength=len(texts))
+    some = np.maximum(words, 1)
+    return [np.bincount(of, minlength=len(texts)) / np.sqrt(some), np.bincount(row[1:][again], minlength=len(texts)) / some, most / some, 1 - np.where(many > 0, kinds / np.maximum(many, 1), 1.0)]
+
+
 def features(texts: pa.Array) -> np.ndarray:
     """(n, features); shares are of the text's bytes unless the name says otherwise."""
     data, ends = joined_bytes(texts)
@@ -69,7 +101,7 @@ def features(texts: pa.Array) -> np.ndarray:
     some = np.maximum(n, 1)
     columns = [
         np.log1p(n), letters / some, count(upper) / np.maximum(letters, 1), of(_DIGIT) / some, count(space) / some, lines / some, stops / some, of(_BANG) / some, of(_SIGN) / some, of(_BAR) / some, of(_OTHER) / some, of(_HIGH) / some,
-        letters / np.maximum(words, 1), words / (stops + 1), count(doubled) / some, count(closing) / np.maximum(words, 1), capital / np.maximum(words, 1), n / (lines + 1),
+        letters / np.maximum(words, 1), words / (stops + 1), count(doubled) / some, count(closing) / np.maximum(words, 1), capital / np.maximum(words, 1), n / (lines + 1), *repetition(texts),
     ]
     return np.column_stack(columns)
 
@@ -124,9 +156,10 @@ def shallow_tree(g: np.ndarray, h: np.ndarray, leaves: int = LEAVES) -> np.ndarr
     return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS) -> Model:
-    """Cyclic boosting of one table per feature, then of one grid for each of the best pairs."""
-    share = float(y.mean()) if len(y) else 0.5
+def boost(x: np.ndarray, y: np.ndarray, each: np.ndarray | None = None, rounds: int = ROUNDS, pairs: int = PAIRS) -> Model:
+    """Cyclic boosting of one table per feature, then of one grid for each of the best pairs.  ``each``: what a row counts."""
+    each = np.ones(len(y)) if each is None else each / each.mean() if len(each) else each
+    share = float(np.average(y, weights=each)) if len(y) else 0.5
     if not len(y) or share in (0.0, 1.0):
         return Model(float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -30, 30)))
     k = x.shape[1]
@@ -137,7 +170,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS
     model.tables = [np.zeros(s) for s in sizes]
     f = np.full(len(y), model.base)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) * min(share, 1 - share) * 2  # both classes count alike
-    weight = weight ** 0.5
+    weight = weight**0.5 * each
 
     def gradient() -> tuple[np.ndarray, np.ndarray]:
         p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
@@ -178,16 +211,16 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Model:
     """The model from the labels that are not held out."""
-    ids = F.broadcast(sample_ids(labels, label, held_out=held_out_column(F.col("doc_id")), sample=sample))
-    rows = docs.select(F.col(doc_id).cast("long").alias("_i"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(ids, "_i").select("_y", "_text")
+    rows = sampled_texts(docs, labels, label, held_out=held_out_column(F.col("doc_id")), sample=sample, text=text, doc_id=doc_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in itertools.chain.from_iterable(text_slices(x, 1) for x in batches if x.num_rows):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(features(b.column(1)).tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+        for b in itertools.chain.from_iterable(text_slices(x, 2) for x in batches if x.num_rows):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(features(b.column(2)).tolist(), pa.list_(pa.float64()))], names=["y", "w", "x"])
 
-    found = rows.mapInArrow(run, "y int, x array<double>").toPandas()  # at most two samples of rows
-    order = np.lexsort(np.array(found["x"].tolist()).reshape(-1, len(NAMES)).T)  # the same fit in whatever order rows come
-    return boost(np.array(found["x"].tolist()).reshape(-1, len(NAMES))[order], found["y"].to_numpy(float)[order])
+    found = rows.mapInArrow(run, "y int, w double, x array<double>").toPandas()  # at most two samples of rows
+    x, y, w = np.array(found["x"].tolist()).reshape(-1, len(NAMES)), found["y"].to_numpy(float), found["w"].to_numpy(float)
+    order = np.lexsort((y, *x.T))  # the same fit in whatever order rows come
+    return boost(x[order], y[order], w[order])
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.3) -> DataFrame:
