@@ -5,9 +5,13 @@ documents are cut).  Pieces of one length are interchangeable, so a packing is a
 lengths, and the whole problem is the histogram of lengths: at most ``capacity`` numbers at any corpus size.
 
 The grouping genetic algorithm runs on that histogram.  A crossover injects whole well-filled bins of one parent,
-removes the bins of the other that would hold an injected piece twice, and best-fits the displaced pieces.  Islands
-are Spark tasks with populations of their own; after each epoch every island's elite migrates to its neighbour.  Best
-fit works on counts of equal bins, so a generation costs the same for a thousand documents and for a billion.
+removes the bins of the other that would hold an injected piece twice, and best-fits the displaced pieces, after
+displaced pieces have changed places with smaller ones of bins that they fill better.  A mutation empties bins.
+Parents are drawn by tournament from the whole population, which holds no two packings of equal bins.  Islands are
+Spark tasks with populations of their own; after each epoch every island's elite migrates to its neighbour, and the
+best of all to every island.  A search ends where the number of bins is the least that the sum of lengths allows, or
+when its budget of generations, and of bins looked at, is spent.  Best fit works on counts of equal bins, so a
+generation costs the same for a thousand documents and for a billion.
 
 The best packing becomes intervals: of the pieces of length L, those ranked a to b fill certain bins at a certain
 offset.  Pieces are ranked within their length in hash cells (a third of all pieces may share one length) and find
@@ -42,6 +46,8 @@ from .common import map_slices, ranked, save, texts_of
 CACHE = 200_000
 #: Set between chunks that are encoded together; a token of its own.
 MARK = "\x1f"
+#: Different bins that an island looks at in an epoch, and displaced lengths up to which exchanges are tried.
+BUDGET, FEW = 200_000, 48
 Pattern = tuple[int, ...]
 Packing = dict[Pattern, int]
 
@@ -181,9 +187,44 @@ def _need(p: Pattern) -> dict[int, int]:
     return need
 
 
+def exchange(bins: Packing, left: dict[int, int], capacity: int) -> None:
+    """Let one or two pieces of a bin change places with one or two of ``left`` that fill it better, one bin after
+    another.  Both arguments are changed; the larger pieces end up in bins, which leaves smaller ones to best fit."""
+    for p in sorted((p for p in bins if sum(p) < capacity), key=lambda p: (-sum(p), p)):
+        times = bins[p]
+        while times > 0:
+            room = capacity - sum(p)
+            singles = sorted(length for length, n in left.items() if n)
+            if len(singles) > FEW:
+                return
+            offers = sorted({(x, (x,)) for x in singles} | {(x + y, (x, y)) for i, x in enumerate(singles) for y in singles[i:] if x != y or left[x] > 1})
+            sums = [x for x, _ in offers]
+            best: tuple[int, Pattern, Pattern] = (0, (), ())
+            for out in {(x,) for x in p} | set(itertools.combinations(p, 2)):
+                at = bisect.bisect_right(sums, sum(out) + room) - 1
+                if at >= 0 and sums[at] - sum(out) > best[0]:
+                    best = (sums[at] - sum(out), out, offers[at][1])
+            if not best[0]:
+                break
+            kept = list(p)
+            for x in best[1]:
+                kept.remove(x)
+                left[x] = left.get(x, 0) + 1
+            for x in best[2]:
+                left[x] -= 1
+            full = tuple(sorted((*kept, *best[2]), reverse=True))
+            bins[full] = bins.get(full, 0) + 1
+            times -= 1
+            if bins[p] == 1:
+                del bins[p]
+            else:
+                bins[p] -= 1
+
+
 def crossover(a: Packing, b: Packing, histogram: dict[int, int], capacity: int, rng: random.Random) -> Packing:
     """Inject well-filled bins of ``b`` into ``a``, drop the bins of ``a`` that then hold too much, best-fit the rest."""
-    slack = rng.choice((0, 1, 2, 4, 8, 16))
+    slack = rng.choice((0, 0, 1, 2, 4, 8, 16))
+    share = rng.random()
     child: Packing = {}
     left = dict(histogram)
 
@@ -196,12 +237,13 @@ def crossover(a: Packing, b: Packing, histogram: dict[int, int], capacity: int,
                 left[length] -= n * times
 
     for p, m in sorted(b.items()):
-        if capacity - sum(p) <= slack and rng.random() < 0.5:
+        if capacity - sum(p) <= slack and rng.random() < share:
             take(p, m)
-    worst = rng.random() * 0.1
+    emptied = rng.choice((0.05, 0.2, 0.5))  # the mutation: bins of the other parent that are emptied, the ill-filled ones mostly
     for p, m in sorted(a.items(), key=lambda x: (-sum(x[0]), x[0])):
-        if capacity - sum(p) <= slack or rng.random() > worst:  # else a mutation: the bin is emptied
+        if rng.random() >= emptied * (0.3 if capacity - sum(p) <= slack else 1.0):
             take(p, m)
+    exchange(child, left, capacity)
     return best_fit({length: n for length, n in left.items() if n}, child, capacity)
 
 
@@ -210,44 +252,73 @@ def fitness(p: Packing, capacity: int) -> tuple[int, float]:
     return sum(p.values()), -sum(m * (sum(x) / capacity) ** 2 for x, m in p.items())
 
 
-def evolve(histogram: dict[int, int], migrants: list[Packing], capacity: int, seed: int, population: int, generations: int) -> Packing:
-    """The best packing of one island."""
+def evolve(histogram: dict[int, int], migrants: list[Packing], capacity: int, seed: int, population: int, generations: int, budget: int = BUDGET) -> list[Packing]:
+    """The packings of one island, the best first."""
     rng = random.Random(seed)
     least = -(-sum(k * n for k, n in histogram.items()) // capacity)
-    start = best_fit(histogram, {}, capacity)
-    people = [*migrants, start]
-    while len(people) < population:
-        first = rng.sample(sorted(histogram), max(1, len(histogram) // 4))
-        some = best_fit({k: histogram[k] for k in first}, {}, capacity)
-        people.append(best_fit({k: n for k, n in histogram.items() if k not in set(first)}, some, capacity))
-    people.sort(key=lambda p: fitness(p, capacity))
+    people: list[tuple[tuple[int, float], Packing]] = []
+
+    def join(p: Packing) -> None:
+        value = fitness(p, capacity)
+        if all(value != other or p != q for other, q in people):
+            people.append((value, p))
+            people.sort(key=lambda x: x[0])
+            del people[population:]
+
+    for p in (*migrants, best_fit(histogram, {}, capacity)):
+        join(p)
+    while len(people) < population and people[0][0][0] > least and budget > 0:
+        first = rng.sample(sorted(histogram), max(1, len(histogram) // rng.choice((2, 3, 4, 8))))
+        some = best_fit({k: rng.randint(1, histogram[k]) for k in first}, {}, capacity)
+        used: dict[int, int] = {}
+        for p, m in some.items():
+            for k, n in _need(p).items():
+                used[k] = used.get(k, 0) + n * m
+        made = best_fit({k: n - used.get(k, 0) for k, n in histogram.items() if n > used.get(k, 0)}, some, capacity)
+        before = len(people)
+        join(made)
+        budget -= len(made) if len(people) > before else budget
     for _ in range(generations):
-        if fitness(people[0], capacity)[0] <= least:
+        if people[0][0][0] <= least or budget <= 0:
             break
-        a, b = rng.sample(people[: max(2, population // 2)], 2)
-        people.append(crossover(a, b, histogram, capacity, rng))
-        people = sorted(people, key=lambda p: fitness(p, capacity))[:population]
-    return people[0]
+        a, b = (min(rng.choices(people, k=2), key=lambda x: x[0])[1] for _ in range(2))
+        child = crossover(a, b, histogram, capacity, rng)
+        budget -= len(child) + len(a)
+        join(child)
+    return [p for _, p in people]
 
 
 def pack_histogram(df: DataFrame, histogram: dict[int, int], capacity: int, *, islands: int, epochs: int, population: int, generations: int, seed: int) -> Packing:
-    """Islands evolve as tasks; between epochs each gets its neighbour's elite and the best of all."""
+    """Islands evolve as tasks; between epochs each gets its neighbour's elite and the best of all.
+
+    An island's packings stay with the driver between epochs: at most ``population`` of them, each bounded by the
+    capacity.
+    """
     spark = df.sparkSession
-    elites: list[Packing] = []
+    least = -(-sum(k * n for k, n in histogram.items()) // capacity)
+    known: list[list[Packing]] = [[] for _ in range(islands)]
+    start = best_fit(histogram, {}, capacity)
+    if sum(start.values()) <= least:  # nothing to search for
+        return start
     for epoch in range(epochs):
-        sent = [[elites[i - 1], min(elites, key=lambda p: fitness(p, capacity))] if elites else [] for i in range(islands)]
+        best = min((p for x in known for p in x[:1]), key=lambda p: fitness(p, capacity), default=start)
+        sent = [[*known[i], *known[i - 1][:1], best] for i in range(islands)]
 
         def island(frames: Iterator[pd.DataFrame], epoch: int = epoch, sent: list = sent) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for i in f["id"]:
-                    best = evolve(histogram, sent[i], capacity, seed + 1000 * epoch + int(i), population, generations)
-                    yield pd.DataFrame({"island": i, "lengths": [list(p) for p in best], "bins": list(best.values())})
-
-        found = spark.range(0, islands, 1, islands).mapInPandas(island, "island long, lengths array<int>, bins long").collect()
-        elites = [{tuple(r["lengths"]): r["bins"] for r in found if r["island"] == i} for i in range(islands)]
-        if min(fitness(p, capacity)[0] for p in elites) <= -(-sum(k * n for k, n in histogram.items()) // capacity):
+                    for k, p in enumerate(evolve(histogram, sent[i], capacity, seed + 1000 * epoch + int(i), population, generations)):
+                        yield pd.DataFrame({"island": i, "place": k, "lengths": [list(x) for x in p], "bins": list(p.values())})
+
+        found = spark.range(0, islands, 1, islands).mapInPandas(island, "island long, place long, lengths array<int>, bins long").collect()
+        known = [[] for _ in range(islands)]
+        for r in sorted(found, key=lambda r: (r["island"], r["place"])):
+            if len(known[r["island"]]) == r["place"]:
+                known[r["island"]].append({})
+            known[r["island"]][-1][tuple(r["lengths"])] = r["bins"]
+        if min(fitness(x[0], capacity)[0] for x in known) <= least:
             break
-    return min(elites, key=lambda p: fitness(p, capacity))
+    return min((x[0] for x in known), key=lambda p: fitness(p, capacity))
 
 
 def intervals(packing: Packing) -> np.ndarray:
@@ -264,7 +335,7 @@ def intervals(packing: Packing) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, separator: int = 0, text: str = "text", doc_id: str = "doc_id", islands: int = 4, epochs: int = 2, population: int = 6, generations: int = 12, seed: int = 5) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, separator: int = 0, text: str = "text", doc_id: str = "doc_id", islands: int = 4, epochs: int = 4, population: int = 24, generations: int = 400, seed: int = 5) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
     cut = save(pieces(docs, tokenizer, capacity=capacity, separator=separator, text=text, doc_id=doc_id), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows

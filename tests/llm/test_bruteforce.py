@@ -238,7 +238,7 @@ def test_near_duplicates_under_hot_keys(spark):
     rows += [" ".join(long[a : a + 200]) for a in range(0, 400, 10)]
     sets = [set(shingled(t, 5)) for t in rows]
     near = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    found = near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), key_rows=20).toPandas().sort_values("doc_id")
+    found = near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).toPandas().sort_values("doc_id")
     assert found.class_id.tolist() == classes(len(rows), near)
 
 
@@ -279,7 +279,7 @@ def test_intervals_cover_every_rank():
     from prosegauge.llm.packing import best_fit, evolve, intervals
 
     histogram = {1: 40, 3: 17, 7: 9, 50: 8, 99: 3, 100: 5}
-    for packing in (best_fit(histogram, {}, 100), evolve(histogram, [], 100, 1, 6, 20)):
+    for packing in (best_fit(histogram, {}, 100), evolve(histogram, [], 100, 1, 6, 20)[0]):
         have = collections.Counter()
         for bins, m in packing.items():
             assert sum(bins) <= 100
