@@ -99,5 +99,5 @@ def spaces(text: Column) -> Column:
 
 
 def plain_number(c: Column) -> Column:
-    """A number as text, without a fraction of zero."""
-    return F.regexp_replace(F.format_string("%.4f", c.cast("double")), r"\.?0+$", "")
+    """A number as text, without a fraction of zero; null for null."""
+    return F.when(c.isNotNull(), F.regexp_replace(F.format_string("%.4f", c.cast("double")), r"\.?0+$", ""))

@@ -63,3 +63,8 @@ def references(spark: SparkSession) -> DataFrame:
 
     place = F.row_number().over(Window.orderBy("year", F.collate(F.col("authors"), "UNICODE"), "id"))  # 23 rows
     return rows.select(place.alias("place"), "id", "line", F.when(F.col("verified") == "primary", "source read").otherwise("cross-checked").alias("checked"))
+
+
+def references_by_check(spark: SparkSession) -> DataFrame:
+    """verified and how many records are so."""
+    return citations(spark).groupBy("verified").agg(F.count("*").alias("records"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.sentences import sentences
 from ..functions.syllables import syllables
+from .ranks import global_index
 
 
 def syllable_errors(gold: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def syllable_eval(gold: DataFrame) -> DataFrame:
     """One row: words, exact_percent, within_one_percent, mean_absolute, mean_signed."""
     e = F.col("error")
     percent = lambda c: t.half_up(t.ratio(F.count_if(c), F.count("*")) * 100, 2)
-    return syllable_errors(gold).agg(F.count("*").alias("words"), percent(e == 0).alias("exact_percent"), percent(F.abs(e) <= 1).alias("within_one_percent"), t.half_up(F.avg(F.abs(e)), 3).alias("mean_absolute"), t.half_up(F.avg(e), 3).alias("mean_signed"))
+    return syllable_errors(gold).agg(F.count("*").alias("words"), percent(e == 0).alias("exact_percent"), percent(F.abs(e) <= 1).alias("within_one_percent"), t.half_up(F.avg(F.abs(e)), 4).alias("mean_absolute"), t.half_up(F.avg(e), 4).alias("mean_signed"))
 
 
 def syllable_histogram(gold: DataFrame) -> DataFrame:
@@ -66,4 +67,4 @@ def cross_check(ours: DataFrame, theirs: DataFrame, keys: tuple[str, ...] = ("sa
 
 def every_kth(df: DataFrame, order: str, step: int) -> DataFrame:
     """Every ``step``-th row in the order of a column, the first included."""
-    return df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1).filter(F.col("_i") % step == 0).drop("_i")
+    return global_index(df, [F.col(order)], "_i").filter(F.col("_i") % step == 0).drop("_i")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as t
-from .segment import base, sentence_table, sentences_of, word_table, words_of
+from .lexical import counted_column, ranked_column
+from .segment import base, sentence_table, sentences_of, words_of
 
 NOMINAL = r"(?:tion|sion|ment|ance|ence|ity|ness|ancy|ency|ism|ure|al)s?\z"
 TOP = 12
@@ -50,12 +51,20 @@ def passive_hits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def passive(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, sentences with a candidate, total, share_of_sentences, and the first eight such sentences."""
+    """doc_id, sentences with a candidate, total, share_of_sentences, and as examples the first eight such sentences with
+    their hits."""
     rows = base(df, id_col, text_col)
     rows = rows.withColumn("_s", sentences_of(rows))
-    rows = rows.select("doc_id", F.size("_s").alias("_all"), F.filter(F.transform("_s", lambda s: F.struct(s.alias("s"), F.size(passive_of_words(t.words(s))).alias("n"))), lambda x: x["n"] > 0).alias("_p"))
-    total = F.aggregate("_p", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    return rows.select("doc_id", F.size("_p").cast("long").alias("sentences"), total.alias("total"), _percent(F.size("_p"), F.col("_all")).alias("share_of_sentences"), F.transform(F.slice("_p", 1, 8), lambda x: x["s"]).alias("examples"))
+    hits = F.transform("_s", lambda s: F.struct(s.alias("sentence"), passive_of_words(t.words(s)).alias("hits")))
+    rows = rows.select("doc_id", F.size("_s").alias("_all"), F.filter(hits, lambda x: F.size(x["hits"]) > 0).alias("_p"))
+    total = F.aggregate("_p", F.lit(0).cast("long"), lambda a, x: a + F.size(x["hits"]))
+    return rows.select("doc_id", F.size("_p").cast("long").alias("sentences"), total.alias("total"), _percent(F.size("_p"), F.col("_all")).alias("share_of_sentences"), F.slice("_p", 1, 8).alias("examples"))
+
+
+def passive_examples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, example (from 0), sentence, index, auxiliary, participle: the examples of ``passive``, a row for each hit."""
+    rows = passive(df, id_col, text_col).select("doc_id", F.posexplode("examples").alias("example", "_e"))
+    return rows.select("doc_id", "example", F.col("_e.sentence").alias("sentence"), F.inline("_e.hits"))
 
 
 def _percent(a: Column, b: Column) -> Column:
@@ -83,12 +92,20 @@ def word_class_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("doc_id", "words", *[c for k in kinds for c in (F.col(k), _percent(F.col(k), F.col("words")).alias(f"{k}_percent"))])
 
 
+def _top(words: Column, rule: Callable[[Column], Column], k: int) -> Column:
+    return ranked_column(counted_column(F.filter(F.transform(words, F.lower), lambda low: rule(low))), k)
+
+
+def top_lists(df: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the arrays top_nominalisations and top_hedges of (word, count, rank)."""
+    rows = base(df, id_col, text_col)
+    rows = rows.withColumn("_w", words_of(rows))
+    return rows.select("doc_id", _top(F.col("_w"), is_nominalisation, k).alias("top_nominalisations"), _top(F.col("_w"), is_hedge, k).alias("top_hedges"))
+
+
 def top_of_class(df: DataFrame, kind: str, k: int = TOP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, word, count, rank of the most frequent nominalisations or hedges."""
-    rule = {"nominalisations": is_nominalisation, "hedges": is_hedge}[kind]
-    low = word_table(df, id_col, text_col).select("doc_id", F.lower("word").alias("word")).filter(rule(F.col("word")))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("count"), F.collate(F.col("word"), "UNICODE"), "word")
-    return low.groupBy("doc_id", "word").agg(F.count("*").alias("count")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return top_lists(df, k, id_col, text_col).select("doc_id", F.inline(f"top_{kind}"))
 
 
 def sentence_lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,11 +136,11 @@ def rhythm(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def rhythm_histogram(df: DataFrame, bars: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, bin, low, high, sentences: lengths in bins of ceil(max / bars) words, empty bins included."""
-    rows = sentence_lengths(df, id_col, text_col).filter("length > 0")
-    size = F.greatest(F.lit(1), F.ceil(F.max("length").over(Window.partitionBy("doc_id")) / bars)).cast("int")
-    binned = rows.withColumn("size", size).withColumn("bin", F.floor(F.col("length") / F.col("size")).cast("int"))
-    counts = binned.groupBy("doc_id", "size", "bin").agg(F.count("*").alias("n"))
-    frames = counts.groupBy("doc_id", "size").agg(F.max("bin").alias("_last")).select("doc_id", "size", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("bin"))
-    found = counts.select(F.col("doc_id").alias("_id"), F.col("bin").alias("_bin"), "n")
-    out = frames.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("bin") == F.col("_bin")), "left")
-    return out.select("doc_id", "bin", (F.col("bin") * F.col("size")).alias("low"), ((F.col("bin") + 1) * F.col("size") - 1).alias("high"), F.coalesce("n", F.lit(0)).alias("sentences"))
+    rows = base(df, id_col, text_col)
+    lengths = F.filter(F.transform(sentences_of(rows), lambda s: F.size(t.words(s))), lambda n: n > 0)
+    rows = rows.select("doc_id", lengths.alias("_l")).withColumn("_size", F.greatest(F.lit(1), F.ceil(F.array_max("_l") / bars)).cast("int"))
+    bins = F.transform(F.sequence(F.lit(0), F.floor(F.array_max("_l") / F.col("_size")).cast("int")), lambda b: F.struct(
+        b.alias("bin"), (b * F.col("_size")).alias("low"), ((b + 1) * F.col("_size") - 1).alias("high"),
+        F.size(F.filter("_l", lambda n: F.floor(n / F.col("_size")).cast("int") == b)).cast("long").alias("sentences"),
+    ))
+    return rows.filter(F.size("_l") > 0).select("doc_id", F.inline(bins))

@@ -37,8 +37,9 @@ def norm(x: str) -> str:
 
 NUMERAL = r"regexp_matches(word, '^\p{N}+(?:[.,]\p{N}+)*$')"
 
-#: Blank lines do not occur in the tables: every line is made a paragraph.
-DOCS = "d AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS text FROM documents)"
+DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+TWICE = "d AS (SELECT doc_id, text || chr(10) || ' ' || chr(9) || chr(10) || chr(10) || text AS text FROM documents)"
+HEDGING = "d AS (SELECT doc_id, replace(replace(replace(text, ' the ', ' very '), ' of ', ' Perhaps '), ' de ', ' quite ') AS text FROM documents)"
 WORDS = f"w AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS l FROM d))"
 TOKENS = f"tk AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos FROM (SELECT doc_id, pos, {norm('word')} AS token FROM w) WHERE token <> '')"
 PARAGRAPHS = rf"p AS (SELECT doc_id, unnest(l) AS para, generate_subscripts(l, 1) - 1 AS para_idx FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t]*\n+'), lambda x: {trim('x')}), lambda x: x <> '') AS l FROM d))"
@@ -64,7 +65,7 @@ s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, g
 SENTENCE_WORDS = f"sw AS (SELECT doc_id, sent_idx, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, sent_idx, regexp_extract_all(sentence, '{WORD}') AS l FROM s)), sl AS (SELECT doc_id, sent_idx, sentence, len(regexp_extract_all(sentence, '{WORD}')) AS length FROM s)"
 
 
-def _syllables_of(table: str) -> str:
+def syllables_of(table: str) -> str:
     """CTEs that end in sy (raw, syl) for all distinct strings in ``table`` (raw)."""
     known = ", ".join(f"('{k}', {v})" for k, v in lx.SYLLABLE_EXCEPTIONS.items())
     marked = "w"
@@ -87,7 +88,7 @@ b0 AS (SELECT DISTINCT raw, regexp_extract(raw, '^(.{{2,}})(ing|ed|es)$', 1) AS
 st AS (SELECT raw, base AS stem FROM b0 UNION SELECT raw, base || 'e' FROM b0 UNION SELECT raw, base[:-2] FROM b0 WHERE base[-1] = base[-2] AND regexp_matches(base, '[^aeiou]$')
  UNION SELECT raw, base[:-2] || 'y' FROM b0 WHERE base LIKE '%i' UNION SELECT raw, raw[:-2] FROM b0 WHERE raw LIKE '%es'),
 un AS (SELECT raw FROM dw UNION SELECT stem FROM st),
-{_syllables_of('un')},
+{syllables_of('un')},
 cx AS (SELECT DISTINCT st.raw FROM st JOIN sy a ON a.raw = st.raw JOIN sy b ON b.raw = st.stem WHERE b.syl <= 2 AND a.syl - b.syl <= 1),
 wf AS (SELECT dw.word, coalesce(sy.syl, 0) AS syl, coalesce(sy.syl, 0) >= 3 AND dw.raw NOT IN (SELECT raw FROM cx) AS complex FROM dw LEFT JOIN sy ON dw.raw = sy.raw)"""
 
@@ -111,7 +112,7 @@ FORMULAS = {
 USABLE = "words > 0 AND sentences > 0 AND alphabetic_words > 0"
 METRIC_IDS = {"flesch_reading_ease": "flesch-reading-ease", "flesch_kincaid": "flesch-kincaid-grade", "gunning_fog": "gunning-fog", "smog": "smog", "coleman_liau": "coleman-liau", "ari": "automated-readability-index"}
 FREQUENCIES = f"{DOCS}, {WORDS}, {TOKENS}, fq AS (SELECT doc_id, token AS word, count(*) AS n FROM tk GROUP BY ALL)"
-RANKED = f"{FREQUENCIES}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM fq)"
+RANKED = f"{FREQUENCIES}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word COLLATE en, word) AS rank FROM fq)"
 
 
 def fit(points: str, keys: str = "doc_id") -> str:
@@ -123,7 +124,7 @@ ft AS (SELECT {keys}, n, CASE WHEN n < 2 OR sxx = 0 THEN 0 ELSE sxy / sxx END AS
 HEAPS = f"""{DOCS}, {WORDS}, {TOKENS}, hf AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id) AS total, (row_number() OVER (PARTITION BY doc_id, token ORDER BY pos) = 1)::INT AS new FROM tk),
 hv AS (SELECT doc_id, pos + 1 AS n, total, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS v FROM hf),
 hc AS (SELECT doc_id, n, v FROM hv WHERE total >= 20 AND (n % greatest(1, total // 200) = 0 OR n = total))"""
-LOW = f"{DOCS}, {WORDS}, lw AS (SELECT doc_id, lower(word) AS word FROM w), al AS (SELECT doc_id, count(*) AS words FROM w GROUP BY doc_id)"
+LOW = f"{WORDS}, lw AS (SELECT doc_id, lower(word) AS word FROM w), al AS (SELECT doc_id, count(*) AS words FROM w GROUP BY doc_id)"
 NOMINAL = f"(len(word) > 5 AND regexp_matches(word, '(tion|sion|ment|ance|ence|ity|ness|ancy|ency|ism|ure|al)s?$') AND NOT {among('word', lx.NOT_NOMINALISATIONS)})"
 ADVERB = "(len(word) > 4 AND word LIKE '%ly')"
 PASSIVES = rf"""{DOCS}, {SENTENCES}, {SENTENCE_WORDS},
@@ -138,8 +139,8 @@ def percent(a: str, b: str) -> str:
     return f"coalesce({half_up(f'({div(a, b)} * 100)', 1)}, 0.0)"
 
 
-def top_of(rule: str) -> str:
-    return f"WITH {LOW}, n AS (SELECT doc_id, word, count(*) AS n FROM lw WHERE {rule} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM n) SELECT doc_id, n::BIGINT AS count, rank::BIGINT AS rank FROM r WHERE rank <= 12"
+def top_of(rule: str, docs: str = DOCS) -> str:
+    return f"WITH {docs}, {LOW}, n AS (SELECT doc_id, word, count(*) AS n FROM lw WHERE {rule} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word COLLATE en, word) AS rank FROM n) SELECT doc_id, word, n::BIGINT AS count, rank::BIGINT AS rank FROM r WHERE rank <= 12"
 
 
 def char_map(x: str, table: dict[str, str]) -> str:
@@ -148,7 +149,7 @@ def char_map(x: str, table: dict[str, str]) -> str:
 
 
 #: ``documents`` with signs and look-alikes put in, so that the stages of the normal form have something to do.
-SPICED = "sp AS (SELECT doc_id, replace(replace(replace(coalesce(text, ''), 'ti', 't1'), 'on', 'о' || chr(8203) || 'n'), 'as', '@$') AS text FROM documents)"
+SPICED = "sp AS (SELECT doc_id, replace(replace(replace(replace(replace(coalesce(text, ''), 'ti', 't1'), 'on', 'о' || chr(8203) || 'n'), 'as', '@$'), 'in', 'ｉｎ'), 'er', 'e' || chr(769) || 'r') AS text FROM documents)"
 TERMS = ("the", "ing", "tion", "of")
 
 
@@ -165,16 +166,17 @@ def _grade_median() -> str:
 MTLD = f"""{DOCS}, {WORDS}, {TOKENS}, tl AS (SELECT doc_id, list(token ORDER BY pos) AS f, list(token ORDER BY pos DESC) AS b FROM tk GROUP BY doc_id)"""
 
 
-def mtld_pass(tokens: str) -> str:
+def mtld_pass(tokens: str, threshold: str) -> str:
     """A fold with the state [factors, n] beside the open factor's tokens, which are a window of the list."""
-    state = f"list_reduce(list_prepend({{'k': 0.0::DOUBLE, 'seen': []::VARCHAR[], 'n': 0, 't': ''}}, list_transform({tokens}, lambda x: {{'k': 0.0::DOUBLE, 'seen': []::VARCHAR[], 'n': 0, 't': x}})), lambda a, x: CASE WHEN len(CASE WHEN list_contains(a.seen, x.t) THEN a.seen ELSE list_append(a.seen, x.t) END)::DOUBLE / (a.n + 1) <= 0.72::DOUBLE THEN {{'k': a.k + 1, 'seen': []::VARCHAR[], 'n': 0, 't': ''}} ELSE {{'k': a.k, 'seen': CASE WHEN list_contains(a.seen, x.t) THEN a.seen ELSE list_append(a.seen, x.t) END, 'n': a.n + 1, 't': ''}} END)"
+    state = f"list_reduce(list_prepend({{'k': 0.0::DOUBLE, 'seen': []::VARCHAR[], 'n': 0, 't': ''}}, list_transform({tokens}, lambda x: {{'k': 0.0::DOUBLE, 'seen': []::VARCHAR[], 'n': 0, 't': x}})), lambda a, x: CASE WHEN len(CASE WHEN list_contains(a.seen, x.t) THEN a.seen ELSE list_append(a.seen, x.t) END)::DOUBLE / (a.n + 1) <= {threshold}::DOUBLE THEN {{'k': a.k + 1, 'seen': []::VARCHAR[], 'n': 0, 't': ''}} ELSE {{'k': a.k, 'seen': CASE WHEN list_contains(a.seen, x.t) THEN a.seen ELSE list_append(a.seen, x.t) END, 'n': a.n + 1, 't': ''}} END)"
     return state
 
 
 def sql() -> dict[str, str]:
     """The SQL of each query, by the query's name."""
     out: dict[str, str] = {}
-    out["paragraphs"] = f"WITH {DOCS}, {PARAGRAPHS} SELECT doc_id, para_idx::BIGINT AS para_idx, para AS paragraph FROM p"
+    out["sentences_of_paragraphs"] = f"WITH {TWICE}, {SENTENCES} SELECT doc_id, sent_idx::BIGINT AS sent_idx, sentence FROM s"
+    out["paragraphs"] = f"WITH {TWICE}, {PARAGRAPHS} SELECT doc_id, para_idx::BIGINT AS para_idx, para AS paragraph FROM p"
     out["sentences"] = f"WITH {DOCS}, {SENTENCES} SELECT doc_id, sent_idx::BIGINT AS sent_idx, sentence FROM s"
     out["words"] = f"WITH {DOCS}, {WORDS} SELECT doc_id, pos::BIGINT AS pos, word FROM w"
     out["numerals"] = f"WITH {DOCS}, {WORDS} SELECT doc_id, pos::BIGINT AS pos, word FROM w WHERE {NUMERAL}"
@@ -216,27 +218,37 @@ SELECT i.doc_id, length_grapheme(text)::BIGINT AS characters, (length_grapheme(t
         out[name] = f"WITH {stats} SELECT doc_id, {ratios[column]} AS {column} FROM lx"
     out["hapax"] = f"WITH {stats} SELECT doc_id, hapax, {ratios['hapax_ratio']} AS hapax_ratio FROM lx"
     out["dis_legomena"] = f"WITH {stats} SELECT doc_id, dis_legomena FROM lx"
-    out["frequencies"] = f"WITH {FREQUENCIES} SELECT doc_id, word, n::BIGINT AS count FROM fq"
-    out["top_words"] = f"WITH {RANKED} SELECT doc_id, n::BIGINT AS count, rank::BIGINT AS rank FROM rk WHERE rank <= 40"
-    out["mattr"] = f"""WITH {DOCS}, {WORDS}, {TOKENS}, sz AS (SELECT doc_id, count(*) AS n FROM tk GROUP BY doc_id), win AS (SELECT a.doc_id, a.pos AS p, count(DISTINCT b.token) AS v FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 49 AND a.pos WHERE a.pos >= 49 GROUP BY a.doc_id, a.pos),
-lg AS (SELECT doc_id, sum(v) AS s FROM win GROUP BY doc_id), sh AS (SELECT doc_id, count(DISTINCT token) AS v FROM tk GROUP BY doc_id)
-SELECT doc_id, {half_up(f"(CASE WHEN n <= 50 THEN {div('v', 'n')} ELSE {div('s', '50 * (n - 49)')} END)", 3)} AS value, CASE WHEN n <= 50 THEN 1 ELSE n - 49 END::BIGINT AS windows, CASE WHEN n <= 50 THEN n ELSE 50 END::BIGINT AS "window" FROM sz JOIN sh USING (doc_id) LEFT JOIN lg USING (doc_id)"""
-    out["mtld"] = f"""WITH {MTLD}, ps AS (SELECT doc_id, len(f) AS n, {mtld_pass('f')} AS f, {mtld_pass('b')} AS b FROM tl),
-fc AS (SELECT doc_id, n, f.k + CASE WHEN f.n > 0 THEN (1 - len(f.seen)::DOUBLE / f.n) / (1 - 0.72::DOUBLE) ELSE 0 END AS kf, b.k + CASE WHEN b.n > 0 THEN (1 - len(b.seen)::DOUBLE / b.n) / (1 - 0.72::DOUBLE) ELSE 0 END AS kb FROM ps),
-v AS (SELECT doc_id, CASE WHEN kf <> 0 THEN n / kf END AS f, CASE WHEN kb <> 0 THEN n / kb END AS b FROM fc)
-SELECT doc_id, {half_up('f', 1)} AS forward, {half_up('b', 1)} AS backward, {half_up('((f + b) / 2)', 1)} AS value FROM v WHERE f IS NOT NULL AND b IS NOT NULL"""
-    points = "pts AS (SELECT doc_id, log10(rank) AS x, log10(n) AS y FROM us)"
-    out["zipf"] = f"""WITH {RANKED}, mm AS (SELECT *, count(*) FILTER (n >= 2) OVER (PARTITION BY doc_id) AS many FROM rk), us AS (SELECT * FROM mm WHERE many < 5 OR n >= 2), {points}, {fit('pts')}, fx AS (SELECT doc_id, max(rank) AS top, max(CASE WHEN many >= 5 THEN 2 ELSE 1 END) AS least FROM us GROUP BY doc_id)
-SELECT doc_id, CASE WHEN n >= 5 THEN {half_up('(-slope)', 3)} END AS alpha, CASE WHEN n >= 5 THEN {half_up('r2', 3)} END AS r2, n::BIGINT AS fitted, top::BIGINT AS fit_max_rank, least::BIGINT AS fit_min_count FROM ft JOIN fx USING (doc_id)"""
+    out["frequencies"] = f"WITH {RANKED} SELECT doc_id, word, n::BIGINT AS count, rank::BIGINT AS rank FROM rk"
+    out["top_words"] = f"WITH {RANKED} SELECT doc_id, word, n::BIGINT AS count, rank::BIGINT AS rank FROM rk WHERE rank <= 40"
+    for name, k in (("mattr", 50), ("mattr_of_20", 20)):
+        out[name] = f"""WITH {DOCS}, {WORDS}, {TOKENS}, sz AS (SELECT doc_id, count(*) AS n FROM tk GROUP BY doc_id), win AS (SELECT a.doc_id, a.pos AS p, count(DISTINCT b.token) AS v FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - {k - 1} AND a.pos WHERE a.pos >= {k - 1} GROUP BY a.doc_id, a.pos),
+lg AS (SELECT doc_id, sum(v) AS s FROM win GROUP BY doc_id), sh AS (SELECT doc_id, count(DISTINCT token) AS v FROM tk GROUP BY doc_id), al AS (SELECT d.doc_id, coalesce(n, 0) AS n, v, s FROM d LEFT JOIN sz USING (doc_id) LEFT JOIN sh USING (doc_id) LEFT JOIN lg USING (doc_id))
+SELECT doc_id, {half_up(f"(CASE WHEN n <= {k} THEN {div('v', 'n')} ELSE {div('s', f'{k} * (n - {k - 1})')} END)", 3)} AS value, CASE WHEN n = 0 THEN 0 WHEN n <= {k} THEN 1 ELSE n - {k - 1} END::BIGINT AS windows, CASE WHEN n BETWEEN 1 AND {k} THEN n ELSE {k} END::BIGINT AS "window",
+CASE WHEN n = 0 THEN 'no words' WHEN n <= {k} THEN 'the plain ratio of a text no longer than the window' END AS note FROM al"""
+    for name, threshold in (("mtld", "0.72"), ("mtld_at_half", "0.5")):
+        left = f"(1 - {threshold}::DOUBLE)"
+        passes = f"""WITH {MTLD}, ps AS (SELECT doc_id, len(f) AS n, {mtld_pass('f', threshold)} AS f, {mtld_pass('b', threshold)} AS b FROM tl),
+fc AS (SELECT doc_id, n, f.k + CASE WHEN f.n > 0 THEN (1 - len(f.seen)::DOUBLE / f.n) / {left} ELSE 0 END AS kf, b.k + CASE WHEN b.n > 0 THEN (1 - len(b.seen)::DOUBLE / b.n) / {left} ELSE 0 END AS kb FROM ps),
+v AS (SELECT d.doc_id, coalesce(n, 0) AS n, CASE WHEN kf <> 0 THEN n / kf END AS f, CASE WHEN kb <> 0 THEN n / kb END AS b FROM d LEFT JOIN fc USING (doc_id))"""
+        both = "f IS NOT NULL AND b IS NOT NULL"
+        shown = "" if name != "mtld" else f"{half_up('f', 1)} AS forward, {half_up('b', 1)} AS backward, "
+        out[name] = f"{passes} SELECT doc_id, {shown}CASE WHEN {both} THEN {half_up('((f + b) / 2)', 1)} END AS value, CASE WHEN n = 0 THEN 'no words' WHEN NOT ({both}) THEN 'no factor was completed' WHEN n < 100 THEN 'unreliable under 100 words' END AS note FROM v"
+    for name, used, least in (("zipf", "many < 5 OR n >= 2", "CASE WHEN many >= 5 THEN 2 ELSE 1 END"), ("zipf_of_50_ranks", "rank <= 50", "1"), ("zipf_of_any_series", "many < 5 OR n >= 2", "CASE WHEN many >= 5 THEN 2 ELSE 1 END")):
+        out[name] = f"""WITH {RANKED}, mm AS (SELECT *, count(*) FILTER (n >= 2) OVER (PARTITION BY doc_id) AS many FROM rk), us AS (SELECT * FROM mm WHERE {used}), pts AS (SELECT doc_id, log10(rank) AS x, log10(n) AS y FROM us), {fit('pts')}, fx AS (SELECT doc_id, max(rank) AS top, max({least}) AS least FROM us GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n >= 5 THEN {half_up('(-slope)', 3)} END AS alpha, CASE WHEN n >= 5 THEN {half_up('intercept', 4)} END AS intercept, CASE WHEN n >= 5 THEN {half_up('r2', 3)} END AS r2, n::BIGINT AS fitted, top::BIGINT AS fit_max_rank, least::BIGINT AS fit_min_count,
+CASE WHEN n < 5 THEN 'too few words' WHEN r2 < 0.7 THEN 'poor fit' WHEN slope > -0.7 OR slope < -1.5 THEN 'outside 0.7 to 1.5' ELSE 'within 0.7 to 1.5' END AS note FROM ft JOIN fx USING (doc_id)"""
     out["zipf_points"] = f"WITH {RANKED} SELECT doc_id, rank::BIGINT AS rank, {half_up('log10(rank)', 6)} AS x, {half_up('log10(n)', 6)} AS y FROM rk"
     out["linear_fit"] = f"WITH pts AS (SELECT source, length(text)::DOUBLE AS x, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS y FROM documents), {fit('pts', 'source')} SELECT source, n::BIGINT AS n, {half_up('slope', 6)} AS slope, {half_up('intercept', 3)} AS intercept, {half_up('r2', 6)} AS r2 FROM ft"
     out["heaps_curve"] = f"WITH {HEAPS} SELECT doc_id, n::BIGINT AS n, v::BIGINT AS v FROM hc"
-    out["heaps"] = f"WITH {HEAPS}, pts AS (SELECT doc_id, log10(n) AS x, log10(v) AS y FROM hc WHERE n >= 10), {fit('pts')} SELECT doc_id, n::BIGINT AS points, CASE WHEN n >= 5 THEN {half_up('slope', 3)} END AS beta, CASE WHEN n >= 5 THEN {half_up('r2', 3)} END AS r2 FROM ft"
+    out["heaps"] = f"WITH {HEAPS}, pts AS (SELECT doc_id, log10(n) AS x, log10(v) AS y FROM hc WHERE n >= 10), {fit('pts')} SELECT doc_id, n::BIGINT AS points, CASE WHEN n >= 5 THEN {half_up('slope', 3)} END AS beta, CASE WHEN n >= 5 THEN {half_up('pow(10::DOUBLE, intercept)', 3)} END AS k, CASE WHEN n >= 5 THEN {half_up('r2', 3)} END AS r2, CASE WHEN n < 5 THEN 'too few words' WHEN slope BETWEEN 0.35 AND 0.75 THEN 'usual for prose' ELSE 'not usual for prose' END AS note FROM ft"
     out["passive_hits"] = f"WITH {PASSIVES} SELECT doc_id, sent_idx::BIGINT AS sent_idx, pos::BIGINT AS \"index\", word AS auxiliary, pw AS participle FROM ph"
-    out["passive"] = f"WITH {PASSIVES}, hs AS (SELECT doc_id, count(DISTINCT sent_idx) AS sentences, count(*) AS total FROM ph GROUP BY doc_id), ns AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) SELECT d.doc_id, coalesce(sentences, 0)::BIGINT AS sentences, coalesce(total, 0)::BIGINT AS total, {percent('coalesce(sentences, 0)', 'n')} AS share_of_sentences FROM d LEFT JOIN hs USING (doc_id) LEFT JOIN ns USING (doc_id)"
-    for name, rule in (("nominalisations", NOMINAL), ("hedges", among("word", [*lx.HEDGES, "the", "of"])), ("adverbs", ADVERB)):
-        out[name] = f"WITH {LOW}, hit AS (SELECT doc_id, count(*) AS n FROM lw WHERE {rule} GROUP BY doc_id) SELECT d.doc_id, coalesce(n, 0)::BIGINT AS {name}, {percent('coalesce(n, 0)', 'words')} AS {name}_percent FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN al USING (doc_id)"
-    out["top_nominalisations"] = top_of(NOMINAL)
+    out["passive"] = f"WITH {PASSIVES}, hs AS (SELECT doc_id, count(DISTINCT sent_idx) AS sentences, count(*) AS total FROM ph GROUP BY doc_id), ns AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) SELECT d.doc_id, coalesce(sentences, 0)::BIGINT AS sentences, coalesce(total, 0)::BIGINT AS total, {percent('coalesce(sentences, 0)', 'n')} AS share_of_sentences, least(8, coalesce(sentences, 0))::BIGINT AS examples FROM d LEFT JOIN hs USING (doc_id) LEFT JOIN ns USING (doc_id)"
+    out["passive_examples"] = f"""WITH {PASSIVES}, nr AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY sent_idx) - 1 AS example FROM ph)
+SELECT doc_id, example::BIGINT AS example, sentence, pos::BIGINT AS "index", word AS auxiliary, pw AS participle FROM nr JOIN s USING (doc_id, sent_idx) WHERE example < 8"""
+    hedge = among("word", lx.HEDGES)
+    for name, rule, docs in (("nominalisations", NOMINAL, DOCS), ("hedges", hedge, HEDGING), ("adverbs", ADVERB, DOCS)):
+        out[name] = f"WITH {docs}, {LOW}, hit AS (SELECT doc_id, count(*) AS n FROM lw WHERE {rule} GROUP BY doc_id) SELECT d.doc_id, coalesce(n, 0)::BIGINT AS {name}, {percent('coalesce(n, 0)', 'words')} AS {name}_percent FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN al USING (doc_id)"
+    out["top_nominalisations"], out["top_hedges"] = top_of(NOMINAL), top_of(hedge, HEDGING)
     out["rhythm"] = f"""WITH {DOCS}, {SENTENCES}, {SENTENCE_WORDS}, li AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) - 1 AS k FROM sl WHERE length > 0),
 rh AS (SELECT doc_id, count(*) AS n, avg(length) AS m, median(length) AS md, stddev_pop(length) AS sd, min(length) AS lo, max(length) AS hi, min_by(k, (-length, k)) AS longest FROM li GROUP BY doc_id)
 SELECT rh.doc_id, n::BIGINT AS count, {half_up('m', 1)} AS mean, md::DOUBLE AS median, {half_up('sd', 1)} AS sd, lo::BIGINT AS min, hi::BIGINT AS max, longest::BIGINT AS longest_index, s.sentence AS longest_sentence, CASE WHEN n < 4 THEN 'few sentences' WHEN sd < 4 THEN 'uniform' WHEN sd > 14 THEN 'varied' ELSE 'normal' END AS note FROM rh JOIN s ON s.doc_id = rh.doc_id AND s.sent_idx = rh.longest"""

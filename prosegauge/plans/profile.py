@@ -1,8 +1,8 @@
-"""The full profile of each document: one row with a struct per section."""
+"""The full profile of each document: one row with a struct per section, in one pass and without a shuffle."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,36 +11,48 @@ from ..functions.lexicons import DEMO_TERMS, MATTR_WINDOW
 from ..operators import lexical as lex
 from ..operators import readability as read
 from ..operators import screening, segment, style
-from ..storage import save
 
+ARRAYS = (segment.WORDS, segment.TOKENS, segment.SENTENCES)
 
-def _section(df: DataFrame, name: str) -> DataFrame:
-    return df.select(F.col("doc_id").alias("_id"), F.struct(*[c for c in df.columns if c != "doc_id"]).alias(name))
 
+def _with(rows: DataFrame, name: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the columns that ``f`` finds as a struct ``name``.  The row itself goes along as the id, which every
+    operator that works row by row hands on as it is."""
+    found = f(rows.select(F.struct("*").alias("doc_id"), "text", *ARRAYS))
+    return found.select("doc_id.*", F.struct(*[F.col(c) for c in found.columns if c != "doc_id"]).alias(name))
 
-def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+
+def _readability(df: DataFrame) -> DataFrame:
+    inputs = read.inputs(df)
+    basis = inputs.withColumns(read.basis_columns())
+    return basis.select("doc_id", read.metrics_column().alias("metrics"), F.struct(*[c for c in basis.columns if c != "doc_id"]).alias("basis"), read.consensus_column().alias("consensus"))
+
+
+def _tokens(df: DataFrame, window: int) -> DataFrame:
+    """Everything that is told from the tokens alone."""
+    f = F.col("_f")
+    struct = lambda columns: F.struct(*[c.alias(n) for n, c in columns.items()])
+    rows = df.select("doc_id", lex.facts_column(F.col(segment.TOKENS), window=window).alias("_f"), lex.counted_column(F.col(segment.TOKENS)).alias("_c"))
+    words = lex.ranked_column(F.col("_c")).alias("frequencies")
+    lexical = F.struct(*[c.alias(n) for n, c in lex.diversity_columns(f).items()], struct(lex.mattr_columns(f, window)).alias("mattr"), struct(lex.mtld_columns(f)).alias("mtld"), words)
+    return rows.select("doc_id", lexical.alias("lexical"), F.when(f["tokens"] > 0, struct(lex.zipf_columns(f))).alias("zipf"), F.when(f["points"] > 0, struct(lex.heaps_columns(f))).alias("heaps"))
 
 
 def profile(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, screening_terms: Sequence[str] = tuple(DEMO_TERMS), mattr_window: int = MATTR_WINDOW, screened: bool = True) -> DataFrame:
-    """doc_id, empty, counts, readability, lexical, zipf, heaps, style and (if ``screened``) screening.
+    """doc_id, empty, counts, readability, lexical (with frequencies), zipf, heaps, style (with top lists and examples) and,
+    if ``screened``, screening.
 
-    Words, tokens and sentences are worked out once and written to the shared folder; each section reads the columns it
-    needs.  Ids must be distinct; rows with one id would be measured as one document by the parts that group by it.
+    Each text is segmented once; every section is a projection of its row.
     """
-    rows = save(segment.prepared(df, id_col, text_col), "segments")
-    counts = segment.counts(rows)
-    out = counts.select("doc_id", (F.col("words") == 0).alias("empty"), F.struct(*[c for c in counts.columns if c != "doc_id"]).alias("counts"))
-    inputs = read.inputs(rows)
-    basis = inputs.withColumns(read.basis_columns())
-    reading = basis.select("doc_id", read.metrics_column().alias("metrics"), F.struct(*[c for c in basis.columns if c != "doc_id"]).alias("basis"), read.consensus_column().alias("consensus"))
-    out = _joined(out, _section(reading, "readability"))
-    lexical = _joined(_joined(lex.diversity(rows), _section(lex.mattr(rows, mattr_window), "mattr")), _section(lex.mtld(rows), "mtld"))
-    out = _joined(out, _section(lexical, "lexical"))
-    out = _joined(out, _section(lex.zipf(lex.ranked_counts(rows)), "zipf"))
-    out = _joined(out, _section(lex.heaps(rows), "heaps"))
-    styles = _joined(_joined(style.word_class_counts(rows).drop("words"), _section(style.passive(rows), "passive")), _section(style.rhythm(rows), "rhythm"))
-    out = _joined(out, _section(styles, "style"))
+    rows = segment.prepared(df, id_col, text_col)
+    sections: dict[str, Callable[[DataFrame], DataFrame]] = {
+        "counts": segment.counts, "readability": _readability, "_tokens_only": lambda d: _tokens(d, mattr_window),
+        "_classes": lambda d: style.word_class_counts(d).drop("words"), "_tops": style.top_lists, "_passive": style.passive, "_rhythm": style.rhythm,
+    }
     if screened:
-        out = _joined(out, _section(screening.modes_columns(rows, screening_terms), "screening"))
-    return out
+        sections["screening"] = lambda d: screening.modes_columns(d, screening_terms)
+    for name, f in sections.items():
+        rows = _with(rows, name, f)
+    styles = F.struct("_classes.*", "_tops.*", F.col("_passive").alias("passive"), F.col("_rhythm").alias("rhythm"))
+    empty = F.col("counts.words") == 0
+    return rows.select("doc_id", empty.alias("empty"), "counts", "readability", "_tokens_only.lexical", "_tokens_only.zipf", "_tokens_only.heaps", styles.alias("style"), *["screening"] * screened)

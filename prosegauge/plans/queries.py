@@ -14,9 +14,9 @@ from ..operators import citations, evaluation, screening, segment, style
 from ..operators import lexical as lex
 from ..operators import readability as read
 from ..sources.report import report_text
-from ..storage import save
 from .oracle import METRIC_IDS, TERMS
 from .profile import profile
+from .source_queries import SOURCES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,8 +28,13 @@ def longs(df: DataFrame) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and text of ``documents``, every line a paragraph: the tables have no blank lines."""
-    return spread(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
+    """doc_id and text of ``documents``, as they are."""
+    return spread(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text, a blank line with a tab in it, and the text again: the tables themselves have no blank lines."""
+    return docs(spark, sf_dir).select("doc_id", F.concat("text", F.lit("\n \t\n\n"), "text").alias("text"))
 
 
 def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -57,9 +62,9 @@ def present(df: DataFrame, where: Column, columns: dict[str, Column]) -> DataFra
 
 
 def spiced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` with signs, look-alikes and invisible characters put in."""
+    """``documents`` with signs, look-alikes, full-width letters, combining marks and invisible characters put in."""
     text = t.text_or_empty(F.col("text"))
-    for what, by in (("ti", "t1"), ("on", "о\u200bn"), ("as", "@$")):
+    for what, by in (("ti", "t1"), ("on", "о\u200bn"), ("as", "@$"), ("in", "ｉｎ"), ("er", "e\u0301r")):
         text = F.replace(text, F.lit(what), F.lit(by))
     return spread(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("text")))
 
@@ -70,8 +75,9 @@ def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def register() -> None:
     # segmentation
-    over_docs("paragraphs", lambda d: d.select("doc_id", F.posexplode(t.paragraphs(t.text_or_empty(F.col("text")))).alias("para_idx", "paragraph")))
+    QUERIES["paragraphs"] = lambda spark, sf_dir: longs(twice(spark, sf_dir).select("doc_id", F.posexplode(t.paragraphs(t.text_or_empty(F.col("text")))).alias("para_idx", "paragraph")))
     over_docs("sentences", segment.sentence_table)
+    QUERIES["sentences_of_paragraphs"] = lambda spark, sf_dir: longs(segment.sentence_table(twice(spark, sf_dir)))
     over_docs("words", segment.word_table)
     over_docs("numerals", lambda d: segment.word_table(d).filter(t.is_numeral(F.col("word"))))
     over_docs("normalize_word", segment.token_table)
@@ -93,7 +99,7 @@ def register() -> None:
         over_docs(name, lambda d, n=name, m=metric: present(read.inputs(d), read.usable(), {n: t.half_up(read.scores()[m], 1)}))
     over_docs("readability", read.long_scores)
     over_docs("readability_basis", read.basis)
-    over_docs("readability_terms", lambda d: read.metrics(d).select("doc_id", F.explode("metrics").alias("m")).select("doc_id", F.col("m.id").alias("metric"), "m.substituted", F.explode("m.terms").alias("x")).select("doc_id", "metric", "substituted", "x.label", "x.value", "x.detail"))
+    over_docs("readability_terms", read.terms_table)
     usable = lambda f: lambda d: present(read.inputs(d), read.usable(), f())
     over_docs("grade_text", usable(lambda: {"grade_text": read.grade_text(read.scores()["flesch-kincaid-grade"])}))
     over_docs("ease_text", usable(lambda: {"ease_text": read.ease_text(read.scores()["flesch-reading-ease"])}))
@@ -106,30 +112,48 @@ def register() -> None:
     over_docs("herdan_c", some("herdan_c"))
     over_docs("hapax", some("hapax", "hapax_ratio"))
     over_docs("dis_legomena", some("dis_legomena"))
-    over_docs("frequencies", lambda d: lex.frequencies(d).select("doc_id", "word", "count"))
-    over_docs("top_words", lambda d: lex.top_words(d).select("doc_id", "count", "rank"))
-    over_docs("mattr", lambda d: lex.mattr(d).filter("windows > 0").drop("note"))
-    over_docs("mtld", lambda d: present(lex.mtld(d), F.col("value").isNotNull(), {c: F.col(c) for c in ("forward", "backward", "value")}))
-    over_docs("zipf", lambda d: lex.zipf(lex.ranked_counts(d)).drop("intercept", "note"))
+    over_docs("frequencies", lex.frequencies)
+    over_docs("top_words", lex.top_words)
+    over_docs("mattr", lex.mattr)
+    over_docs("mattr_of_20", lambda d: lex.mattr(d, 20))
+    over_docs("mtld", lambda d: lex.mtld(d).select("doc_id", t.half_up(F.col("forward"), 1).alias("forward"), t.half_up(F.col("backward"), 1).alias("backward"), "value", "note"))
+    over_docs("mtld_at_half", lambda d: lex.mtld(d, 0.5).select("doc_id", "value", "note"))
+    over_docs("zipf", lex.zipf_of_documents)
+    over_docs("zipf_of_50_ranks", lambda d: lex.zipf_of_documents(d, max_rank=50, min_count=1))
+    over_docs("zipf_of_any_series", lambda d: lex.zipf(lex.ranked_counts(d)))
     over_docs("zipf_points", lambda d: lex.zipf_points(d).select("doc_id", "rank", t.half_up(F.col("x"), 6).alias("x"), t.half_up(F.col("y"), 6).alias("y")))
     over_docs("heaps_curve", lex.heaps_curve)
-    over_docs("heaps", lambda d: lex.heaps(d).drop("k", "note"))
+    over_docs("heaps", lex.heaps)
     # style
     over_docs("passive_hits", style.passive_hits)
-    over_docs("passive", lambda d: style.passive(d).drop("examples"))
+    over_docs("passive", lambda d: style.passive(d).select("doc_id", "sentences", "total", "share_of_sentences", F.size("examples").alias("examples")))
+    over_docs("passive_examples", style.passive_examples)
     classes = lambda name: lambda d: style.word_class_counts(d).select("doc_id", name, f"{name}_percent")
-    over_docs("nominalisations", classes("nominalisations"))
-    over_docs("adverbs", classes("adverbs"))
-    over_docs("hedges", lambda d: style.word_class_counts(d, hedges=[*lx.HEDGES, "the", "of"]).select("doc_id", "hedges", "hedges_percent"))
-    over_docs("top_nominalisations", lambda d: style.top_of_class(d, "nominalisations").select("doc_id", "count", "rank"))
+    for name in ("nominalisations", "adverbs"):
+        over_docs(name, classes(name))
+    hedged = lambda f: lambda spark, sf_dir: longs(f(hedging(spark, sf_dir)))
+    QUERIES["hedges"] = hedged(classes("hedges"))
+    over_docs("top_nominalisations", lambda d: style.top_of_class(d, "nominalisations"))
+    QUERIES["top_hedges"] = hedged(lambda d: style.top_of_class(d, "hedges"))
     over_docs("rhythm", lambda d: present(style.rhythm(d), F.col("count") > 0, {c: F.col(c) for c in ("count", "mean", "median", "sd", "min", "max", "longest_index", "longest_sentence", "note")}))
     over_docs("rhythm_histogram", style.rhythm_histogram)
     over_docs("style_profile", style_profile)
 
 
+def hedging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with some of their frequent words made hedges: the invented prose has none."""
+    text = F.col("text")
+    for what, by in ((" the ", " very "), (" of ", " Perhaps "), (" de ", " quite ")):
+        text = F.replace(text, F.lit(what), F.lit(by))
+    return docs(spark, sf_dir).select("doc_id", text.alias("text"))
+
+
 def style_profile(df: DataFrame) -> DataFrame:
-    rows = save(segment.prepared(df), "segments")
-    return style.word_class_counts(rows).join(style.passive(rows).drop("examples"), "doc_id").join(style.rhythm(rows).withColumnRenamed("count", "worded_sentences"), "doc_id")
+    p = profile(df, screened=False)
+    classes = [f"style.{k}{c}" for k in ("nominalisations", "hedges", "adverbs") for c in ("", "_percent")]
+    rhythm = [F.col(f"style.rhythm.{c}").alias(n) for c, n in (("count", "worded_sentences"), ("mean", "mean"), ("median", "median"), ("sd", "sd"), ("min", "min"), ("max", "max"), ("longest_index", "longest_index"), ("longest_sentence", "longest_sentence"), ("note", "note"))]
+    top = F.array_join(F.transform("style.top_nominalisations", lambda x: F.concat(x["word"], F.lit(":"), x["count"].cast("string"))), " ").alias("top_nominalisations")
+    return p.select("doc_id", F.col("counts.words").alias("words"), *classes, *[f"style.passive.{c}" for c in ("sentences", "total", "share_of_sentences")], *rhythm, top)
 
 
 def spiced_stage(name: str, f: Callable[[Column], Column]) -> None:
@@ -142,6 +166,7 @@ spiced_stage("norm_nfkc", screening.nfkc)
 spiced_stage("norm_confusables", screening.folded_confusables)
 spiced_stage("norm_lower", F.lower)
 spiced_stage("norm_leet", screening.undone_leet)
+spiced_stage("norm_leet_inner", lambda c: screening.undone_leet(c, "inner"))
 spiced_stage("norm_join_spaced", lambda c: screening.joined_letters(F.replace(c, F.lit("the"), F.lit("t h e"))))
 spiced_stage("norm_collapse", lambda c: screening.collapsed(F.replace(c, F.lit("e"), F.lit("eee"))))
 QUERIES["norm_diacritics"] = lambda spark, sf_dir: plain(spark, sf_dir).select("doc_id", screening.without_diacritics(F.lower("text")).alias("text"))
@@ -159,6 +184,11 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.normalize(spiced(spark, sf_dir)).select("doc_id", "output", F.size(F.filter("steps", lambda s: s["changed"])).alias("changed_steps"))
 
 
+@query()
+def normalize_without_leet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screening.normalize(spiced(spark, sf_dir), leet=False, confusables=False, collapse=False).select("doc_id", "output")
+
+
 @query()
 def screen_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.count_matches(plain(spark, sf_dir), TERMS, "substring")
@@ -181,13 +211,20 @@ def screen_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def compare_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screening.compare_modes(spiced(spark, sf_dir), TERMS).drop("examples")
+    """With the examples as one text, a line for each."""
+    rows = screening.compare_modes(spiced(spark, sf_dir), TERMS)
+    return rows.withColumn("examples", F.array_join("examples", "\n"))
+
+
+@query()
+def compare_modes_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screening.modes_columns(spiced(spark, sf_dir), TERMS).select("doc_id", "summary")
 
 
 @query()
 def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plain(spark, sf_dir)
-    return screening.highlight(rows, screening.screen(rows, ("tion", "ing"), "word"))
+    return screening.highlight(rows, screening.screen(rows, TERMS, "word"))
 
 
 @query()
@@ -224,18 +261,22 @@ def evasion_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 # evaluation, citations, whole analyses
 
 
-@query()
-def syllable_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against itself with the vowel groups as gold: shows the operator at work where no gold data are at hand."""
+def vowel_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No gold data are at hand, so these queries show the operators at work with the vowel groups of the tables' words as
+    gold; tests hold the operators against built gold."""
     words = segment.word_table(docs(spark, sf_dir)).select(F.lower("word").alias("word")).distinct()
-    gold = words.select("word", F.array(F.greatest(F.lit(1), F.regexp_count("word", F.lit("[aeiouy]+")))).alias("counts"))
-    return evaluation.syllable_eval(gold)
+    return words.select("word", F.array(F.greatest(F.lit(1), F.regexp_count("word", F.lit("[aeiouy]+")))).alias("counts"))
+
+
+for _name, _f in (("syllable_eval", evaluation.syllable_eval), ("syllable_histogram", evaluation.syllable_histogram), ("worst_syllables", evaluation.worst_syllables)):
+    QUERIES[_name] = lambda spark, sf_dir, f=_f: longs(f(vowel_groups(spark, sf_dir)))
 
 
 @query()
 def sentence_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With each document's lines as gold sentences."""
-    return evaluation.sentence_eval(docs(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), t.paragraphs(F.col("text")).alias("sentences")))
+    """With each document's lines as gold sentences: a demonstration, as above."""
+    lines = F.filter(F.transform(F.split(t.text_or_empty(F.col("text")), "\n"), t.trimmed), lambda x: x != "")
+    return evaluation.sentence_eval(docs(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), lines.alias("sentences")))
 
 
 @query()
@@ -257,10 +298,23 @@ def all_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.citations(spark)
 
 
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("zipf1949",), ("sap2019",), ("nobody1900",)], "id string")
+
+
 @query()
 def format_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([("zipf1949",), ("sap2019",), ("nobody1900",)], "id string")
-    return citations.format_citations(known)
+    return citations.format_citations(asked(spark))
+
+
+@query()
+def cite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.cite(asked(spark))
+
+
+@query()
+def references_by_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.references_by_check(spark)
 
 
 @query()
@@ -278,3 +332,7 @@ def analyze_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("report_text")
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_text(profile(docs(spark, sf_dir), screened=False))
+
+
+for _name, _f in SOURCES.items():
+    query(_name)(_f)

@@ -192,7 +192,7 @@ def test_citations(spark):
 def test_evaluation(spark):
     gold = spark.createDataFrame([("table", [2]), ("people", [2, 3]), ("belle", [2])], "word string, counts array<int>")
     (r,) = evaluation.syllable_eval(gold).collect()
-    assert (r["words"], r["exact_percent"], r["within_one_percent"], r["mean_signed"]) == (3, 66.67, 100.0, -0.333)
+    assert (r["words"], r["exact_percent"], r["within_one_percent"], r["mean_signed"]) == (3, 66.67, 100.0, -0.3333)
     units = spark.createDataFrame([(1, ["One two.", "Three four."]), (2, ["he went", "Then he left."])], "unit_id int, sentences array<string>")
     (r,) = evaluation.sentence_eval(units).collect()
     assert (r["tp"], r["fp"], r["fn"], r["precision"], r["recall"]) == (1, 0, 1, 100.0, 50.0)

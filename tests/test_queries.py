@@ -6,18 +6,18 @@ import duckdb
 import numpy as np
 import pytest
 
-from prosegauge.plans.oracle import sql
+from prosegauge.plans.oracle_more import all_sql
 from prosegauge.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SQL = sql()
+SQL = all_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
