@@ -10,12 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import save, shared_dir  # noqa: F401
+from ..operators.ranks import global_index  # noqa: F401
+from ..storage import own_dir, save  # noqa: F401
 
 pa.set_memory_pool(pa.system_memory_pool())
 
 #: Bytes of text that one step of a vectorised scan handles; bounds a worker's arrays.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: Hash cells into which each key is dealt before rows are ranked.
 CELLS = 4096
@@ -62,26 +63,38 @@ def ranked(df: DataFrame, keys: Sequence[str], h: Column, ties: Sequence[Column]
     return out.drop("_h", "_cell", "_start")
 
 
-def global_index(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Add ``name``: the row's place (from 0) in the order of all rows.  Only one count per partition reaches the driver."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = save(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    at, starts = 0, {}
-    for part, count in sorted(map(tuple, dealt.groupBy("_part").count().collect())):
-        starts[part], at = at, at + count
-    if not starts:
-        return dealt.withColumn(name, F.lit(0).cast("long")).drop("_part")
-    base = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in starts.items() for x in kv]), F.col("_part").cast("long"))
-    return dealt.withColumn(name, base + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).drop("_part")
-
-
-def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``SLICE_BYTES`` of text; a longer single text is a slice of its own."""
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows whose ``m`` is at least the least bound that no more than ``most`` rows meet: told from a histogram of
+    m, four cells to a power of two, so nothing is sorted."""
+    cell = F.floor(F.log2(F.col("m").cast("double")) * 4)
+    cells = sorted(((r["cell"], r["rows"], r["least"]) for r in counts.filter("m > 0").groupBy(cell.alias("cell")).agg(F.count("*").alias("rows"), F.min("m").alias("least")).collect()), reverse=True)
+    bound, rows = None, 0
+    for _, some, least in cells:
+        if rows + some > most:
+            break
+        rows, bound = rows + some, least
+    return counts.filter(F.col("m") >= bound) if bound is not None else counts.limit(0)
+
+
+def keyed_join(rows: DataFrame, facts: DataFrame, key: str, hot: int = 1000) -> DataFrame:
+    """``rows`` with the one row of ``facts`` for their ``key``.  The facts of keys that hold over 1 / ``hot`` of the rows,
+    fewer than ``hot``, are broadcast; the others meet their rows in a shuffle."""
+    counts = save(rows.groupBy(key).agg(F.count("*").alias("_n")), "keys")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    large = save(counts.filter(F.col("_n") > max(1000, total / hot)).select(key), "hot")
+    if large.isEmpty():
+        return rows.join(facts, key)
+    held = F.broadcast(save(facts.join(F.broadcast(large), key), "hot_facts"))
+    return rows.join(held, key).unionByName(rows.join(F.broadcast(large), key, "left_anti").join(facts, key))
+
+
+def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text; a longer single text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     a, n = 0, batch.num_rows
     while a < n:
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, "right")))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
         # a copy from offset 0: some Arrow kernels go wrong on a cast slice
         yield batch if b - a == n else batch.take(pa.array(np.arange(a, b)))
         a = b

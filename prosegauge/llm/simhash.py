@@ -17,13 +17,16 @@ pigeonhole is applied again to the other bits, until groups are small (distinct
 Copies have one fingerprint and are one row from the start.
 
 ``near_duplicates`` finds near copies of whole texts: Jaccard similarity 0.8 or more of their sets of five-word
-shingles.  Its candidates come from an exact prefix-filter join.  Shingles have one order for the whole table (that of
-their 64-bit hashes); a pair at a similarity of t shares at least ceil(t * n) shingles of each of its sets, so it shares
-one of the first n - ceil(t * n) + 1 of each.  Every text sends these to their keys; no pair of that similarity is
-missed, whatever the edit.  Any order is right, so shingles with over ``HOT_ROWS`` texts under their key are put last
-and the texts that hold them get other keys.  Texts under a large key are first compared with the key's least text,
-which joins a cluster of copies at once; then all pairs that are not joined yet are counted over their keys, those that
-cannot reach t by their sizes and counts go, and each pair that is left is checked once on its shingles.
+shingles.  Its candidates come from an exact prefix-filter join.  Shingles have one order for the whole table; a pair at
+a similarity of t shares at least ceil(t * n) shingles of each of its sets, so it shares one of the first
+n - ceil(t * n) + 1 of each.  Every text sends these to their keys; no pair of that similarity is missed, whatever the
+edit.  Any order is right; that by 64-bit hash is used, but shingles that many texts hold come last, in the order of
+their hashes too.  Those are told from the texts of every ``ORDER_EVERY``-th hash, which decides on the order alone: all
+texts are compared.  A text's own shingles so come first, and those of its edits keep it from the keys of a large
+cluster, or from its pairs there: a pair whose first common shingle is at places i and j shares at most
+1 + min(n - i - 1, m - j - 1), and is left out under a key where that is too few (under its first common key it never
+is).  Texts under a large key are first compared with the one that holds the key earliest, the least edited one, which
+joins a cluster of copies at once; then all pairs that are not joined yet are checked, each once, on their shingles.
 
 Nulls and edge cases: a null text is an empty one; texts without words have fingerprint zero (in near_duplicates: no shingles) and link like
 any other; texts with fewer words than a shingle have one shingle; repeated rows share fingerprint and class; null ids count as
@@ -43,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, row_columns, save, small_batches, texts_of, whole_row
+from .common import keyed_join, map_slices, most_frequent, row_columns, save, small_batches, text_slices, texts_of, whole_row
 from .graph import components
 
 BLOCK = 8
@@ -53,9 +56,10 @@ KEY_ROWS = 2000
 BROADCAST_ROWS = 1_000_000
 #: What a probe row costs, in verified candidates.
 ROW_COST = 40.0
-#: Texts under a shingle from which on the shingle is put last in the order of shingles.
-HOT_ROWS = 100
-#: Texts under a key from which on they are compared with the key's least text before they are paired.
+#: Texts of every so-manieth hash tell which shingles come last in their order: those that so many of them hold, at
+#: most so many (8 MB).
+ORDER_EVERY, ORDER_TEXTS, ORDER_SHINGLES = 8, 3, 1_000_000
+#: Texts under a key from which on they are compared with one of them before they are paired.
 STAR_ROWS = 8
 #: Texts that one is checked against at once.
 CHECK_ROWS = 500
@@ -368,13 +372,31 @@ def least_common(similarity: float, n: int) -> int:
 def prefix(items: np.ndarray, similarity: float, hot: np.ndarray) -> np.ndarray:
     """The first of the sorted ``items``, those of ``hot`` last: sets of this similarity share one of these."""
     if len(hot):
-        late = np.isin(items, hot)
+        late = hot[np.minimum(np.searchsorted(hot, items), len(hot) - 1)] == items
         items = np.concatenate([items[~late], items[late]])
     return items[: len(items) - least_common(similarity, len(items)) + 1]
 
 
+def late_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
+    """Sorted hashes of the shingles that come last in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, 0) if batch.num_rows else ():
+                sets = [shingle_set(t.encode(), shingle) for t in texts_of(part.column(0)).to_pylist()]
+                found, n = np.unique(np.concatenate(sets), return_counts=True)
+                for a in range(0, len(found), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], names=["key", "m"])
+
+    some = small_batches(docs.select(F.col(text).alias("_text")).filter(F.pmod(F.xxhash64("_text"), F.lit(ORDER_EVERY)) == 0))
+    counts = some.mapInArrow(run, "key long, m long").groupBy("key").agg(F.sum("m").alias("m")).filter(F.col("m") >= ORDER_TEXTS)
+    late = most_frequent(save(counts, "late"), ORDER_SHINGLES)
+    return np.sort(late.select("key").toArrow()["key"].to_numpy().view("<u8"))
+
+
 def shared_keys(prefixes: DataFrame) -> DataFrame:
-    """``prefixes`` (node, size, prefix) to rows key, node, size for each shingle of a prefix that two nodes have."""
+    """``prefixes`` (node, size, prefix) to rows key, node, size, place for each shingle of a prefix that two nodes have;
+    ``place``: where the shingle stands in the prefix."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -383,7 +405,8 @@ def shared_keys(prefixes: DataFrame) -> DataFrame:
                 sets = [np.frombuffer(x, "<i8") for x in part.column(2).to_pylist()]
                 rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), part.column(0).take(rows), part.column(1).take(rows)], names=["key", "node", "size"])
+                    places = np.concatenate([np.arange(len(x), dtype=np.int32) for x in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), part.column(0).take(rows), part.column(1).take(rows), pa.array(places)], names=["key", "node", "size", "place"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_keys(batches):
@@ -393,50 +416,58 @@ def shared_keys(prefixes: DataFrame) -> DataFrame:
             if some.any():
                 yield b.filter(pa.array(some))
 
+    schema = "key long, node long, size int, place int"
     tasks = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = small_batches(prefixes).select("node", "size", "prefix").mapInArrow(spread, "key long, node long, size int")
-    return save(rows.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(shared, "key long, node long, size int"), "keys")
+    rows = small_batches(prefixes).select("node", "size", "prefix").mapInArrow(spread, schema)
+    return save(rows.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(shared, schema), "keys")
 
 
 def key_pairs(rows: DataFrame, similarity: float, star: bool) -> DataFrame:
-    """``rows`` (key, node, size, root) to pairs a < b of one key, of different roots and of sizes that allow the
-    similarity, with the larger size: all, or (``star``) those of the first node of a key with over ``STAR_ROWS``."""
+    """``rows`` (key, node, size, place, root) to pairs a < b of one key, of different roots, whose sizes and places allow
+    the similarity: all, or (``star``) those of one node of each key with over ``STAR_ROWS``: that with the least place,
+    of these the largest.  A pair may come once for each key it shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_keys(batches):
-            key, node, size, root = (b.column(i).to_numpy() for i in range(4))
-            starts, ends = np.searchsorted(key, key), np.searchsorted(key, key, "right")
+            key, node, size, place, root = (b.column(i).to_numpy() for i in range(5))
+            seen: set[tuple[int, int]] = set()
 
             def made(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
                 for i in range(0, len(x), 1 << 16):
                     p, q = x[i : i + (1 << 16)], y[i : i + (1 << 16)]
-                    more, less = np.maximum(size[p], size[q]), np.minimum(size[p], size[q])
-                    fit = (root[p] != root[q]) & (less >= similarity * more - 1e-9)
+                    least = np.ceil((size[p] + size[q]) * (similarity / (1 + similarity)) - 1e-9)
+                    most = np.minimum(size[p] - place[p], size[q] - place[q])
+                    fit = (root[p] != root[q]) & (np.minimum(size[p], size[q]) >= similarity * np.maximum(size[p], size[q]) - 1e-9) & (most >= least)
                     if fit.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(node[p[fit]]), pa.array(node[q[fit]]), pa.array(less[fit]), pa.array(more[fit])], names=["a", "b", "less", "more"])
-
+                        one, other = node[p[fit]], node[q[fit]]
+                        pairs = set(zip(np.minimum(one, other).tolist(), np.maximum(one, other).tolist(), strict=True)) - seen
+                        seen.update(pairs)
+                        if pairs:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
+
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
             if star:
-                x = np.flatnonzero((ends - starts > STAR_ROWS) & (np.arange(len(key)) > starts))
-                yield from made(starts[x], x)
+                many = np.diff([*first, len(key)]) > STAR_ROWS
+                centre = np.lexsort((node, -size, place, group))[first]
+                x = np.flatnonzero(many[group])
+                x = x[x != centre[group[x]]]
+                yield from made(centre[group[x]], x)
                 continue
-            x, step = np.arange(len(key)), 1
+            # within a key the rows of its most frequent root come last: they need no pairs among themselves
+            _, inverse, count = np.unique(np.column_stack([group, root]), axis=0, return_inverse=True, return_counts=True)
+            often = count[inverse]
+            order = np.lexsort((root, often, group))
+            key, node, size, place, root, group = key[order], node[order], size[order], place[order], root[order], group[order]
+            ends = np.append(first[1:], len(key))[group]
+            x, step = np.flatnonzero(root != root[ends - 1]), 1
             while len(x := x[x + step < ends[x]]):
                 yield from made(x, x + step)
                 step += 1
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("key", "node", "size", "root").repartition(tasks, "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "a long, b long, less int, more int")
-
-
-def reachable(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b, each once, whose shared prefix shingles allow the similarity; ``pairs`` has a row for each of these.
-
-    What lies behind both prefixes is shared at most wholly: n shingles have ceil(t * n) - 1 behind their prefix.
-    """
-    rest = F.ceil(F.col("more") * similarity - 1e-9) - 1
-    needed = F.ceil((F.col("less") + F.col("more")) * (similarity / (1 + similarity)) - 1e-9)
-    return pairs.groupBy("a", "b", "less", "more").agg(F.count("*").alias("_n")).filter(F.col("_n") + rest >= needed).select("a", "b")
+    dealt = rows.select("key", "node", "size", "place", "root").repartition(tasks, "key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def checked(pairs: DataFrame, similarity: float, items_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -555,7 +586,7 @@ def simhash_components(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     roots = components(by_key(nodes, partitions, 1, linked(Link(1, radius), 1), key_rows=key_rows))
     known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return keyed_join(rows, classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _long_nodes(least: DataFrame) -> DataFrame:
@@ -569,54 +600,44 @@ def _long_nodes(least: DataFrame) -> DataFrame:
     return least.select("fp").mapInArrow(run, "node long, fp binary")
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, key_rows: int = HOT_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """A row per document: doc_id, text_hash, and of its class of exact and near copies class_id (the least doc_id) and
     class_hash (the text_hash that goes with it)."""
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("_text"), F.xxhash64(body).alias("text_hash"))
-
-    def described(nodes: Sequence[int], sets: Sequence[np.ndarray], hot: np.ndarray) -> list[pa.Array]:
-        sizes = pa.array([len(x) for x in sets], pa.int32())
-        return [pa.array(nodes, pa.int64()), sizes, pa.array([prefix(x, similarity, hot).tobytes() for x in sets], pa.binary())]
+    known_late = docs.sparkSession.sparkContext.broadcast(late_shingles(docs, text, shingle))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t.encode(), shingle) for t in part.column(1).to_pylist()]
         nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), *described(nodes, sets, np.zeros(0, "<u8"))], names=["doc_id", "text_hash", "node", "size", "prefix"])
+        prefixes = [prefix(x, similarity, known_late.value).tobytes() for x in sets]
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.binary())], names=["doc_id", "text_hash", "node", "size", "prefix"])
 
     rows = save(map_slices(keyed, run, "doc_id long, text_hash long, node long, size int, prefix binary"), "sets")
-    first = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), F.col("text_hash").alias("h"))
-    known = save(rows.groupBy("node").agg(F.min(first).alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "distinct")
-    least = known.select("node", "least")
+    own = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    known = save(rows.groupBy("node").agg(F.min(F.struct(own.alias("i"), F.col("text_hash").alias("h"))).alias("least")), "distinct")
+    # one prefix of each node: that of its least row (of rows equal in id and text any)
+    first = rows.join(known, "node").filter((own == F.col("least.i")) & (F.col("text_hash") == F.col("least.h")))
+    repeated = not rows.groupBy(own, "text_hash").agg(F.count("*").alias("_n")).filter("_n > 1").isEmpty()
+    prefixes = first.select("node", "size", "prefix")
 
     def items_of(nodes: DataFrame) -> DataFrame:
-        texts = save(nodes.join(least.select("node", F.col("least.i").alias("_i"), F.col("least.h").alias("_h")), "node"), "texts")
-        return save(_items(docs, texts, text, doc_id, shingle), "items")
-
-    keys = shared_keys(known)
-    # a hot key has over key_rows rows, so there are few
-    hot = np.sort(keys.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > key_rows).select("key").toArrow()["key"].to_numpy()).view("<u8")
-    if len(hot):
-
-        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                sets = [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(described(b.column(0).to_pylist(), sets, hot), names=["node", "size", "prefix"])
+        texts = save(nodes.join(known, "node").select("node", F.col("least.i").alias("_i"), F.col("least.h").alias("_h")), "texts")
+        return save(_items(docs, texts, text, doc_id, shingle, repeated), "items")
 
-        moved = save(keys.join(keys.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > key_rows).select("key"), "key", "left_semi").select("node").distinct(), "moved")
-        others = known.join(moved, "node", "left_anti").select("node", "size", "prefix")
-        keys = shared_keys(others.union(small_batches(items_of(moved)).mapInArrow(again, "node long, size int, prefix binary")))
-    links = checked(key_pairs(keys.withColumn("root", F.col("node")), similarity, True).select("a", "b").distinct(), similarity, items_of)
+    keys = shared_keys(prefixes.dropDuplicates(["node"]) if repeated else prefixes)
+    links = checked(key_pairs(keys.withColumn("root", F.col("node")), similarity, True), similarity, items_of)
     roots = components(links)
     placed = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    links = links.union(checked(reachable(key_pairs(placed, similarity, False), similarity), similarity, items_of))
-    joined = least.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = links.union(checked(key_pairs(placed, similarity, False), similarity, items_of))
+    joined = known.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = joined.join(joined.groupBy("root").agg(F.min("least").alias("class")), "root").select("node", "class")
-    return rows.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", F.col("class.i").alias("class_id"), F.col("class.h").alias("class_hash"))
+    return keyed_join(rows.select("doc_id", "text_hash", "node"), classes, "node").select("doc_id", "text_hash", F.col("class.i").alias("class_id"), F.col("class.h").alias("class_hash"))
 
 
-def _items(docs: DataFrame, texts: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
-    """node and items, the sorted 64-bit hashes of a text's shingles, for each of ``texts`` (node, _i, _h)."""
+def _items(docs: DataFrame, texts: DataFrame, text: str, doc_id: str, shingle: int, repeated: bool) -> DataFrame:
+    """node and items, the sorted 64-bit hashes of a text's shingles, for each of ``texts`` (node, _i, _h); ``repeated``:
+    rows may be equal in id and text."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t.encode(), shingle).tobytes() for t in part.column(1).to_pylist()]
@@ -626,7 +647,8 @@ def _items(docs: DataFrame, texts: DataFrame, text: str, doc_id: str, shingle: i
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("_i"), F.xxhash64(body).alias("_h"), body.alias("_text"))
     small = texts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = rows.join(F.broadcast(texts) if small else texts.hint("shuffle_hash"), ["_i", "_h"]).select("node", "_text")
-    return map_slices(found, run, "node long, items binary").dropDuplicates(["node"])
+    out = map_slices(found, run, "node long, items binary")
+    return out.dropDuplicates(["node"]) if repeated else out
 
 
 def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options: object) -> DataFrame:
