@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, map_slices, save, sums_between, text_slices, texts_of
+from .common import joined_bytes, most_frequent, save, small_batches, sums_between, text_slices, texts_of
 
 #: Never part of UTF-8: stands before the text's first byte and ends it.
 EDGE = 255
@@ -41,7 +41,9 @@ DEPTH, FREQUENT_WORDS, FREQUENT_GRAMS = 6, 1 << 17, 1 << 21
 #: Bytes of context below which one task works out a whole subtree.
 SPLIT = 2
 #: Rows of counts that a training task gathers before it passes them on, and grams whose subtrees it solves at once.
-FLUSH, STEP = 4_000_000, 100_000
+FLUSH, STEP = 3_000_000, 100_000
+#: Bytes of text whose grams are handled at once: each takes some ten longs.
+SLICE = 1 << 20
 
 
 def held_out_column(doc_id: Column, modulus: int = 7, remainder: int = 2) -> Column:
@@ -103,7 +105,7 @@ def count_words(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.Table] = []
         size = 0
-        for part in itertools.chain.from_iterable(text_slices(b, 1) for b in batches if b.num_rows):
+        for part in itertools.chain.from_iterable(text_slices(b, 1, SLICE) for b in batches if b.num_rows):
             train = ~part.column(0).to_numpy(zero_copy_only=False)
             words, ends = words_of(pa.array(texts_of(part.column(1)), pa.large_string()))
             index = words.indices.to_numpy(zero_copy_only=False)
@@ -121,7 +123,7 @@ def count_words(rows: DataFrame) -> DataFrame:
         if parts:
             yield from merged(parts).combine_chunks().to_batches(max_chunksize=50_000)
 
-    return rows.select("held_out", "_text").mapInArrow(run, "word string, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return small_batches(rows).select("held_out", "_text").mapInArrow(run, "word string, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -137,17 +139,17 @@ def count_grams(rows: DataFrame, depth: int) -> DataFrame:
 
     def batches_of(gram: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(gram), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (gram, n, m)], names=["gram", "n", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000].astype(np.int64)) for x in (gram, n, m)], names=["gram", "n", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
-        for part in itertools.chain.from_iterable(text_slices(b, 1) for b in batches if b.num_rows):
+        for part in itertools.chain.from_iterable(text_slices(b, 1, SLICE) for b in batches if b.num_rows):
             held = part.column(0).to_numpy(zero_copy_only=False)
             grams, ends = grams_of(pa.array(texts_of(part.column(1)), pa.large_string()), depth)
             out = np.repeat(held, np.diff(ends))
             for some, train in ((grams[~out], 1), (grams[out], 0)):
                 found, m = np.unique(some, return_counts=True)
-                parts.append((found, m * train, m))
+                parts.append((found, (m * train).astype(np.int32), m.astype(np.int32)))
             if sum(len(x[0]) for x in parts) > FLUSH:
                 parts = [_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
                 if len(parts[0][0]) > FLUSH * 3 // 4:
@@ -155,7 +157,7 @@ def count_grams(rows: DataFrame, depth: int) -> DataFrame:
         if parts:
             yield from batches_of(*_summed(*(np.concatenate(x) for x in zip(*parts, strict=True))))
 
-    return rows.select("held_out", "_text").mapInArrow(run, "gram long, n long, m long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return small_batches(rows).select("held_out", "_text").mapInArrow(run, "gram long, n long, m long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 # --- the tree ------------------------------------------------------------------------------------------------------
@@ -382,19 +384,6 @@ class Lookup:
         return out, known
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows whose ``m`` is at least the least bound that no more than ``most`` rows meet: told from a histogram of
-    m, four cells to a power of two, so nothing is sorted."""
-    cell = F.floor(F.log2(F.col("m").cast("double")) * 4)
-    cells = sorted(((r["cell"], r["rows"], r["least"]) for r in counts.filter("m > 0").groupBy(cell.alias("cell")).agg(F.count("*").alias("rows"), F.min("m").alias("least")).collect()), reverse=True)
-    bound, rows = None, 0
-    for _, some, least in cells:
-        if rows + some > most:
-            break
-        rows, bound = rows + some, least
-    return counts.filter(F.col("m") >= bound) if bound is not None else counts.limit(0)
-
-
 def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH, frequent_words: int = FREQUENT_WORDS, frequent_grams: int = FREQUENT_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every document."""
     spark = docs.sparkSession
@@ -412,7 +401,7 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", depth:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, times, lookup = known.value
-        for part in itertools.chain.from_iterable(text_slices(b, 1) for b in batches if b.num_rows):
+        for part in itertools.chain.from_iterable(text_slices(b, 1, SLICE) for b in batches if b.num_rows):
             strings = pa.array(texts_of(part.column(1)), pa.large_string())
             codes, places = grams_of(strings, depth)
             value, here = lookup(codes)
@@ -432,7 +421,7 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", depth:
 
     numbered = rows.select("doc_id", "_text", "held_out", F.monotonically_increasing_id().alias("row"))  # fixed by the table written next
     schema = "doc_id long, held_out boolean, row long, n_tokens long, n_common long, common_logs double, value double, n_bytes long, words array<string>, grams array<long>"
-    scored = save(numbered.mapInArrow(run, schema), "scored")
+    scored = save(small_batches(numbered).mapInArrow(run, schema), "scored")
     rare = scored.filter(F.size("words") > 0).select("row", F.explode("words").alias("word"))
     found = rare.join(words.select("word", "n"), "word").groupBy("row").agg(F.count_if(F.col("n") > 0).alias("n_rare"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("rare_logs"))
     rare = scored.filter(F.size("grams") > 0).select("row", F.explode("grams").alias("gram"))
