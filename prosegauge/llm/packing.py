@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import pickle
 import random
 import zlib
 from array import array
@@ -48,6 +49,8 @@ CACHE = 200_000
 MARK = "\x1f"
 #: Different bins that an island looks at in an epoch, and displaced lengths up to which exchanges are tried.
 BUDGET, FEW = 200_000, 48
+#: Packings of an island that outlive an epoch.
+KEPT = 3
 Pattern = tuple[int, ...]
 Packing = dict[Pattern, int]
 
@@ -291,8 +294,7 @@ def evolve(histogram: dict[int, int], migrants: list[Packing], capacity: int, se
 def pack_histogram(df: DataFrame, histogram: dict[int, int], capacity: int, *, islands: int, epochs: int, population: int, generations: int, seed: int) -> Packing:
     """Islands evolve as tasks; between epochs each gets its neighbour's elite and the best of all.
 
-    An island's packings stay with the driver between epochs: at most ``population`` of them, each bounded by the
-    capacity.
+    The best ``KEPT`` packings of each island, which the capacity bounds, are with the driver between epochs.
     """
     spark = df.sparkSession
     least = -(-sum(k * n for k, n in histogram.items()) // capacity)
@@ -304,18 +306,16 @@ def pack_histogram(df: DataFrame, histogram: dict[int, int], capacity: int, *, i
         best = min((p for x in known for p in x[:1]), key=lambda p: fitness(p, capacity), default=start)
         sent = [[*known[i], *known[i - 1][:1], best] for i in range(islands)]
 
-        def island(frames: Iterator[pd.DataFrame], epoch: int = epoch, sent: list = sent) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for i in f["id"]:
-                    for k, p in enumerate(evolve(histogram, sent[i], capacity, seed + 1000 * epoch + int(i), population, generations)):
-                        yield pd.DataFrame({"island": i, "place": k, "lengths": [list(x) for x in p], "bins": list(p.values())})
+        def island(batches: Iterator[pa.RecordBatch], epoch: int = epoch, sent: list = sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    found = evolve(histogram, sent[i], capacity, seed + 1000 * epoch + i, population, generations)[:KEPT]
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found)), pa.array(range(len(found)), pa.int64()), pa.array([pickle.dumps(p) for p in found])], names=["island", "place", "packing"])
 
-        found = spark.range(0, islands, 1, islands).mapInPandas(island, "island long, place long, lengths array<int>, bins long").collect()
+        found = spark.range(0, islands, 1, islands).mapInArrow(island, "island long, place long, packing binary").collect()
         known = [[] for _ in range(islands)]
         for r in sorted(found, key=lambda r: (r["island"], r["place"])):
-            if len(known[r["island"]]) == r["place"]:
-                known[r["island"]].append({})
-            known[r["island"]][-1][tuple(r["lengths"])] = r["bins"]
+            known[r["island"]].append(pickle.loads(r["packing"]))
         if min(fitness(x[0], capacity)[0] for x in known) <= least:
             break
     return min((x[0] for x in known), key=lambda p: fitness(p, capacity))
