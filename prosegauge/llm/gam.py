@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_slices, joined_bytes, map_slices, sums_between, text_slices, texts_of
+from .common import filter_slices, joined_bytes, map_slices, small_batches, sums_between, text_slices, texts_of
 from .toxicity import sampled_texts
 
 SAMPLE, BINS, PAIR_BINS, PAIRS = 20_000, 32, 8, 6
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
         for b in itertools.chain.from_iterable(text_slices(x, 2) for x in batches if x.num_rows):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(features(b.column(2)).tolist(), pa.list_(pa.float64()))], names=["y", "w", "x"])
 
-    found = rows.mapInArrow(run, "y int, w double, x array<double>").toPandas()  # at most two samples of rows
+    found = small_batches(rows).mapInArrow(run, "y int, w double, x array<double>").toPandas()  # at most two samples of rows
     x, y, w = np.array(found["x"].tolist()).reshape(-1, len(NAMES)), found["y"].to_numpy(float), found["w"].to_numpy(float)
     order = np.lexsort((y, *x.T))  # the same fit in whatever order rows come
     return boost(x[order], y[order], w[order])

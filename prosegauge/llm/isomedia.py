@@ -7,8 +7,8 @@ reads what is in mdat; ``payload`` copies those ranges out, still without decodi
 
 The media column is made and read in one pass over bounded slices, without a shuffle; a task holds one text and its
 container at a time.  Nulls and edge cases: a null text is an empty one, an empty payload is 64 zero bytes (one
-sample); equal texts give equal containers, so repeated rows give equal rows; a file that is cut short or damaged
-gives a ``Probe`` whose ``error`` says why, never an exception.  An empty table gives an empty result.  Other columns
+sample); equal texts give equal containers, so repeated rows give equal rows; a file that is cut short, damaged or
+fragmented (samples in moof boxes) gives a ``Probe`` whose ``error`` says why, never an exception.  An empty table gives an empty result.  Other columns
 do not matter.
 """
 
@@ -18,7 +18,7 @@ import hashlib
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -29,6 +29,8 @@ from .common import map_slices, texts_of
 
 #: Bytes of a sample (an access unit of 64 frames of 8-bit mono), samples between keyframes, frames a second.
 UNIT, GROUP, RATE = 64, 64, 8000
+#: Boxes within boxes at most.
+DEEPEST = 64
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"}
 
 
@@ -102,9 +104,13 @@ class Probe:
     error: str | None = None
 
 
-def walk(data: memoryview, start: int, end: int, path: str = "") -> Iterator[tuple[str, int, int]]:
+def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[str, int, int]]:
     """(path, first byte of the body, its end) of every box, in depth-first order."""
-    while start < end:
+    todo = [(start, end, "")]  # what is left of each box that is open
+    while todo:
+        start, end, path = todo.pop()
+        if start == end:
+            continue
         if end - start < 8:
             raise ValueError(f"{end - start} stray bytes in {path or 'the file'}")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -121,9 +127,24 @@ def walk(data: memoryview, start: int, end: int, path: str = "") -> Iterator[tup
             raise ValueError(f"box {kind!r} at {start} does not fit")
         here = f"{path}/{kind.decode('latin-1')}"
         yield here, start + head, start + size
+        todo.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + size, here)
-        start += size
+            if len(todo) > DEEPEST:
+                raise ValueError(f"boxes are nested over {DEEPEST} deep")
+            todo.append((start + head, start + size, here))
+
+
+class Same:
+    """So many equal sizes."""
+
+    def __init__(self, size: int, n: int) -> None:
+        self.size, self.n = size, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> int:
+        return self.size
 
 
 def _table(data: memoryview, at: int, end: int, form: str, skip: int = 4) -> list[tuple]:
@@ -135,11 +156,13 @@ def _table(data: memoryview, at: int, end: int, form: str, skip: int = 4) -> lis
     return list(struct.iter_unpack(">" + form, data[at + skip + 4 : at + skip + 4 + n * size]))
 
 
-def _sizes(data: memoryview, boxes: dict[str, tuple[int, int]]) -> list[int]:
+def _sizes(data: memoryview, boxes: dict[str, tuple[int, int]]) -> Sequence[int] | Same:
     if "stsz" in boxes:
         at, end = boxes["stsz"]
         one, n = struct.unpack_from(">II", data, at + 4)
-        return [one] * n if one else [x for (x,) in _table(data, at, end, "I", 8)]
+        if one and one * n > len(data):
+            raise ValueError(f"{n} samples of {one} bytes are more than the file")
+        return Same(one, n) if one else [x for (x,) in _table(data, at, end, "I", 8)]
     if "stz2" not in boxes:
         raise ValueError("no sample sizes")
     at, end = boxes["stz2"]
@@ -209,6 +232,8 @@ def probe(media: bytes) -> Probe:
                 tracks.append(track := {})
             elif "/trak/" in path:
                 track[name] = (at, end)
+            elif name == "moof":
+                raise ValueError("a fragmented file: its samples are not in sample tables")
         out.tracks = [_track(data, t) for t in tracks]
     except (ValueError, KeyError, IndexError, struct.error) as e:
         out.error = f"missing box {e}" if isinstance(e, KeyError) else str(e)

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_slices, map_slices, save, text_slices, texts_of
+from .common import filter_slices, map_slices, save, small_batches, text_slices, texts_of
 
 #: Bounds of the fit: labelled texts of each class, and terms of the lexicon (the size of the automaton).
 SAMPLE, TERMS = 20_000, 2_000
@@ -292,7 +292,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             parts.append(pa.table({"word": pa.nulls(1, pa.string()), "stem": pa.array([False]), "toxic": pa.array([int(y.sum())], pa.int64()), "clean": pa.array([int((1 - y).sum())], pa.int64())}))
             yield from pa.concat_tables(parts).combine_chunks().to_batches(max_chunksize=50_000)
 
-    return texts.select("_y", "_text").mapInArrow(run, "word string, stem boolean, toxic long, clean long").groupBy("word", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return small_batches(texts).select("_y", "_text").mapInArrow(run, "word string, stem boolean, toxic long, clean long").groupBy("word", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def least_evidence(rows: DataFrame, n_tests: int) -> float:
@@ -349,7 +349,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
             x, _ = features(b.column(2), machine, weights, len(words))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "w", "x"])
 
-    fitted = rows.select("_y", "_w", "_text").mapInArrow(run, "y int, w double, x array<double>").toPandas()  # at most two samples of rows
+    fitted = small_batches(rows).select("_y", "_w", "_text").mapInArrow(run, "y int, w double, x array<double>").toPandas()  # at most two samples of rows
     x, y, w = np.array(fitted["x"].tolist()).reshape(-1, len(FEATURES)), fitted["y"].to_numpy(float), fitted["w"].to_numpy(float)
     order = np.lexsort((y, *x.T))  # the same fit in whatever order rows come
     return Model([*words, *(f"{x}-" for x in stems)], len(words), weights, machine, logistic(x[order], y[order], w[order]))

@@ -396,3 +396,45 @@ def test_large_atoms_of_a_node_leave_room_for_small_ones(sizes, small, shards):
     assert left == sum(x.size for x in atoms if x.shard == 0) and {x.shard for x in atoms} <= {0, node.left}
     if small >= 2 * max(sizes, default=0):
         assert node.goal - small - 1e-9 <= left <= node.goal + 1e-9
+
+
+def test_damaged_and_unusual_containers():
+    nested = b""
+    for _ in range(2000):
+        nested = isomedia.box(b"moov", nested)
+    assert "nested" in isomedia.probe(nested).error
+    media = bytearray(isomedia.write(bytes(64)))
+    at = media.index(b"stsz")
+    media[at + 8 : at + 16] = (64).to_bytes(4) + (2**32 - 16).to_bytes(4)
+    assert "more than the file" in isomedia.probe(bytes(media)).error
+    assert "fragmented" in isomedia.probe(isomedia.write(bytes(64)) + isomedia.box(b"moof")).error
+    rng = random.Random(9)
+    whole = isomedia.write(bytes(range(256)) * 4)
+    for _ in range(400):  # never an exception
+        bad = bytearray(whole)
+        for _ in range(rng.randint(1, 4)):
+            bad[rng.randrange(len(bad) - 1024)] = rng.randrange(256)
+        found = isomedia.probe(bytes(bad))
+        assert found.error or found.tracks is not None
+        isomedia.feature(found)
+
+
+def test_chains_need_few_rounds(spark):
+    from prosegauge.llm.graph import components
+
+    edges = [(i, i + 1) for i in range(400)] + [(1000 + i, 1001 + i) for i in range(0, 20, 2)] + [(5000, 5000 + k) for k in range(1, 50)] + [(7, 7)]
+    rounds = []
+    found = collections.defaultdict(set)
+    for r in components(spark.createDataFrame(edges, "a long, b long"), rounds).collect():
+        found[r["root"]].add(r["node"])
+    assert rounds[0] < 20
+    assert sorted(map(sorted, found.values())) == sorted([list(range(401)), *[[1000 + i, 1001 + i] for i in range(0, 20, 2)], list(range(5000, 5050))])
+
+
+def test_a_hot_key_is_broadcast(spark):
+    from prosegauge.llm.common import keyed_join
+
+    rows = spark.createDataFrame([(i, 1 if i % 2 else i) for i in range(6000)], "i long, k long")
+    facts = spark.createDataFrame([(i, f"f{i}") for i in range(6000)], "k long, f string")
+    found = keyed_join(rows, facts, "k").collect()
+    assert sorted((r["i"], r["f"]) for r in found) == [(i, "f1" if i % 2 else f"f{i}") for i in range(6000)]
