@@ -1,7 +1,7 @@
 """Screening for terms in three ways, and the normal form that one of them works on.
 
 What is reported are matches, never a verdict on a text.  Unicode normal forms are the one thing the JVM side lacks; they
-run as an Arrow UDF, and rows that are plain ASCII skip it by a split of the frame's rows into two branches.
+run as an Arrow function over all rows, which hands plain ASCII on as it is.
 """
 
 from __future__ import annotations

@@ -248,3 +248,47 @@ def test_public_names():
     assert all(callable(getattr(prosegauge, n)) or n.isupper() for n in prosegauge.__all__)
     with pytest.raises(AttributeError):
         prosegauge.nothing  # noqa: B018
+
+
+def test_plain_syllables_are_those_of_the_columns(spark):
+    """Both forms of the rules, over all words of a table and many made up of endings."""
+    from prosegauge.functions import syllables as sy
+
+    rng = random.Random(3)
+    parts = ["tion", "ies", "ed", "es", "ing", "e", "ly", "ment", "ia", "ious", "eou", "y", "thm", "ism", "b", "le", "tt", "re", "ness", "a", "o", "ch", "sh", "xio", "gi", "ful", "s"]
+    made = {"".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(3000)} | set(lx.SYLLABLE_EXCEPTIONS) | {"É", "naïve", "123", "don't", "", "State-of-the-art", "İs"}
+    rows = read.word_facts(spark.createDataFrame([(w,) for w in made], "word string")).collect()
+    assert len(rows) == len(made)
+    for r in rows:
+        assert (r["syllables"], r["complex"]) == sy.word_facts(r["word"]), r["word"]
+        assert r["syllables"] == sy.count_syllables(r["word"])
+
+
+def test_long_and_odd_token_lists(spark):
+    """Facts of a batch are those of single documents; nulls and empty texts have none."""
+    texts = ["a b c a b b", "", None, "one", "the " * 3000, " ".join(f"w{i % 37}x" for i in range(900)), "!!!"]
+    whole = by_id(lex.facts(docs(spark, *texts)))
+    for i, x in enumerate(texts):
+        (one,) = lex.facts(docs(spark, x)).collect()
+        assert one["_f"] == whole[i]["_f"]
+    assert whole[1]["_f"]["tokens"] == whole[2]["_f"]["tokens"] == whole[6]["_f"]["tokens"] == 0
+
+
+def test_public_names():
+    import prosegauge
+
+    assert all(getattr(prosegauge, name) is not None for name in prosegauge.__all__)
+
+
+def test_windowed_totals(spark, tmp_path):
+    """A stream of texts summed by windows of event time."""
+    from prosegauge.streaming import windowed_totals
+
+    spark.createDataFrame([("2026-01-01 00:00:10", "One two. Three."), ("2026-01-01 00:00:50", "Four five six."), ("2026-01-01 00:02:00", "Seven.")], "at string, text string").selectExpr("timestamp(at) AS at", "text").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("at timestamp, text string").parquet(str(tmp_path / "in"))
+    out = windowed_totals(stream, "at", width="1 minute")
+    q = out.writeStream.format("memory").queryName("totals").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    rows = sorted(r["words"] for r in spark.table("totals").collect())
+    assert rows == [1, 6]
