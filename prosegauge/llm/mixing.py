@@ -3,8 +3,10 @@
 Every document's size is its exact number of words.  A source's target is its share of the whole budget, at most
 ``max_repeat`` times the source.  Whole passes over a source come first; for the words that remain, documents are
 counted by exact size, most of the budget is taken in proportion to those counts, and a bounded-knapsack dynamic
-program over sizes comes as near to the rest as any choice of documents can.  Which documents of a size are taken is
-decided by a seeded hash of the document's id.
+program over sizes fits the rest.  Within the program's capacity (65,536 words after the proportional share) its sum is as
+near as any choice of the documents that are left can come; over a larger rest single documents, the largest first, bring
+it within the capacity, and the sum as a whole is near the budget (off by no more than a document) without a claim to be
+the nearest.  Which documents of a size are taken is decided by a seeded hash of the document's id.
 
 At scale: the largest frame that one task sees is a source's size histogram.  Sizes are distinct positive integers,
 so a source of S words has at most sqrt(2 S) of them (5.5 million at 100 TB).  Ranks are taken in hash cells, so a
