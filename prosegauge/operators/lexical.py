@@ -222,6 +222,12 @@ def _named(columns: dict[str, Column]) -> list[Column]:
     return [c.alias(n) for n, c in columns.items()]
 
 
+def _where(rows: DataFrame, kept: Column, columns: dict[str, Column]) -> DataFrame:
+    """doc_id and ``columns`` of the rows that ``kept`` holds for.  A filter would be pushed below the facts and have them
+    worked out twice; a generator is not."""
+    return rows.select("doc_id", F.inline(F.when(kept, F.array(F.struct(*_named(columns))))))
+
+
 def diversity(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tokens, types, hapax, dis_legomena, ttr, herdan_c, hapax_ratio; ratios of empty texts are null."""
     return facts(df, id_col, text_col).select("doc_id", *_named(diversity_columns(F.col("_f"))))
@@ -245,7 +251,7 @@ def mtld(df: DataFrame, threshold: float = MTLD_THRESHOLD, id_col: str = "doc_id
 def zipf_of_documents(df: DataFrame, max_rank: int = 0, min_count: int = 2, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``zipf`` for each document that has words."""
     f = F.col("_f")
-    return facts(df, id_col, text_col, max_rank=max_rank, min_count=min_count, least=least).filter(f["tokens"] > 0).select("doc_id", *_named(zipf_columns(f, least)))
+    return _where(facts(df, id_col, text_col, max_rank=max_rank, min_count=min_count, least=least), f["tokens"] > 0, zipf_columns(f, least))
 
 
 def _per_type(df: DataFrame, kind: str, made: object, id_col: str, text_col: str) -> DataFrame:
@@ -276,7 +282,7 @@ def heaps_curve(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", t
 def heaps(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, points, beta, k, r2, note of the fit over the curve from n = 10 on, for texts that have a curve."""
     f = F.col("_f")
-    return facts(df, id_col, text_col, samples=samples).filter(f["points"] > 0).select("doc_id", *_named(heaps_columns(f)))
+    return _where(facts(df, id_col, text_col, samples=samples), f["points"] > 0, heaps_columns(f))
 
 
 # --- frames of any origin ------------------------------------------------------------------------------------------

@@ -106,7 +106,7 @@ def register() -> None:
     over_docs("warnings", usable(lambda: {"numeral_warning": read.warning("gunning-fog"), "smog_warning": read.warning("smog"), "short_warning": read.warning("automated-readability-index")}))
     over_docs("grade_consensus", lambda d: read.inputs(d).select("doc_id", F.inline(F.array_compact(F.array(read.consensus_column())))))
     # diversity, frequencies, laws
-    some = lambda *columns: lambda d: lex.diversity(d).filter("tokens > 0").select("doc_id", *columns)
+    some = lambda *columns: lambda d: present(lex.diversity(d), F.col("tokens") > 0, {c: F.col(c) for c in columns})
     over_docs("lexical_profile", some("tokens", "types", "hapax", "dis_legomena", "ttr", "herdan_c", "hapax_ratio"))
     over_docs("ttr", some("ttr"))
     over_docs("herdan_c", some("herdan_c"))
