@@ -156,7 +156,7 @@ def split_tree(atoms: DataFrame, large: list[Atom], dims: Sequence[str], shards:
     """``atoms`` (_a, _b, _bytes and ``dims``), all that are not ``large``, with ``shard``; sets the shard of each of
     ``large`` as well."""
     ends = [f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]
-    rows = atoms.withColumn("shard", F.lit(0))
+    rows = save(atoms.withColumn("shard", F.lit(0)), "level")  # a literal would make the joins by shard cross joins
     open_nodes = [Node(0, shards)]
     spans: list[float] = []
     while any(node.shards > 1 for node in open_nodes):
