@@ -11,7 +11,7 @@ never stands in one place: a gram (a byte and the ``depth`` bytes before it) is
 nearest context, so the grams below one context of ``SPLIT`` bytes are one range, one task works out their subtree,
 and only the weights of the topmost ``SPLIT`` bytes (at most 65,536 contexts) are put together on the driver.  A
 second pass carries the mixture down and gives each gram that occurs in any text its probability.  The ``frequent``
-grams and words, by their number in all texts, are broadcast (16 bytes a gram; words of up to 64 bytes); the rest,
+grams and words, by their number in all texts, are broadcast (24 bytes a gram; words of up to 64 bytes); the rest,
 which grow with the corpus, meet the documents' other grams and words in shuffled joins.  No key of those is hot: one
 that occurs often is among the frequent ones.
 
