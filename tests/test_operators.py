@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,14 @@ def test_rhythm(spark):
     assert same["sd"] == 0.0 and same["note"] == "uniform"
 
 
+def test_deviations_have_the_last_place_of_the_sql(spark):
+    lengths = [[11, 1, 1, 1, 1], [1, 11, 1, 6, 1], *[[random.Random(i).randint(1, 40) for _ in range(i % 30 + 1)] for i in range(200)]]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, l array<int>").withColumn("sd", style._deviation(F.col("l")))
+    assert [r["sd"] for r in by_id(rows)] == [duckdb.execute("SELECT stddev_pop(x) FROM (SELECT unnest(?) AS x)", [x]).fetchone()[0] for x in lengths]
+    text = " ".join(" ".join(["Word", *["word"] * (n - 1)]) + "." for n in lengths[0])
+    assert by_id(style.rhythm(docs(spark, text)))[0]["note"] == "uniform"  # 4 less one bit
+
+
 def counts(spark, text, terms, mode):
     return sum(r["matches"] for r in screening.count_matches(docs(spark, text), terms, mode).collect())
 
