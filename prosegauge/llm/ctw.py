@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,8 +42,10 @@ DEPTH, FREQUENT_WORDS, FREQUENT_GRAMS = 6, 1 << 17, 1 << 21
 SPLIT = 2
 #: Rows of counts that a training task gathers before it passes them on, and grams whose subtrees it solves at once.
 FLUSH, STEP = 3_000_000, 100_000
+#: Ranges of grams that are merged one after the other.
+RANGES = 16
 #: Bytes of text whose grams are handled at once: each takes some ten longs.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def held_out_column(doc_id: Column, modulus: int = 7, remainder: int = 2) -> Column:
@@ -134,6 +136,21 @@ def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)
 
 
+def merged_parts(parts: Sequence[tuple[np.ndarray, ...]], ranges: int = RANGES) -> Iterator[tuple[np.ndarray, ...]]:
+    """The sums of ``parts`` (sorted keys and counts), in disjoint ranges of keys: what sorting takes besides the parts is
+    that of one range."""
+    if not parts:
+        return
+    keys = max((x[0] for x in parts), key=len)
+    cuts = keys[np.arange(1, ranges) * len(keys) // ranges] if len(keys) else keys
+    places = [np.concatenate([[0], np.searchsorted(x[0], cuts), [len(x[0])]]) for x in parts]
+    for i in range(len(cuts) + 1):
+        some = [[c[at[i] : at[i + 1]] for c in x] for x, at in zip(parts, places, strict=True)]
+        out = _summed(*(np.concatenate(x) for x in zip(*some, strict=True)))
+        if len(out[0]):
+            yield out
+
+
 def count_grams(rows: DataFrame, depth: int) -> DataFrame:
     """``rows`` (held_out, _text) to gram, n (in training texts) and m (in all texts)."""
 
@@ -151,11 +168,12 @@ def count_grams(rows: DataFrame, depth: int) -> DataFrame:
                 found, m = np.unique(some, return_counts=True)
                 parts.append((found, (m * train).astype(np.int32), m.astype(np.int32)))
             if sum(len(x[0]) for x in parts) > FLUSH:
-                parts = [_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
-                if len(parts[0][0]) > FLUSH * 3 // 4:
-                    yield from batches_of(*parts.pop())
-        if parts:
-            yield from batches_of(*_summed(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+                parts = list(merged_parts(parts))
+                if sum(len(x[0]) for x in parts) > FLUSH * 3 // 4:
+                    while parts:
+                        yield from batches_of(*parts.pop())
+        for part in merged_parts(parts):
+            yield from batches_of(*part)
 
     return small_batches(rows).select("held_out", "_text").mapInArrow(run, "gram long, n long, m long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 

@@ -205,6 +205,26 @@ def test_no_context_is_left_out(spark):
     assert ctw.probabilities(grams, 6).count() == grams.count()
 
 
+def test_grams_are_merged_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    parts = []
+    for n in (400_000, 30_000, 1, 30_000):
+        found, m = np.unique(np.concatenate([rng.integers(0, 1 << 56, n), parts[0][0][: n // 2] if parts else []]).astype(np.int64), return_counts=True)
+        parts.append((found, m.astype(np.int32), (2 * m).astype(np.int32)))
+    whole = ctw._summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    out = [np.concatenate(x) for x in zip(*ctw.merged_parts(parts), strict=True)]
+    assert all(np.array_equal(a, b) for a, b in zip(whole, out, strict=True))
+    assert [len(x) for x in ctw.merged_parts(parts[2:3])] == [3] and not list(ctw.merged_parts([])) and not list(ctw.merged_parts([tuple(x[:0] for x in parts[0])]))
+    tracemalloc.start()
+    for _ in ctw.merged_parts(parts):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(x.nbytes for x in whole)  # merging all at once takes several times that
+
+
 def test_coded_bytes():
     data, ends = ctw.coded_bytes(pa.array(["  Ab\tC\n", "", " ", "x"], pa.large_string()))
     assert bytes(data) == b"ab c x " and ends.tolist() == [0, 5, 5, 5, 7]
