@@ -11,13 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import global_index  # noqa: F401
-from ..storage import own_dir, save  # noqa: F401
+from ..storage import SLICE_BYTES, own_dir, save, small_batches  # noqa: F401
 
 pa.set_memory_pool(pa.system_memory_pool())
 
-#: Bytes of text that one step of a vectorised scan handles; bounds a worker's arrays.
-SLICE_BYTES = 2 << 20
-
 #: Hash cells into which each key is dealt before rows are ranked.
 CELLS = 4096
 
@@ -100,12 +97,6 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) ->
         a = b
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Batches to Python workers are bounded in bytes, not only in rows: ten thousand long texts are too much at once."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
-    return df
-
-
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text_at: int = 1) -> DataFrame:
     """``mapInArrow`` with ``fn`` applied to bounded slices of each batch; string columns are 64-bit offset safe per slice."""
 

@@ -301,3 +301,11 @@ def test_windowed_totals(spark, tmp_path):
     q.stop()
     rows = sorted(r["words"] for r in spark.table("totals").collect())
     assert rows == [1, 6]
+
+
+def test_profile_rows_wait_for_python_once_and_narrow(spark):
+    """Rows that Python has a batch of are held, on disk if memory is short: they must not hold the text several times."""
+    plan = profile(docs(spark, "One two three. Four."), screened=False)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("ArrowEvalPython")
+    assert len(below) == 2 and "struct(doc_id" not in below[1].split("\n", 1)[1]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(2 << 20)
