@@ -17,7 +17,9 @@ pigeonhole is applied again to the other bits, until groups are small (distinct
 Copies have one fingerprint and are one row from the start.
 
 ``near_duplicates`` finds near copies of whole texts: Jaccard similarity 0.8 or more of their sets of five-word
-shingles.  Its candidates come from an exact prefix-filter join.  Shingles have one order for the whole table; a pair at
+shingles.  Texts whose fingerprints are equal or link by the pigeonhole are checked first, exactly, on their shingles.
+Pairs of that similarity may differ in more bits than any pigeonhole of useful width covers, so an exact prefix-filter
+join then finds those among the texts that are not joined yet.  Shingles have one order for the whole table; a pair at
 a similarity of t shares at least ceil(t * n) shingles of each of its sets, so it shares one of the first
 n - ceil(t * n) + 1 of each.  Every text sends these to their keys; no pair of that similarity is missed, whatever the
 edit.  Any order is right; that by 64-bit hash is used, but shingles that many texts hold come last, in the order of
@@ -56,6 +58,8 @@ KEY_ROWS = 2000
 BROADCAST_ROWS = 1_000_000
 #: What a probe row costs, in verified candidates.
 ROW_COST = 40.0
+#: Differing bits up to which the fingerprints of near copies are candidates.
+NEAR_RADIUS = 3
 #: Texts of every so-manieth hash tell which shingles come last in their order: those that so many of them hold, at
 #: most so many (8 MB).
 ORDER_EVERY, ORDER_TEXTS, ORDER_SHINGLES = 8, 3, 1_000_000
@@ -93,7 +97,11 @@ def fingerprint(items: Sequence[bytes], words: int = 1) -> np.ndarray:
     if not items:
         return np.zeros(words, "<u8")
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, 42) for x in items], np.uint64)
+    return fingerprint_of(np.array([digest(x, 42) for x in items], np.uint64), words)
+
+
+def fingerprint_of(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """A bit is 1 if it is set in over half of ``hashes``."""
     total = np.zeros(64 * words, np.int64)
     for a in range(0, len(hashes), 4096):
         part = _spread(hashes[a : a + 4096], words)
@@ -575,15 +583,31 @@ def simhash_fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "
     return map_slices(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), run, "doc_id long, fp long")
 
 
+def fingerprint_links(distinct: DataFrame, radius: int, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Edges (a, b) of fingerprints of ``distinct`` (fp, once each), by the pigeonhole: they join the same components as
+    all links."""
+    nodes = _long_nodes(distinct)
+    pairs, ones, n = statistics(nodes, 1)
+    blocks = group_bits(pairs, ones, n)
+    partitions = plan(blocks, block_histograms(nodes, blocks, 1), radius, n, range(1, 2 * radius + 3))
+    return by_key(nodes, partitions, 1, linked(Link(1, radius), 1), key_rows=key_rows)
+
+
+def simhash_pairs(prints: DataFrame, radius: int) -> DataFrame:
+    """``prints`` (node, fp) to pairs a < b: each node with the least one of its fingerprint, and these where fingerprints
+    link."""
+    least = save(prints.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
+    links = fingerprint_links(least, radius)
+    same = keyed_join(prints, least, "fp").select(F.col("least").alias("x"), F.col("node").alias("y"))
+    ends = links.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
+    return same.union(ends).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def simhash_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = 2, key_rows: int = KEY_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the least doc_id of those reachable by links."""
     rows = save(simhash_fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle), "fingerprints")
     least = save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    nodes = _long_nodes(least)
-    pairs, ones, n = statistics(nodes, 1)
-    blocks = group_bits(pairs, ones, n)
-    partitions = plan(blocks, block_histograms(nodes, blocks, 1), radius, n, range(1, 2 * radius + 3))
-    roots = components(by_key(nodes, partitions, 1, linked(Link(1, radius), 1), key_rows=key_rows))
+    roots = components(fingerprint_links(least, radius, key_rows))
     known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return keyed_join(rows, classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -600,7 +624,7 @@ def _long_nodes(least: DataFrame) -> DataFrame:
     return least.select("fp").mapInArrow(run, "node long, fp binary")
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, radius: int = NEAR_RADIUS) -> DataFrame:
     """A row per document: doc_id, text_hash, and of its class of exact and near copies class_id (the least doc_id) and
     class_hash (the text_hash that goes with it)."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -611,25 +635,26 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         sets = [shingle_set(t.encode(), shingle) for t in part.column(1).to_pylist()]
         nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
         prefixes = [prefix(x, similarity, known_late.value).tobytes() for x in sets]
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.binary())], names=["doc_id", "text_hash", "node", "size", "prefix"])
+        prints = np.array([fingerprint_of(x)[0] for x in sets], "<u8").view(np.int64)
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes), pa.array(prints), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.binary())], names=["doc_id", "text_hash", "node", "fp", "size", "prefix"])
 
-    rows = save(map_slices(keyed, run, "doc_id long, text_hash long, node long, size int, prefix binary"), "sets")
+    rows = save(map_slices(keyed, run, "doc_id long, text_hash long, node long, fp long, size int, prefix binary"), "sets")
     own = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     known = save(rows.groupBy("node").agg(F.min(F.struct(own.alias("i"), F.col("text_hash").alias("h"))).alias("least")), "distinct")
     # one prefix of each node: that of its least row (of rows equal in id and text any)
     first = rows.join(known, "node").filter((own == F.col("least.i")) & (F.col("text_hash") == F.col("least.h")))
     repeated = not rows.groupBy(own, "text_hash").agg(F.count("*").alias("_n")).filter("_n > 1").isEmpty()
-    prefixes = first.select("node", "size", "prefix")
+    prefixes, prints = first.select("node", "size", "prefix"), first.select("node", "fp").distinct()
 
     def items_of(nodes: DataFrame) -> DataFrame:
         texts = save(nodes.join(known, "node").select("node", F.col("least.i").alias("_i"), F.col("least.h").alias("_h")), "texts")
         return save(_items(docs, texts, text, doc_id, shingle, repeated), "items")
 
     keys = shared_keys(prefixes.dropDuplicates(["node"]) if repeated else prefixes)
-    links = checked(key_pairs(keys.withColumn("root", F.col("node")), similarity, True), similarity, items_of)
-    roots = components(links)
-    placed = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    links = links.union(checked(key_pairs(placed, similarity, False), similarity, items_of))
+    rooted = lambda links: keys.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = checked(simhash_pairs(prints, radius), similarity, items_of)
+    for star in (True, False):
+        links = links.union(checked(key_pairs(rooted(links), similarity, star), similarity, items_of))
     joined = known.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = joined.join(joined.groupBy("root").agg(F.min("least").alias("class")), "root").select("node", "class")
     return keyed_join(rows.select("doc_id", "text_hash", "node"), classes, "node").select("doc_id", "text_hash", F.col("class.i").alias("class_id"), F.col("class.h").alias("class_hash"))
