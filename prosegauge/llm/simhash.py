@@ -65,8 +65,10 @@ NEAR_RADIUS = 3
 ORDER_EVERY, ORDER_TEXTS, ORDER_SHINGLES = 8, 3, 1_000_000
 #: Texts under a key from which on they are compared with one of them before they are paired.
 STAR_ROWS = 8
-#: Texts that one is checked against at once.
-CHECK_ROWS = 500
+#: Texts of a block: those of two blocks are checked against each other at once.
+CHECK_ROWS = 250
+#: Pairs that a task remembers at most, so as not to send them again under another key.
+SEEN_PAIRS = 200_000
 
 
 def shingles(text: bytes, k: int) -> list[bytes]:
@@ -449,6 +451,8 @@ def key_pairs(rows: DataFrame, similarity: float, star: bool) -> DataFrame:
                     if fit.any():
                         one, other = node[p[fit]], node[q[fit]]
                         pairs = set(zip(np.minimum(one, other).tolist(), np.maximum(one, other).tolist(), strict=True)) - seen
+                        if len(seen) + len(pairs) > SEEN_PAIRS:
+                            seen.clear()
                         seen.update(pairs)
                         if pairs:
                             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
@@ -479,13 +483,25 @@ def key_pairs(rows: DataFrame, similarity: float, star: bool) -> DataFrame:
 
 
 def checked(pairs: DataFrame, similarity: float, items_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges among ``pairs`` (a, b) that have the similarity.  A text meets ``CHECK_ROWS`` others at a time or so."""
+    """Edges among ``pairs`` (a, b) that have the similarity.
+
+    Pairs meet in cells: a pair's group is the least hash among its two texts and all they are paired with, a group's texts
+    are dealt to blocks of about ``CHECK_ROWS``, and a cell holds the texts of two blocks.  So n texts that are all paired
+    travel n / ``CHECK_ROWS`` times each, not n times.
+    """
     pairs = save(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(CHECK_ROWS)).alias("_parts"))
-    dealt = pairs.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_parts"))).alias("key"), "a", "b")
-    active = save(dealt.select("key", F.col("a").alias("node")).distinct().union(dealt.select("key", F.col("b").alias("node"))), "active")
+    own, other = F.xxhash64("a"), F.xxhash64("b")
+    ends = pairs.select("a", F.least(own, other).alias("_h")).union(pairs.select(F.col("b").alias("a"), F.least(own, other).alias("_h")))
+    least = save(ends.groupBy("a").agg(F.min("_h").alias("_h")), "groups")
+    of = lambda c: least.select(F.col("a").alias(c), F.col("_h").alias(f"_{c}"))
+    grouped = save(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("_a", "_b").alias("_group")), "grouped")
+    texts = grouped.select("_group", "a").union(grouped.select("_group", "b")).distinct()
+    large = save(texts.groupBy("_group").agg(F.ceil(F.count("*") / F.lit(CHECK_ROWS)).alias("_blocks")).filter("_blocks > 1"), "blocks")
+    x, y = (F.pmod(F.xxhash64(F.lit(1), c), F.coalesce("_blocks", F.lit(1))) for c in ("a", "b"))
+    dealt = grouped.join(F.broadcast(large), "_group", "left").select(F.xxhash64("_group", F.least(x, y), F.greatest(x, y)).alias("key"), "a", "b")
+    active = save(dealt.select("key", F.col("a").alias("node")).union(dealt.select("key", F.col("b").alias("node"))).distinct(), "active")
     return save(exact_links(active.join(items_of(active.select("node").distinct()), "node"), similarity), "links")
 
 

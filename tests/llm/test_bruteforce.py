@@ -8,6 +8,7 @@ import zlib
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -241,6 +242,54 @@ def test_near_duplicates_take_candidates_from_the_pigeonhole(spark, monkeypatch)
     assert all(c // 2 == i // 2 for i, c in enumerate(classes))
 
 
+def test_texts_that_are_all_paired_travel_a_few_times_each(spark, monkeypatch):
+    """All pairs of 600 texts, of which each is near to the next ones only: sent to few cells, no link is lost."""
+    from prosegauge.llm import simhash
+    from prosegauge.llm.graph import components
+
+    n, sent, links = 600, [], simhash.exact_links
+    monkeypatch.setattr(simhash, "exact_links", lambda rows, similarity: (sent.append(rows.count()), links(rows, similarity))[1])
+    monkeypatch.setattr(simhash, "CHECK_ROWS", 100)
+    cut = n // 2  # no text of the first half is near to one of the second
+    sets = [(i, np.arange(i + 1000 * (i >= cut), i + 1000 * (i >= cut) + 10, dtype="<u8").tobytes()) for i in range(n)]
+    items = spark.createDataFrame(sets, "node long, items binary")
+    pairs = spark.range(n).selectExpr("id AS a").crossJoin(spark.range(n).selectExpr("id AS b")).filter("a < b")
+    found = simhash.checked(pairs, 0.8, lambda nodes: items.join(nodes, "node"))
+    root = {r["node"]: r["root"] for r in components(found).collect()}
+    assert len(root) == n and len({root[i] for i in range(cut)}) == 1 and len({root[i] for i in range(cut, n)}) == 1 and root[0] != root[n - 1]
+    assert sent[0] <= 10 * n  # 180 thousand when a text travelled once for each pair
+
+
+def test_pairs_of_a_key_are_not_all_remembered(spark):
+    """A key that 1500 texts share, all of different roots, in one Python process: memory does not grow with the pairs."""
+    import tracemalloc
+
+    from prosegauge.llm import simhash
+
+    class Frame:
+        """Stands for the rows of one task."""
+
+        sparkSession = spark
+
+        def __getattr__(self, name):
+            return lambda *a: self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            n = 1500
+            long, one = pa.array(np.arange(n)), pa.array(np.zeros(n, np.int32))
+            batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), long, pa.array(np.full(n, 100, np.int32)), one, long], names=["key", "node", "size", "place", "root"])
+            tracemalloc.start()
+            self.pairs = sum(b.num_rows for b in run(iter([batch])))
+            self.peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return self
+
+    frame = Frame()
+    simhash.key_pairs(frame, 0.8, star=False)
+    assert frame.pairs == 1500 * 1499 // 2
+    assert frame.peak < 100e6
+
+
 def test_near_duplicates_under_hot_keys(spark):
     """Distinct texts that share a long passage, each beside a copy with its end cut off, and texts that lead one to
     the next: nearly all shared shingles are under large keys."""
