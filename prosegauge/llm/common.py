@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import global_index  # noqa: F401
-from ..storage import SLICE_BYTES, own_dir, save, small_batches  # noqa: F401
+from ..storage import SLICE_BYTES, bounded, own_dir, save, small_batches  # noqa: F401
 
 pa.set_memory_pool(pa.system_memory_pool())
 
@@ -20,6 +20,7 @@ CELLS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

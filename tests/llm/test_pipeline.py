@@ -1,13 +1,16 @@
 """The pipeline on odd rows and as a whole, and forms that a second, plain reader understands."""
 
+import glob
 import hashlib
 import json
 import struct
 import zlib
 
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
+from prosegauge import storage
 from prosegauge.llm import isomedia, lzprint
 from prosegauge.llm.queries import tokenizer_path
 
@@ -25,6 +28,17 @@ def folder(spark, tmp_path):
     return write
 
 
+def test_stages_write_small_row_groups(spark, folder):
+    """A task of the next stage holds whole row groups, so a stage's output has none that grows with the input."""
+    rows = [(i, hashlib.shake_256(b"%d" % i).hexdigest(20_000), "en", "s", 40_000) for i in range(600)]
+    sf_dir = folder(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = f"{sf_dir}/out"
+    corpus_pipeline.toxicity_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1), sf_dir).write.parquet(out)
+    groups = [meta.row_group(i) for meta in map(pq.read_metadata, glob.glob(f"{out}/*.parquet")) for i in range(meta.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 600
+    assert max(g.total_byte_size for g in groups) <= 2 * storage.GROUP_BYTES
+
+
 def test_run_on_odd_rows(spark, folder, odd):
     """Nulls, empty and long texts, copies and repeated rows, through all stages; labels of both classes."""
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"], 1) for r in odd.collect()]
