@@ -10,7 +10,7 @@ from prosegauge.functions import lexicons as lx
 from prosegauge.operators import citations, evaluation, screening, segment, style
 from prosegauge.operators import lexical as lex
 from prosegauge.operators import readability as read
-from prosegauge.plans.profile import profile
+from prosegauge.plans.profile import _apart, _found, profile
 from prosegauge.sources import conllu_units, documents_from_files, samples, syllable_dictionary
 from prosegauge.sources.report import report_text, write_json, write_text
 
@@ -309,3 +309,13 @@ def test_profile_rows_wait_for_python_once_and_narrow(spark):
     below = plan.split("ArrowEvalPython")
     assert len(below) == 2 and "struct(doc_id" not in below[1].split("\n", 1)[1]
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(2 << 20)
+
+
+def test_profile_carries_words_as_one_string(spark):
+    """Rows that wait for Python hold no arrays of words, and the arrays come back as they were."""
+    rows = segment.prepared(docs(spark, "Don\u2019t stop: 3.14 caf\u00e9s, state-of-the-art! " * 50, "", None, " \n ", "?!", "x"))
+    found = _found(rows, 50)
+    assert {c: kind for c, kind in found.dtypes if c in (segment.WORDS, segment.TOKENS)} == {segment.WORDS: "string", segment.TOKENS: "string"}
+    again = {r["doc_id"]: (r["w"], r["t"]) for r in found.select("doc_id", _apart(segment.WORDS).alias("w"), _apart(segment.TOKENS).alias("t")).collect()}
+    assert again == {r["doc_id"]: (r[segment.WORDS], r[segment.TOKENS]) for r in rows.collect()}
+    assert again[1] == again[2] == ([], [])
